@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, minhash, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -71,6 +75,7 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,
 }
 ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
