@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing
+from . import exact_dedup, minhash, mixing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(folds: int, held: int):
+    """Whether crc32 of doc_id as text leaves the remainder `held` by `folds`; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False)).alias("held_out")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net).select("doc_id", held_out(4, 2), "score", "predicted", "flagged")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -73,9 +84,17 @@ WITH t AS (
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, cut - start)))::BIGINT AS taken FROM o
 """
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, trees).select("doc_id", held_out(5, 0), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
