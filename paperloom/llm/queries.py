@@ -7,13 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, quality, toxicity
+from . import exact_dedup, minhash, mixing, quality, sentencepiece_sampling, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_sampling.encode(table(spark, sf_dir, "documents"))
+    decoded = sentencepiece_sampling.decode(encoded)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.col("text")).alias("lossless"),
+    )
+
+
+def edits_of(text):
+    """Three edits of a document: a cut in its first half, words put in its middle, and a line put at its end."""
+    n = F.char_length(F.coalesce(text, F.lit("")))
+    edits = [
+        (F.floor(n / 4), F.lit(20), F.lit("")),
+        (F.floor(n / 2), F.lit(3), F.lit(" some new words ")),
+        (n, F.lit(0), F.lit("\nThe last line.")),
+    ]
+    return F.array(*[F.struct(a.cast("int").alias("start"), b.alias("removed"), c.alias("inserted")) for a, b, c in edits])
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits_of(F.col("text")).alias("edits"))
+    trees = token_counts.build_trees(docs, keep=("edits",))
+    after = token_counts.apply_edits(trees)
+    return after.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "reencoded")
+
+
 def held_out(folds: int, held: int):
     """Whether crc32 of doc_id as text leaves the remainder `held` by `folds`; a null id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False)).alias("held_out")
@@ -91,6 +120,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_token_counts": op3_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
