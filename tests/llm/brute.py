@@ -36,3 +36,35 @@ def near_components(rows, width=5, least=75):
         root = find(k)
         lowest[root] = min(lowest.get(root, doc), doc)
     return {doc: (len(sets[k]), lowest[find(k)]) for k, (doc, _) in enumerate(rows)}
+
+
+def linked_vectors(rows, least=0.93):
+    """rows of (id, vector, label): list of (id, links, component) by comparing all pairs."""
+    import math
+
+    n = len(rows)
+
+    def unit(v):
+        if v is None or not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
+            return None
+        size = math.sqrt(sum(x * x for x in v))
+        return [x / size for x in v]
+
+    units, parent, links = [unit(r[1]) if r[2] is not None else None for r in rows], list(range(n)), [0] * n
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if units[a] and units[b] and rows[a][2] == rows[b][2] and len(units[a]) == len(units[b]):
+                if sum(x * y for x, y in zip(units[a], units[b], strict=True)) >= least:
+                    links[a] += 1
+                    links[b] += 1
+                    parent[find(a)] = find(b)
+    low = {}
+    for k in range(n):
+        low[find(k)] = min(low.get(find(k), rows[k][0]), rows[k][0])
+    return [(rows[k][0], links[k], low[find(k)]) for k in range(n)]
