@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, minhash, mixing, quality, sentencepiece_sampling, token_counts, toxicity
+from .common import scratch_path, staged
+from . import embedding_dedup, exact_dedup, minhash, mixing, quality, sentencepiece_sampling, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.ShardStore(spark, scratch_path(spark, "shards"))
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    rows = store.read(with_shard=True).select("doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    shards = rows.groupBy("shard").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("shard_rows"), F.sum("bytes").alias("shard_text_bytes"))
+    numbered = shards.withColumn("shard_no", F.row_number().over(Window.orderBy("first_id", "shard")))
+    return rows.join(staged(numbered, "numbered"), "shard").select("doc_id", "shard_no", "shard_rows", "shard_text_bytes")
+
+
 def edits_of(text):
     """Three edits of a document: a cut in its first half, words put in its middle, and a line put at its end."""
     n = F.char_length(F.coalesce(text, F.lit("")))
@@ -125,6 +137,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_toxicity": op5_toxicity,
