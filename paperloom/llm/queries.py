@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, staged
-from . import embedding_dedup, exact_dedup, minhash, mixing, quality, sentencepiece_sampling, sharding, token_counts, toxicity
+from . import embedding_dedup, exact_dedup, minhash, mixing, quality, sentencepiece_sampling, sharding, token_counts, token_output, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_output.read_tokens(spark.read.parquet(path))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_output": op7_token_output,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
