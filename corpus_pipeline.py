@@ -1,3 +1,57 @@
-ORACLE_SQL=None
-STAGES=[]
-def run(spark, sf_dir): ...
+"""The corpus pipeline: documents to sampled piece ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs
+of the next one. All but the last return the columns of documents. An empty table passes through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from paperloom.llm import exact_dedup, minhash, mixing, quality, sentencepiece_sampling
+from paperloom.llm.common import staged
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels of its input, scores 0.3 or more."""
+    trees = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, trees)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal without white space: the longest, then the smallest id."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: the smallest id."""
+    return minhash.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source: a row for each time that a document is taken."""
+    return mixing.mix(docs)
+
+
+def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, text and the ids of a sampled segmentation, for each row of the mix."""
+    return sentencepiece_sampling.encode(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("exact_dedup", drop_exact),
+    ("near_dedup", drop_near),
+    ("mixing", mix_sources),
+    ("sentencepiece", sample_pieces),
+]
+
+#: The classifier and the sampled segmentations are beyond SQL; tests hold the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
