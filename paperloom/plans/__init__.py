@@ -1 +1,6 @@
-"""Part of paperloom."""
+"""Queries over the driver's tables with the SQL that gives the same rows."""
+
+from . import documents
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "documents"]
