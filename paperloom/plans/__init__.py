@@ -1,6 +1,6 @@
 """Queries over the driver's tables with the SQL that gives the same rows."""
 
-from . import documents, scalars, tables
+from . import documents, files, scalars, streams, tables
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "documents", "scalars", "tables"]
+__all__ = ["ORACLE", "QUERIES", "documents", "files", "scalars", "streams", "tables"]
