@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,10 @@ BLOCK_IDS = 1 << 20
 CACHE = 400_000
 
 
+#: The tokenizer's pattern of words, for lower-cased ASCII: a fixed value.
+_ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -35,7 +40,9 @@ class WordEncoder:
     """Encodes texts through the tokenizers library, each distinct word once while the cache holds it.
 
     The tokenizer's normalizer works inside words once white space is set apart, its pattern never matches across white
-    space and drops it, so a text's ids are those of its words in turn; words are what ASCII white space separates."""
+    space and drops it, so a text's ids are those of its words in turn; words are what ASCII white space separates. The
+    normalizer only lowers ASCII texts, so these are cut by the tokenizer's own pattern into fewer distinct words; not
+    so if a special token may be in them."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,7 +85,8 @@ class WordEncoder:
         words: list[bytes] = []
         counts = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
-            words += text.split()
+            plain = text.isascii() and b"<|" not in text
+            words += _ASCII_WORD.findall(text.lower()) if plain else text.split()
             words.append(end)
             counts[k] = len(words)
         known = self.known
