@@ -20,7 +20,7 @@ import numpy as np
 #: Format mark, version, vocabulary size, token ids, documents, lanes, CRC-32 of the ids (little-endian uint32).
 HEADER = struct.Struct("<4sHIQIII")
 MAGIC, VERSION = b"PLCM", 1
-LANES, LANE_IDS = 2048, 256
+LANES, LANE_IDS = 4096, 256
 CONTEXTS = 1 << 17
 _SPLIT_BITS, _ID_BITS = 16, 22
 _LIMIT = np.uint64(1 << 32)
@@ -29,6 +29,11 @@ _W = np.uint64(16)
 _RENEW = 16
 
 
+#: Change of a confidence by its value, after a wrong guess and (from 16) after a right one; a wrong guess of the
+#: confidence 0 or 1 is replaced.
+_CHANGE = np.array([-((t + 1) >> 1) for t in range(16)] + [int(t < 15) for t in range(16)], np.int64)
+
+
 class _Model:
     """What both sides know before a step. Slots hold id * 16 + confidence."""
 
@@ -58,15 +63,24 @@ class _Model:
     def predict(self, before: np.ndarray, before2: np.ndarray):
         self.slot = ((before * 0x9E3779B1 + before2 * 0x85EBCA77) >> 11) & (CONTEXTS - 1)
         self.before = before
-        self.cell2, self.cell1 = self.second[self.slot], self.first[before]
+        self.cell2, self.cell1 = self.second.take(self.slot), self.first.take(before)
         self.guess2, self.guess1 = self.cell2 >> 4, self.cell1 >> 4
-        self.kind = ((self.cell2 & 15) << 4 | (self.cell1 & 15)) + 256 * (self.guess2 == self.guess1)
-        return self.bound2[self.kind], self.bound1[self.kind]
+        self.trust2, self.trust1 = self.cell2 & 15, self.cell1 & 15
+        self.kind = (self.trust2 << 4) + self.trust1
+        self.kind += (self.guess2 == self.guess1) * np.int64(256)
+        return self.bound2.take(self.kind), self.bound1.take(self.kind)
 
     def learn(self, ids: np.ndarray, part: np.ndarray, missed: np.ndarray):
-        for table, slot, cell, guess in ((self.second, self.slot, self.cell2, self.guess2), (self.first, self.before, self.cell1, self.guess1)):
-            trust = cell & 15
-            table[slot] = np.where(ids == guess, cell + (trust < 15), np.where(trust > 1, cell - ((trust + 1) >> 1), ids << 4 | 1))
+        fresh = (ids << 4) + 1
+        for table, slot, cell, guess, trust in (
+            (self.second, self.slot, self.cell2, self.guess2, self.trust2),
+            (self.first, self.before, self.cell1, self.guess1, self.trust1),
+        ):
+            right = (ids == guess) * np.int64(16)
+            new = cell + _CHANGE.take(trust + right)
+            gone = np.nonzero((trust < 2) & (right == 0))[0]
+            new[gone] = fresh[gone]
+            table[slot] = new
         self.kept.append((self.kind, part, missed))
         self.steps += 1
         if self.steps >= self.due:
@@ -92,40 +106,53 @@ def _coded(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     grid = np.ascontiguousarray(padded.reshape(lanes, per).T)
     before = before2 = np.full(lanes, size, np.int64)
 
-    def narrow(which, start, share, bits):
-        part = span[which] >> np.uint64(bits)
-        base = low[which] + part * start
-        width = part * share
-        over = base > _MASK
-        if over.any():
-            rows = which[over]
-            out[rows, pos[rows] - 1] += np.uint32(1)
-            base &= _MASK
-        tight = width < _LIMIT
-        while tight.any():
+    def emit(rows, base, width, tight):
+        while True:
             at = np.nonzero(tight)[0]
-            rows = which[at]
-            out[rows, pos[rows]] = (base[at] >> np.uint64(32)).astype(np.uint32)
-            pos[rows] += 1
+            if not len(at):
+                return
+            own = rows[at]
+            spot = pos[own]
+            out[own, spot] = (base[at] >> np.uint64(32)).astype(np.uint32)
+            pos[own] = spot + 1
             base[at] = (base[at] << _W) & _MASK
             width[at] <<= _W
             tight = width < _LIMIT
-        low[which], span[which] = base, width
 
+    def narrow(rows, base, width):
+        """Renew base and width of the given lanes: carries go to the word before, tight ranges give words out."""
+        over = base > _MASK
+        if over.any():
+            own = rows[over]
+            out[own, pos[own] - 1] += np.uint32(1)
+            base &= _MASK
+        emit(rows, base, width, width < _LIMIT)
+
+    everyone = np.arange(lanes)
+    edges = np.zeros((4, lanes), np.int64)  # of the three parts
+    edges[3] = 1 << _SPLIT_BITS
     for t in range(per):
         m = -(-(n - t) // per)
         x = grid[t, :m]
         bound2, bound1 = model.predict(before[:m], before2[:m])
         hit2 = x == model.guess2
         hit1 = (x == model.guess1) & ~hit2
-        part = np.where(hit2, 0, np.where(hit1, 1, 2))
-        start = np.where(hit2, 0, np.where(hit1, bound2, bound1))
-        stop = np.where(hit2, bound2, np.where(hit1, bound1, 1 << _SPLIT_BITS))
-        narrow(np.arange(m), start.astype(np.uint64), (stop - start).astype(np.uint64), _SPLIT_BITS)
+        part = 2 - hit1 - 2 * hit2.astype(np.int64)
+        edges[1, :m], edges[2, :m] = bound2, bound1
+        flat = part * lanes + everyone[:m]
+        start, stop = edges.take(flat), edges.take(flat + lanes)
+        unit = span[:m] >> np.uint64(_SPLIT_BITS)
+        base, width = low[:m] + unit * start.view(np.uint64), unit * (stop - start).view(np.uint64)
+        narrow(everyone[:m], base, width)
         rest = np.nonzero(part == 2)[0]
         missed = x[rest]
         if len(rest):
-            narrow(rest, model.below[missed].astype(np.uint64), (model.below[missed + 1] - model.below[missed]).astype(np.uint64), _ID_BITS)
+            lower = model.below.take(missed)
+            unit = width[rest] >> np.uint64(_ID_BITS)
+            new_base, new_width = base[rest] + unit * lower.view(np.uint64), unit * (model.below.take(missed + 1) - lower).view(np.uint64)
+            narrow(rest, new_base, new_width)
+            base[rest], width[rest] = new_base, new_width
+        low[:m], span[:m] = base, width
         model.learn(x, part, missed)
         before, before2 = x, before[:m]
     for shift in (32, 16, 0):
@@ -148,37 +175,46 @@ def _decoded(words: np.ndarray, sizes: np.ndarray, n: int, size: int) -> np.ndar
     grid = np.zeros((per, lanes), np.int64)
     before = before2 = np.full(lanes, size, np.int64)
 
-    def narrow(which, part, start, share):
-        base, width = code[which] - part * start, part * share
+    def narrow(rows, base, width):
         tight = width < _LIMIT
-        while tight.any():
+        while True:
             at = np.nonzero(tight)[0]
-            rows = which[at]
-            base[at] = base[at] << _W | stream[pos[rows]]
+            if not len(at):
+                return
+            own = rows[at]
+            spot = pos[own]
+            base[at] = base[at] << _W | stream.take(spot)
             width[at] <<= _W
-            pos[rows] += 1
+            pos[own] = spot + 1
             tight = width < _LIMIT
-        code[which], span[which] = base, width
 
+    everyone = np.arange(lanes)
+    edges = np.zeros((4, lanes), np.int64)
+    edges[3] = 1 << _SPLIT_BITS
     for t in range(per):
         m = -(-(n - t) // per)
         bound2, bound1 = model.predict(before[:m], before2[:m])
         unit = span[:m] >> np.uint64(_SPLIT_BITS)
-        value = np.minimum(code[:m] // unit, np.uint64((1 << _SPLIT_BITS) - 1)).astype(np.int64)
+        value = np.minimum(code[:m] // unit, np.uint64((1 << _SPLIT_BITS) - 1)).view(np.int64)
         part = (value >= bound2).astype(np.int64) + (value >= bound1)
-        start = np.where(part == 0, 0, np.where(part == 1, bound2, bound1))
-        stop = np.where(part == 0, bound2, np.where(part == 1, bound1, 1 << _SPLIT_BITS))
+        edges[1, :m], edges[2, :m] = bound2, bound1
+        flat = part * lanes + everyone[:m]
+        start, stop = edges.take(flat), edges.take(flat + lanes)
         x = np.where(part == 0, model.guess2, model.guess1)
-        narrow(np.arange(m), unit, start.astype(np.uint64), (stop - start).astype(np.uint64))
+        base, width = code[:m] - unit * start.view(np.uint64), unit * (stop - start).view(np.uint64)
+        narrow(everyone[:m], base, width)
         rest = np.nonzero(part == 2)[0]
+        missed = rest
         if len(rest):
-            unit = span[rest] >> np.uint64(_ID_BITS)
-            value = np.minimum(code[rest] // unit, np.uint64((1 << _ID_BITS) - 1)).astype(np.int64)
+            unit = width[rest] >> np.uint64(_ID_BITS)
+            value = np.minimum(base[rest] // unit, np.uint64((1 << _ID_BITS) - 1)).view(np.int64)
             missed = np.searchsorted(model.below, value, side="right") - 1
             x[rest] = missed
-            narrow(rest, unit, model.below[missed].astype(np.uint64), (model.below[missed + 1] - model.below[missed]).astype(np.uint64))
-        else:
-            missed = rest
+            lower = model.below.take(missed)
+            new_base, new_width = base[rest] - unit * lower.view(np.uint64), unit * (model.below.take(missed + 1) - lower).view(np.uint64)
+            narrow(rest, new_base, new_width)
+            base[rest], width[rest] = new_base, new_width
+        code[:m], span[:m] = base, width
         model.learn(x, part, missed)
         grid[t, :m] = x
         before, before2 = x, before[:m]

@@ -29,6 +29,9 @@ CACHE = 400_000
 #: The tokenizer's pattern of words, for lower-cased ASCII: a fixed value.
 _ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
+#: No word goes from an ASCII letter to an ASCII mark, so a blank between them changes no id.
+_LETTER_MARK = re.compile(rb"([A-Za-z])([!-/:-@\[-`{-~])")
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -41,8 +44,8 @@ class WordEncoder:
 
     The tokenizer's normalizer works inside words once white space is set apart, its pattern never matches across white
     space and drops it, so a text's ids are those of its words in turn; words are what ASCII white space separates. The
-    normalizer only lowers ASCII texts, so these are cut by the tokenizer's own pattern into fewer distinct words; not
-    so if a special token may be in them."""
+    normalizer only lowers ASCII texts, so these are cut by the tokenizer's own pattern into fewer distinct words, and
+    other texts between ASCII letters and marks; not so if a special token may be in them."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,6 +53,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends_word = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(self.size)])
         self.clear()
 
     def clear(self):
@@ -59,9 +63,13 @@ class WordEncoder:
         self.used = 0
 
     def _add(self, words: list[bytes]):
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), self.pool.dtype, int(sizes.sum()))
+        texts = [w.decode() for w in words]
+        letters = [k for k, t in enumerate(texts) if t.isalpha()]
+        others = [k for k, t in enumerate(texts) if not t.isalpha()]
+        flat, sizes = self._encoded([texts[k] for k in letters])
+        more, more_sizes = self._each([texts[k] for k in others])
+        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
+        words = [words[k] for k in letters + others]
         n = len(self.known)
         while len(self.pool) < self.used + len(flat):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -72,6 +80,24 @@ class WordEncoder:
         self.used += len(flat)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((x for ids in got for x in ids), self.pool.dtype, int(sizes.sum())), sizes
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, many to a call: each ends with the only id of its that ends a word. If the counts
+        of words and of ends should differ, they are encoded one by one."""
+        if not texts:
+            return self._each(texts)
+        lines = [" ".join(texts[s : s + 64]) for s in range(0, len(texts), 64)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate([np.array(ids, self.pool.dtype) for ids in got])
+        sizes = np.diff(np.nonzero(self.ends_word[flat])[0] + 1, prepend=0)
+        in_line = np.add.reduceat(self.ends_word[flat].astype(np.int64), np.cumsum([0, *map(len, got[:-1])]))
+        whole = len(sizes) == len(texts) and int(sizes.sum()) == len(flat) and (in_line[:-1] == 64).all()
+        return (flat, sizes) if whole else self._each(texts)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with END_ID, and how many each has."""
         if len(self.known) > CACHE:
@@ -85,8 +111,12 @@ class WordEncoder:
         words: list[bytes] = []
         counts = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
-            plain = text.isascii() and b"<|" not in text
-            words += _ASCII_WORD.findall(text.lower()) if plain else text.split()
+            if b"<|" in text:
+                words += text.split()
+            elif text.isascii():
+                words += _ASCII_WORD.findall(text.lower())
+            else:
+                words += _LETTER_MARK.sub(rb"\1 \2", text).split()
             words.append(end)
             counts[k] = len(words)
         known = self.known

@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 from paperloom.llm import token_output as to
 
-TEXTS = ["Some words, and MORE words!", None, "", " \n", "é é ́x Ǆ İstanbul ΣΑΣ", "a<|endoftext|>b <|startoftext|>", "日本語 text　wide\xa0blank\x1cx\x85y", "it's don't 'S 12345", "\'!\'s x\'ll!! A\x1cB\x0b1a2--B <| end |> Don\'T", "word " * 4000]
+TEXTS = ["Some words, and MORE words!", None, "", " \n", "é é ́x Ǆ İstanbul ΣΑΣ", "a<|endoftext|>b <|startoftext|>", "日本語 text　wide\xa0blank\x1cx\x85y", "it's don't 'S 12345", "\'!\'s x\'ll!! A\x1cB\x0b1a2--B <| end |> Don\'T", "word " * 4000, "wörd's, (naïve)e\u0301,x A\u030a! l'été—d,…", "Ünïcode'S don't_stop... éa.b"]
 
 
 def want(rows):
