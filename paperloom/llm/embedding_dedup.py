@@ -42,6 +42,7 @@ def fit(sample: np.ndarray, codes: int = CODES, recall: float = RECALL, least: f
     """Two codebooks by k-means and the limit of the traversal, from unit vectors. The limit is the quantile `recall`
     of how much farther than its own home a vector finds the home of a simulated neighbour at the threshold."""
     rng = np.random.default_rng(seed)
+    codes = max(1, min(codes, len(sample) // 64))  # few vectors are one cell, in which all meet
     books = []
     for half in _halves(sample):
         book = half[rng.permutation(len(half))[:codes]].copy()
@@ -51,7 +52,7 @@ def fit(sample: np.ndarray, codes: int = CODES, recall: float = RECALL, least: f
                 if (near == k).any():
                     book[k] = half[near == k].mean(axis=0)
         books.append(book)
-    x = sample[rng.permutation(len(sample))[:4096]]
+    x = sample[rng.integers(0, len(sample), 4096)]
     away = rng.normal(size=x.shape)
     away -= (away * x).sum(axis=1, keepdims=True) * x
     away /= np.maximum(1e-12, np.sqrt((away**2).sum(axis=1, keepdims=True)))
