@@ -20,7 +20,7 @@ from .arrow import as_bytes, text_batches
 from .common import components, staged
 
 SHINGLE = 5
-K = 128
+K = 192
 #: A pair at the threshold shares none of its union's LISTED smallest values with probability 0.25 ** 16 = 2e-10.
 LISTED = 16
 #: Lists up to this length are compared in one piece; longer ones in pairs of halves of it.
@@ -28,9 +28,15 @@ LIST_BLOCK = 2048
 #: A document with this many retained values outside the long lists needs no long list: a pair at the threshold that
 #: shares only values of long lists leaves so many others with probability below 4e-5.
 RARE_ENOUGH = 12
-#: Retained values that a pair shares at least (fewer at the threshold: 6e-7), and the lowest estimate that is verified
-#: (four standard deviations below 0.75 for K values).
-SHARED_LEAST, ESTIMATE_LEAST = 4, 0.6
+#: Retained values that a pair at the threshold shares at least (fewer: with probability 6e-7).
+SHARED_LEAST = 4
+LEAST = 0.75
+#: Standard deviations of the estimate below the threshold at which a pair is still verified.
+DEVIATIONS = 4.0
+#: Lists longer than this are first gathered round LEADERS of their documents.
+LEAD_FROM, LEADERS = 64, 8
+#: Best candidates that a document puts forward in a list in each further round; the last round puts all forward.
+ROUNDS = (4, 32, None)
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -93,33 +99,38 @@ def _profiles(batches):
 # --- inside one list ------------------------------------------------------------------------------------------------
 
 
-def _estimates(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of pairs of rows: both sketches hold all values up to the smaller of their last ones, so the
-    shared and distinct values up to it are counts in the sketch of the union."""
-    out = np.empty(len(i))
-    for s in range(0, len(i), 1 << 14):
-        a, b = sketch[i[s : s + (1 << 14)]], sketch[j[s : s + (1 << 14)]]
-        whole_a, whole_b = n[i[s : s + (1 << 14)]] <= K, n[j[s : s + (1 << 14)]] <= K
-        top = np.minimum(np.where(whole_a, _NONE, a[:, -1]), np.where(whole_b, _NONE, b[:, -1]))[:, None]
-        both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-        valid = (both[:, 1:] <= top) & (both[:, 1:] != _NONE)
-        shared = ((both[:, 1:] == both[:, :-1]) & valid).sum(axis=1)
-        seen = ((a <= top) & (a != _NONE)).sum(axis=1) + ((b <= top) & (b != _NONE)).sum(axis=1)
-        out[s : s + (1 << 14)] = shared / np.maximum(1, seen - shared)
-    return out
-
-
-def list_pairs(cids: list[bytes], n: np.ndarray, sketch: np.ndarray, group: np.ndarray | None) -> set[tuple[bytes, bytes]]:
-    """Pairs of one list to verify.
-
-    Without groups: documents gather round leaders (the first of those that no leader has taken) that their estimates
-    reach, and pairs across leaders whose estimates pass are added, so near copies of one another cost a pair each and
-    not a pair for every two. With groups (components of the links verified so far): all pairs across groups whose
-    estimates pass; nothing that the leaders' pairs failed to link is lost.
+def _promising(sketch: np.ndarray, n: np.ndarray, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the others may reach the threshold with row i, and the estimates of those.
+
+    Two sketches hold all values up to the smaller of their last ones (all values, if a set is no larger than its
+    sketch): the shared and distinct values up to it are a sketch of the union. The allowance follows the size of that
+    sketch and the part of the union that it is, so that it is 0 where the sketches hold both sets."""
+    own, theirs = sketch[i, : min(K, int(n[i]))], sketch[others]
+    at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+    shared = ((own[at] == theirs) & (theirs != _NONE)).sum(axis=1)
+    top = np.where(n[others] <= K, _NONE, theirs[:, -1])
+    if n[i] > K:
+        top = np.minimum(top, own[-1])
+    seen = np.searchsorted(own, top, side="right") + ((theirs <= top[:, None]) & (theirs != _NONE)).sum(axis=1) - shared
+    estimate = shared / np.maximum(1, seen)
+    union = np.maximum(seen, (n[i] + n[others]) / (1 + LEAST))
+    slack = DEVIATIONS * np.sqrt(LEAST * (1 - LEAST) / np.maximum(1, seen) * (1 - seen / union))
+    slack[(n[others] <= K) & (n[i] <= K)] = 0
+    good = estimate >= LEAST - slack - 1e-9
+    return others[good], estimate[good]
+
+
+def list_pairs(cids: list[bytes], n: np.ndarray, sketch: np.ndarray, group: np.ndarray | None, limit: int | None) -> dict[tuple[bytes, bytes], bool]:
+    """Pairs of one list to verify, each with whether one of the two has more candidates than it put forward.
+
+    Without groups: documents gather round a few leaders, so near copies of one another cost a pair each and not a pair
+    for every two. With groups (components of the links verified so far): every document outside the largest group puts
+    forward its best candidates across groups, `limit` at most.
     """
     m = len(cids)
+    found: dict[tuple[bytes, bytes], bool] = {}
     if m < 2:
-        return set()
+        return found
     low = sketch[:, :LISTED]
     values, inverse, counts = np.unique(low, return_inverse=True, return_counts=True)
     inverse = inverse.reshape(low.shape)
@@ -128,37 +139,42 @@ def list_pairs(cids: list[bytes], n: np.ndarray, sketch: np.ndarray, group: np.n
     shares = np.zeros((m, int(often.sum())), np.float32)
     rows, cols = np.nonzero(often[inverse])
     shares[rows, column[inverse[rows, cols]]] = 1
-    least = np.minimum(SHARED_LEAST, np.minimum(n[:, None], n[None, :]))
-    fits = (4 * np.minimum(n[:, None], n[None, :]) >= 3 * np.maximum(n[:, None], n[None, :])) & (shares @ shares.T >= least)
-    np.fill_diagonal(fits, False)
-    found: set[tuple[bytes, bytes]] = set()
 
-    def add(i, j):
-        found.update((cids[x], cids[y]) if cids[x] < cids[y] else (cids[y], cids[x]) for x, y in zip(i.tolist(), j.tolist(), strict=True))
+    def fits(i: int) -> np.ndarray:
+        smaller, larger = np.minimum(n, n[i]), np.maximum(n, n[i])
+        out = (4 * smaller >= 3 * larger) & (shares @ shares[i] >= np.minimum(SHARED_LEAST, smaller))
+        out[i] = False
+        return out
 
-    def across(mask):
-        for s in range(0, m, 256):  # in strips, so that the index arrays stay small
-            i, j = np.nonzero(np.triu(mask[s : s + 256], k=s + 1))
-            if len(i):
-                good = _estimates(sketch, n, i + s, j) >= ESTIMATE_LEAST
-                add(i[good] + s, j[good])
+    def add(i: int, j: int, more: bool) -> None:
+        pair = (cids[i], cids[j]) if cids[i] < cids[j] else (cids[j], cids[i])
+        found[pair] = found.get(pair, False) or more
 
     if group is None:
-        group = np.full(m, -1)
+        taken = np.zeros(m, bool)
         for lead in range(m):
-            if group[lead] >= 0:
+            if taken[lead]:
                 continue
-            group[lead] = lead
-            near = np.nonzero(fits[lead] & (group < 0))[0]
-            if len(near):
-                near = near[_estimates(sketch, n, np.full(len(near), lead), near) >= ESTIMATE_LEAST]
-                group[near] = lead
-                add(np.full(len(near), lead), near)
-    across(fits & (group[:, None] != group[None, :]))
+            taken[lead] = True
+            near, _ = _promising(sketch, n, lead, np.nonzero(fits(lead) & ~taken)[0])
+            taken[near] = True
+            for j in near.tolist():
+                add(lead, j, False)
+            if lead >= 8 * LEADERS or taken.all():
+                break
+        return found
+    largest = np.bincount(group).argmax()
+    for i in np.nonzero(group != largest)[0].tolist():
+        near, estimate = _promising(sketch, n, i, np.nonzero(fits(i) & (group != group[i]))[0])
+        more = limit is not None and len(near) > limit
+        if more:
+            near = near[np.argsort(-estimate, kind="stable")[:limit]]
+        for j in near.tolist():
+            add(i, j, more)
     return found
 
 
-def _compare_lists(grouped: bool):
+def _compare_lists(grouped: bool, limit: int | None):
     def run(batches):
         held, last = [], None
 
@@ -176,8 +192,9 @@ def _compare_lists(grouped: bool):
             if grouped:
                 names: dict[bytes, int] = {}
                 group = np.array([names.setdefault(columns["root"][at], len(names)) for at in pick])
-            got = sorted(list_pairs([columns["cid"][at] for at in pick], np.array([columns["n"][at] for at in pick], np.int64), sketch, group))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.binary()) for k in (0, 1)], ["a", "b"])
+            got = list_pairs([columns["cid"][at] for at in pick], np.array([columns["n"][at] for at in pick], np.int64), sketch, group, limit)
+            ends = [pa.array([p[k] for p in got], pa.binary()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*ends, pa.array(list(got.values()), pa.bool_())], ["a", "b", "more"])
 
         for batch in batches:
             keys = np.asarray(batch.column("list_key"))
@@ -238,30 +255,40 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 def _blocks(listed: DataFrame, lengths: DataFrame) -> DataFrame:
     """Give each posting the key of the piece of its list in which it is compared: short lists are one piece; in long
     ones (of those documents that need them) any two blocks of documents meet in one piece."""
-    short = listed.join(lengths.where(f"length <= {LIST_BLOCK}").select("v"), "v")
-    short = short.select(F.xxhash64("v", F.lit(0), F.lit(0)).alias("list_key"), "cid", "v")
-    long_values = lengths.where(f"length > {LIST_BLOCK}").select("v")
-    often = listed.join(long_values, "v")
+    short = listed.join(lengths.where(f"length <= {LIST_BLOCK}"), "v")
+    short = short.select(F.xxhash64("v", F.lit(0), F.lit(0)).alias("list_key"), "cid", (F.col("length") > LEAD_FROM).alias("led"))
+    often = listed.join(lengths.where(f"length > {LIST_BLOCK}").select("v"), "v")
     rare = often.groupBy("cid").agg(F.count(F.lit(1)).alias("common"), F.first("retained").alias("retained"))
     rare = rare.where(F.col("retained") - F.col("common") < F.least(F.lit(RARE_ENOUGH), F.ceil(F.col("retained") * 0.75)))
     often = staged(often.join(rare.select("cid"), "cid", "left_semi").select("cid", "v"), "long-lists")
     per_list = often.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / (LIST_BLOCK / 2.5)).alias("parts"))
     often = often.join(per_list, "v").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("parts") - 1)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     often = often.withColumn("other", other).where("other <> part OR parts = 1")
     key = F.xxhash64("v", F.least("part", "other") + 1, F.greatest("part", "other") + 1)
-    return short.unionByName(often.select(key.alias("list_key"), "cid", "v"))
+    return short.unionByName(often.select(key.alias("list_key"), "cid", F.lit(True).alias("led")))
 
 
-def _candidates(pieces: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    rows = pieces.join(classes.select("cid", "n", "sketch"), "cid")
+def _candidates(pieces: DataFrame, classes: DataFrame, roots: DataFrame | None, limit: int | None) -> DataFrame:
+    """(a, b, more) of the pieces: round leaders, or across the components in roots."""
+    rows = pieces.select("list_key", "cid").join(classes.select("cid", "n", "sketch"), "cid")
     if roots is None:
         rows = rows.withColumn("root", F.lit(None).cast("binary"))
     else:
         rows = rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
         rows = rows.withColumn("root", F.coalesce("root", "cid"))
     rows = rows.select("list_key", "cid", "n", "sketch", "root").repartition("list_key").sortWithinPartitions("list_key")
-    return rows.mapInArrow(_compare_lists(roots is not None), "a binary, b binary").distinct()
+    found = rows.mapInArrow(_compare_lists(roots is not None, limit), "a binary, b binary, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _open_keys(pieces: DataFrame, roots: DataFrame, only: DataFrame | None) -> DataFrame:
+    """Keys of the pieces whose documents are of two components or more (and that hold one of the documents `only`)."""
+    tagged = pieces.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    keys = tagged.groupBy("list_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list_key")
+    if only is not None:
+        keys = keys.join(pieces.join(only, "cid", "left_semi").select("list_key").distinct(), "list_key")
+    return staged(keys, "open")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,10 +300,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     in one component only if their sets are linked. Null ids never become a component's id unless it has no other.
     Other columns are ignored; an empty table gives no rows.
 
-    Equal sets are one class and never expanded into pairs. Classes meet in inverted lists of retained values. In a
-    list, documents gather round leaders, those pairs are verified on the full sets, and a second round compares what
-    the links found so far leave in different components, so no link between components is lost. Lists of common
-    values are cut in blocks of which any two meet; no list is capped.
+    Equal sets are one class and never expanded into pairs. Classes meet in inverted lists of retained values. In longer
+    lists, documents first gather round leaders. Further rounds compare what the links found so far leave in different
+    components: each document puts its best candidates forward, more of them in each round and in the last one all, and
+    every pair put forward is verified on the full sets, so no link between components is lost while pairs within one
+    are never listed. Lists of common values are cut in blocks of which any two meet; no list is capped.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("docs_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -289,21 +317,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     postings = classes.select("cid", F.size("listed").alias("retained"), F.explode("listed").alias("v"))
     lengths = staged(postings.groupBy("v").agg(F.count(F.lit(1)).alias("length")).where("length > 1"), "lengths")
     pieces = staged(_blocks(postings.join(lengths.select("v"), "v"), lengths), "pieces")
-    first = staged(_candidates(pieces, classes, None), "candidates")
-    links = _verified(first, classes, docs)
-    roots = staged(components(links), "roots")
-    # The second round: pieces whose documents are not all of one component yet, and only if a leader's pair failed.
-    tagged = pieces.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    failed = first.join(links, ["a", "b"], "left_anti")
-    unsure = failed.select(F.col("a").alias("cid")).unionByName(failed.select(F.col("b").alias("cid"))).distinct()
-    open_keys = tagged.join(unsure, "cid", "left_semi").select("list_key").distinct()
-    open_keys = tagged.join(open_keys, "list_key").groupBy("list_key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-    open_keys = staged(open_keys.where("x <> y").select("list_key"), "open")
-    second = _candidates(pieces.join(open_keys, "list_key"), classes, roots).join(first, ["a", "b"], "left_anti")
-    second = staged(second, "candidates2")
-    if second.limit(1).count():
-        links = links.unionByName(_verified(second, classes, docs))
-        roots = staged(components(links), "roots2")
+    tried = staged(_candidates(pieces.where("led"), classes, None, None), "tried")
+    links = _verified(tried, classes, docs)
+    roots, only = staged(components(links), "roots"), None
+    for limit in ROUNDS:
+        keys = _open_keys(pieces, roots, only)
+        fresh = staged(_candidates(pieces.join(keys, "list_key"), classes, roots, limit), "fresh")
+        again = fresh.where("more")
+        fresh = staged(fresh.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "untried")
+        if fresh.limit(1).count():
+            links = staged(links.unionByName(_verified(fresh, classes, docs)), "links")
+            tried = tried.select("a", "b").unionByName(fresh)
+            roots = staged(components(links), "roots")
+        only = again.select(F.col("a").alias("cid")).unionByName(again.select(F.col("b").alias("cid"))).distinct()
+        if limit is None or not only.limit(1).count():
+            break
     named = profiles.select("id", "n", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     named = staged(named.select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("root")), "named")
     heads = staged(named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("head")), "heads")
