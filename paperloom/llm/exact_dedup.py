@@ -91,15 +91,15 @@ def keep_ids(docs: DataFrame, kept: DataFrame, dropped: DataFrame, id_col: str)
     row stays, the one with the longest text.
     """
     again = staged(
-        kept.unionByName(dropped).groupBy(F.col(id_col).alias("rid")).count().where("count > 1").select("rid"), "again"
+        kept.unionByName(dropped).groupBy(F.col(id_col).alias("paperloom_rid")).count().where("count > 1").select("paperloom_rid"), "again"
     )
-    gone = dropped.select(F.col(id_col).alias("rid")).distinct()
-    rest = docs.join(gone, F.col(id_col).eqNullSafe(F.col("rid")), "left_anti")
+    gone = dropped.select(F.col(id_col).alias("paperloom_rid")).distinct()
+    rest = docs.join(gone, F.col(id_col).eqNullSafe(F.col("paperloom_rid")), "left_anti")
     if not again.limit(1).count():
         return rest
-    once = rest.join(again, F.col(id_col).eqNullSafe(F.col("rid")), "left_anti")
-    ids = kept.select(F.col(id_col).alias("rid")).distinct().join(again.withColumnRenamed("rid", "r2"), F.col("rid").eqNullSafe(F.col("r2")), "left_semi")
-    more = docs.join(ids, F.col(id_col).eqNullSafe(F.col("rid")), "left_semi")
+    once = rest.join(again, F.col(id_col).eqNullSafe(F.col("paperloom_rid")), "left_anti")
+    ids = kept.select(F.col(id_col).alias("paperloom_rid")).distinct().join(again.withColumnRenamed("paperloom_rid", "paperloom_rid2"), F.col("paperloom_rid").eqNullSafe(F.col("paperloom_rid2")), "left_semi")
+    more = docs.join(ids, F.col(id_col).eqNullSafe(F.col("paperloom_rid")), "left_semi")
     more = more.groupBy(id_col).agg(
         F.max_by(F.struct(*docs.columns), F.struct(F.char_length(F.coalesce("text", F.lit(""))), F.col("text"))).alias("row")
     )

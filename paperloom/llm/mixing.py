@@ -113,28 +113,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n_chars, it follows. Rows of which no word is taken, so all without words, are left out.
     """
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    mine = Window.partitionBy("mix_key").orderBy(F.desc("mix_taken"))
+    mine = Window.partitionBy("paperloom_mix_key").orderBy(F.desc("paperloom_mix_taken"))
     plan = staged(
         plan.where("taken > 0")
-        .select(F.col("key").alias("mix_key"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))
-        .withColumn("mix_row", F.row_number().over(mine)),
+        .select(F.col("key").alias("paperloom_mix_key"), F.col("size").alias("paperloom_mix_size"), F.col("taken").alias("paperloom_mix_taken"))
+        .withColumn("paperloom_mix_row", F.row_number().over(mine)),
         "taken",
     )
     names = docs.columns
-    rows = docs.withColumn("mix_key", _key(id_col, text_col, seed))
-    if plan.where("mix_row > 1").limit(1).count():
+    rows = docs.withColumn("paperloom_mix_key", _key(id_col, text_col, seed))
+    if plan.where("paperloom_mix_row > 1").limit(1).count():
         # Rows that repeat an id and a text share a key: the first of them take what the plan gives to that key.
-        same = Window.partitionBy("mix_key").orderBy(*[F.col(c).cast("string") for c in names])
-        joined = rows.withColumn("mix_row", F.row_number().over(same)).join(plan, ["mix_key", "mix_row"])
+        same = Window.partitionBy("paperloom_mix_key").orderBy(*[F.col(c).cast("string") for c in names])
+        joined = rows.withColumn("paperloom_mix_row", F.row_number().over(same)).join(plan, ["paperloom_mix_key", "paperloom_mix_row"])
     else:
-        joined = rows.join(plan.drop("mix_row"), "mix_key")
-    copies = F.ceil(F.col("mix_taken") / F.col("mix_size"))
-    joined = joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    words = F.least(F.col("mix_size"), F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")).cast("int")
+        joined = rows.join(plan.drop("paperloom_mix_row"), "paperloom_mix_key")
+    copies = F.ceil(F.col("paperloom_mix_taken") / F.col("paperloom_mix_size"))
+    joined = joined.withColumn("paperloom_mix_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    words = F.least(F.col("paperloom_mix_size"), F.col("paperloom_mix_taken") - (F.col("paperloom_mix_copy") - 1) * F.col("paperloom_mix_size")).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD_PATTERN), 0), F.lit(1), words), " ")
-    part = words < F.col("mix_size")
-    joined = joined.withColumn("mix_text", F.when(part, head).otherwise(F.col(text_col)))
-    out = {text_col: F.col("mix_text")}
+    part = words < F.col("paperloom_mix_size")
+    joined = joined.withColumn("paperloom_mix_text", F.when(part, head).otherwise(F.col(text_col)))
+    out = {text_col: F.col("paperloom_mix_text")}
     if "n_chars" in names:
-        out["n_chars"] = F.when(part, F.char_length("mix_text").cast("long")).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(part, F.char_length("paperloom_mix_text").cast("long")).otherwise(F.col("n_chars"))
     return joined.select(*[out.get(c, F.col(c)).alias(c) for c in names])

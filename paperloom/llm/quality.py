@@ -207,14 +207,11 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold, with all their columns."""
     packed = pickle.dumps(model)
-    names = docs.columns
 
     def run(batches):
         trees = pickle.loads(packed)
-        for batch in text_batches(batches, "text"):
+        for batch in text_batches(batches, text_col):
             texts = as_bytes(batch.column(text_col))
             yield batch.filter(pa.array(trees.score(statistics(texts)) >= threshold))
 
-    if text_col != "text":
-        docs = docs.withColumnRenamed(text_col, "text")
-    return docs.mapInArrow(run, docs.schema).toDF(*names)
+    return docs.mapInArrow(run, docs.schema)
