@@ -15,7 +15,7 @@ _LINES = f"""d AS ({_DOC}), l AS (SELECT doc_id, generate_subscripts(string_spli
 
 
 def _blocks(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 5 = 0")
+    d = table(spark, sf, "documents")
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     lines = d.select(F.col("doc_id").alias("path"), F.posexplode(F.split(clean, "\n")).alias("pos", "text"))
     style = F.when(F.col("pos") == 0, "Heading1").when(F.col("pos") % 4 == 1, "Heading3")
@@ -26,13 +26,22 @@ def _documents(spark, sf):
     return writers.build_documents(_blocks(spark, sf))
 
 
+def _join(left, right, how="inner", also=()):
+    """Join on path, which is null for documents without an id, and on the columns also."""
+    right = right.withColumnsRenamed({k: f"{k}_right" for k in ("path", *also)})
+    on = F.col("path").eqNullSafe(F.col("path_right"))
+    for k in also:
+        on = on & (F.col(k) == F.col(f"{k}_right"))
+    return left.join(right, on, how).drop("path_right", *(f"{k}_right" for k in also))
+
+
 @query(f"""WITH {_LINES} SELECT doc_id::VARCHAR AS path, ordinal, '/w:document/w:body/w:p[' || (ordinal + 1) || ']' AS structural_path, {norm('text')} AS text,
   CASE WHEN ordinal = 0 THEN 1 WHEN ordinal % 4 = 1 THEN 3 END AS level FROM l""")
 def package_paragraphs(spark, sf):
     files = _documents(spark, sf)
     paras, styles = packages.paragraphs(files), packages.styles(files)
     chain = styles.select("path", "style_id", F.col("outline_level").alias("chain"), "name")
-    out = paras.join(chain, ["path", "style_id"], "left")
+    out = _join(paras, chain, "left", ["style_id"])
     level = T.heading_level("outline_level", "chain", "style_id", "name")
     return out.select("path", "ordinal", "structural_path", T.normalize_text("text").alias("text"), level.alias("level"))
 
@@ -49,7 +58,7 @@ def package_relationships(spark, sf):
     files = _documents(spark, sf)
     rels, parts = packages.relationships(files), packages.parts(files)
     known = parts.select("path", F.col("part").alias("resolved"), F.lit(True).alias("found"))
-    return rels.join(known, ["path", "resolved"], "left").select("path", "source_part", "resolved", F.coalesce("found", F.lit(False)).alias("found"))
+    return _join(rels, known, "left", ["resolved"]).select("path", "source_part", "resolved", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query(f"""WITH d AS ({_DOC}) SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 20 = 0 THEN 'CONTAINER_UNREADABLE' ELSE 'OK' END AS outcome, doc_id % 20 <> 0 AS parsed FROM d WHERE doc_id % 20 <> 5
@@ -60,7 +69,7 @@ def package_gate(spark, sf):
     broken = F.when(k == 0, F.substring("content", 1, 40)).when(k == 5, F.concat(F.lit(b"{\\rtf1"), F.col("content"))).otherwise(F.col("content"))
     files = files.select("path", broken.alias("content"))
     seen = packages.parts(files).groupBy("path").agg(F.min("issue").alias("issue"), F.count("part").alias("n"))
-    out = files.select("path", packages.container(F.col("content")).alias("container")).join(seen, "path", "left")
+    out = _join(files.select("path", packages.container(F.col("content")).alias("container")), seen, "left")
     code = rules.gate(("NOT_ZIP", F.col("container") != "zip"), ("CONTAINER_UNREADABLE", F.col("issue").isNotNull()))
     return out.select("path", F.coalesce(code, F.lit("OK")).alias("outcome"), (F.coalesce("n", F.lit(0)) > 0).alias("parsed"))
 
@@ -85,30 +94,30 @@ def workbook_cells(spark, sf):
 
 @query(f"""WITH d AS ({_DOC}), x AS (SELECT doc_id, 'dear {{{{name}}}}' AS t FROM d) SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'dear {{{{name}}}}' ELSE 'dear reader ' || doc_id END AS text, CASE WHEN doc_id % 3 = 0 THEN 'TEMPLATE_VALUE_MISSING' END AS issue FROM x""")
 def template_fill(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("path"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"))
     blocks = d.select("path", F.lit(0).alias("pos"), F.lit("paragraph").alias("kind"), F.lit("dear {{name}}").alias("text"), F.lit(None).cast("string").alias("style"))
     files = writers.build_documents(blocks)
     value = F.struct(F.lit("name").alias("name"), F.concat(F.lit("reader "), "path").alias("value"))
     files = files.withColumn("values", F.when(F.col("path").cast("bigint") % 3 != 0, F.array(value)))
     done = writers.rewrite(files, writers.fill_template, "values")
     text = packages.paragraphs(done).select("path", "text")
-    return done.select("path", "issue").join(text, "path").select("path", "text", "issue")
+    return _join(done.select("path", "issue"), text).select("path", "text", "issue")
 
 
 @query(f"""WITH d AS ({_DOC}) SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 4 = 0 THEN 'TEXT_NOT_FOUND' END AS issue, CASE WHEN doc_id % 4 = 0 THEN 'first' ELSE 'second & last' END AS text, doc_id % 4 <> 0 AS changed FROM d""")
 def text_replacement(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("path"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"))
     files = writers.build_documents(d.select("path", F.lit(0).alias("pos"), F.lit("paragraph").alias("kind"), F.lit("first").alias("text"), F.lit(None).cast("string").alias("style")))
     expected = F.when(F.col("path").cast("bigint") % 4 == 0, "absent").otherwise("first")
     files = files.withColumn("edits", F.array(F.struct(expected.alias("expected"), F.lit("second & last").alias("replacement"))))
     done = writers.rewrite(files, writers.replace_text, "edits").withColumn("new_sha", F.sha2("content", 256))
-    both = done.join(files.select("path", F.sha2("content", 256).alias("old_sha")), "path")
-    return both.join(packages.paragraphs(done).select("path", "text"), "path").select("path", "issue", "text", (F.col("new_sha") != F.col("old_sha")).alias("changed"))
+    both = _join(done, files.select("path", F.sha2("content", 256).alias("old_sha")))
+    return _join(both, packages.paragraphs(done).select("path", "text")).select("path", "issue", "text", (F.col("new_sha") != F.col("old_sha")).alias("changed"))
 
 
 @query(f"""WITH d AS ({_DOC}) SELECT count(*) AS files, count(DISTINCT text) AS artifacts FROM d""")
 def artifact_store(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), "UTF-8").alias("content"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), "UTF-8").alias("content"))
     refs = delivery.artifact_refs(d)
     return d.agg(F.count(F.lit(1)).alias("files")).crossJoin(refs.agg(F.count(F.lit(1)).alias("artifacts")))
 
@@ -133,11 +142,13 @@ def package_counts(spark, sf):
     files = _documents(spark, sf)
     paras = packages.paragraphs(files).groupBy("path").agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("style_id").startswith("Heading")).alias("headings"))
     one = lambda df, name: df.groupBy("path").agg(F.count(F.lit(1)).alias(name))
-    return paras.join(one(packages.styles(files), "styles"), "path").join(one(packages.relationships(files), "relationships"), "path").join(one(packages.parts(files), "parts"), "path")
+    for counted, name in ((packages.styles, "styles"), (packages.relationships, "relationships"), (packages.parts, "parts")):
+        paras = _join(paras, one(counted(files), name))
+    return paras
 
 
 def _nodes(spark, sf):
-    return identity.anchored(identity.paragraphs(table(spark, sf, "documents").where("doc_id % 5 = 0"))).withColumns({"level": F.lit(1), "kind": F.lit("p"), "n_rows": F.lit(1)})
+    return identity.anchored(identity.paragraphs(table(spark, sf, "documents"))).withColumns({"level": F.lit(1), "kind": F.lit("p"), "n_rows": F.lit(1)})
 
 
 @query("SELECT 'identity' AS problem, 0 AS n UNION ALL SELECT 'map', 0 UNION ALL SELECT 'semantic', count(*) FROM (SELECT ordinal FROM (SELECT generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ordinal, doc_id FROM documents WHERE doc_id % 5 = 0) GROUP BY ordinal HAVING count(*) > 1)")
