@@ -17,7 +17,7 @@ placed AS (SELECT *, grid_before + coalesce(sum(span) OVER (PARTITION BY tbl, ro
 
 def _cells(spark, sf):
     one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    q = table(spark, sf, "lineitem").where("l_orderkey % 3 = 0").withColumn("idx", F.row_number().over(one) - 1)
+    q = table(spark, sf, "lineitem").withColumn("idx", F.row_number().over(one) - 1)
     merge = F.when(F.col("l_partkey") % 4 == 0, "continue").when(F.col("l_partkey") % 4 == 1, "restart")
     return q.select(
         F.col("l_orderkey").alias("tbl"), F.col("l_linenumber").alias("row"), "idx", F.lit(0).alias("grid_before"), (F.col("l_quantity").cast("bigint") % 3 + 1).cast("int").alias("span"),
@@ -67,7 +67,7 @@ SELECT tbl, row, 'row-wider-than-declared' AS issue FROM w UNION ALL SELECT tbl,
 def grid_issues(spark, sf):
     placed = _placed(spark, sf)
     declared = placed.select("tbl").distinct().withColumn("declared", F.lit(4))
-    return grid.merge_issues(placed, ["tbl"], declared).where("issue <> 'orphan-continue'")
+    return grid.merge_issues(placed, ["tbl"], declared)
 
 
 @query("""WITH lost AS (SELECT DISTINCT o_orderpriority AS kind, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)),
@@ -126,10 +126,10 @@ SELECT doc, status, CASE WHEN status = 'ok' THEN node END AS node FROM r""")
 def edit_targets(spark, sf):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
-    nodes = table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").withColumn("node", F.row_number().over(w))
+    nodes = table(spark, sf, "lineitem").withColumn("node", F.row_number().over(w))
     nodes = nodes.select(F.col("l_orderkey").alias("doc"), "node", text("l_linenumber").alias("para_id"), text("node").alias("path"), text(F.col("l_linenumber") % 3).alias("scope"), text(F.col("l_partkey") % 50).alias("digest"))
     c = F.col("o_custkey")
-    edits = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(
+    edits = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("doc"), F.lit(1).alias("edit"), F.when(c % 3 == 0, text(c % 7)).alias("para_id"), F.when(c % 2 == 0, text(c % 6 + 1)).alias("path"), text(c % 3).alias("scope"), text(c % 50).alias("digest")
     )
     return integrity.resolve_targets(edits, nodes, ["doc"]).select("doc", "status", "node")
@@ -142,7 +142,7 @@ s AS (SELECT *, CASE WHEN wanted IS NULL AND of > 1 THEN 'ambiguous' WHEN p IS N
 SELECT doc, of, status, CASE WHEN status = 'ok' THEN p END AS l_partkey, CASE WHEN status = 'ok' THEN x END AS l_extendedprice FROM s""")
 def match_occurrence(spark, sf):
     k = F.col("l_orderkey")
-    m = table(spark, sf, "lineitem").where("l_orderkey % 7 = 0").select(k.alias("doc"), "l_partkey", "l_extendedprice", F.when(k % 4 != 0, (k % 4).cast("int")).alias("wanted"))
+    m = table(spark, sf, "lineitem").select(k.alias("doc"), "l_partkey", "l_extendedprice", F.when(k % 4 != 0, (k % 4).cast("int")).alias("wanted"))
     return integrity.occurrence(m, ["doc"], ["l_partkey", "l_extendedprice"], "wanted")
 
 
@@ -204,7 +204,7 @@ def section_ranges(spark, sf):
 
 
 def _section_ends(spark, sf):
-    e = table(spark, sf, "orders").where("o_custkey % 11 = 0").select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 97).cast("int").alias("end_block")).distinct()
+    e = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 97).cast("int").alias("end_block")).distinct()
     b = F.col("end_block")
     return e.select("doc", "end_block", F.when(b % 3 == 0, "continuous").alias("type"), F.when(b % 4 == 0, 2).alias("num_cols"), (b % 5).alias("n_cols"))
 
