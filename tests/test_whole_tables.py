@@ -21,6 +21,9 @@ SELECT DISTINCT tbl, row, 'orphan-continue' AS issue FROM o WHERE v_merge = 'con
     "edit_targets": [(" WHERE l_orderkey % 5 = 0", ""), (" WHERE o_orderkey % 5 = 0", "")],
     "match_occurrence": [(" WHERE l_orderkey % 7 = 0", "")],
     **dict.fromkeys(["section_ranges", "break_order"], [(" WHERE o_custkey % 11 = 0", "")]),
+    **dict.fromkeys(["range_read", "cell_upsert", "workbook_summary", "cell_formats"], [(" WHERE l_suppkey < 40", "")]),
+    "style_inventory": [(" WHERE l_suppkey < 20", "")],
+    "workbook_cells": [(" WHERE l_suppkey < 10", "")],
 }
 
 
@@ -52,3 +55,13 @@ def test_document_without_id(spark, tmp_path):
     levels = {r.text: r.level for r in QUERIES["package_paragraphs"](spark, str(tmp_path)).collect()}
     assert levels == {"one": 1, "two": 3, "three": 1}
     assert QUERIES["package_relationships"](spark, str(tmp_path)).where("NOT found").count() == 0
+
+
+def test_all_suppliers(spark, tmp_path):
+    """sf0.001 has suppliers 0 to 9 only; here they go on to 60."""
+    lines = [(k, 1 + k % 7, 1 + k % 5, k % 61, float(k % 50), float(k), "N") for k in range(700)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"TYPE {k}", k) for k in range(1, 6)], "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    for name, column in {"range_read": "sheet", "cell_upsert": "sheet", "workbook_summary": "sheet", "cell_formats": "sheet", "style_inventory": "doc", "workbook_cells": "path"}.items():
+        got = {int(r[0]) for r in QUERIES[name](spark, str(tmp_path)).select(column).distinct().collect()}
+        assert got == set(range(61)), name
