@@ -76,10 +76,10 @@ def column_widths(total_mm, columns):
 
 
 def longest_by_key(paragraphs: DataFrame, by: list[str]) -> DataFrame:
-    """For each cell named by its pointer (table, row, cell) the format of its longest paragraph."""
+    """For each cell named by its pointer (table, row, cell) the format of its longest paragraph, the last of equals."""
     key = lambda tag: F.regexp_extract("pointer", rf"/w:{tag}\[(\d+)\]", 1).cast("int")
     cells = paragraphs.withColumns({"tbl": key("tbl"), "tr": key("tr"), "tc": key("tc")}).where("tc IS NOT NULL")
-    return cells.groupBy(*by, "tbl", "tr", "tc").agg(F.max_by("format", F.struct(F.char_length("text"), F.col("pointer"))).alias("format"))
+    return cells.groupBy(*by, "tbl", "tr", "tc").agg(F.max_by("format", F.struct(F.char_length("text"), key("p"), F.col("pointer"))).alias("format"))
 
 
 def note_order(ref):

@@ -37,7 +37,7 @@ SELECT path, 'unsafe-name' AS violation, part AS item FROM p WHERE part = '../ev
 UNION ALL SELECT path, 'missing-part', part FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.path = w.path AND p.part = w.part)
 UNION ALL SELECT path, 'dangling-target', 'word/styles.xml' FROM (SELECT DISTINCT path FROM p)""")
 def package_violations(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 5 = 0")
+    o = table(spark, sf, "orders")
     parts = o.select(F.col("o_custkey").alias("path"), _pick("o_orderkey", ["word/document.xml", "../evil.xml", "word/vbaProject.bin", "[Content_Types].xml"]).alias("part")).distinct()
     rels = parts.select("path").distinct().select("path", F.lit("Internal").alias("target_mode"), F.lit("word/styles.xml").alias("resolved"))
     return profiles.package_violations(parts, rels, ["path"], ["word/document.xml", "[Content_Types].xml"])
@@ -69,7 +69,7 @@ def refined_refs(spark, sf):
 
 @query("""SELECT l_orderkey, l_linenumber, l_suppkey, r_name AS color FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey % 9 = 0) l LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 6 <> 0) ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
 def theme_chain(spark, sf):
-    start = table(spark, sf, "lineitem").where("l_orderkey % 9 = 0").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_suppkey").alias("key")).distinct()
+    start = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_suppkey").alias("key")).distinct()
     hops = [(table(spark, sf, "supplier").where("s_suppkey % 6 <> 0"), "s_suppkey", "s_nationkey"), (table(spark, sf, "nation"), "n_nationkey", "n_regionkey"), (table(spark, sf, "region"), "r_regionkey", "r_name")]
     return profiles.follow(start, hops, "key").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("key").alias("color"))
 
@@ -113,7 +113,7 @@ def byte_ranges(spark, sf):
 @query("""WITH i AS (SELECT l_orderkey AS doc, l_partkey % 20 || '' AS pointer, l_linenumber AS page FROM lineitem WHERE l_orderkey % 4 = 0), p AS (SELECT l_orderkey AS doc, max(l_linenumber) - 1 AS pages FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1)
 SELECT i.doc, 'page-range' AS rule, pointer FROM i JOIN p USING (doc) WHERE NOT page BETWEEN 1 AND pages UNION ALL SELECT doc, 'pointer-twice', pointer FROM i GROUP BY doc, pointer HAVING count(*) > 1""")
 def page_violations(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_orderkey % 4 = 0")
+    l = table(spark, sf, "lineitem")
     ir = l.select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 20).cast("string").alias("pointer"), F.col("l_linenumber").alias("page"))
     pages = ir.groupBy("doc").agg((F.max("page") - 1).alias("page"))
     return profiles.page_violations(ir, pages)
@@ -170,7 +170,7 @@ def bridge_coverage(spark, sf):
 
 @query("""WITH p AS (SELECT conv_id, turn, (turn // 2 + 1) AS tr, length(text) AS n, role FROM conversations WHERE turn < 8), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, tr ORDER BY n DESC, turn DESC) AS k FROM p) SELECT conv_id, 1 AS tbl, tr, 1 AS tc, role AS format FROM r WHERE k = 1""")
 def cell_paragraph_formats(spark, sf):
-    c = table(spark, sf, "conversations").where("turn < 8")
+    c = table(spark, sf, "conversations")
     place = F.concat(F.lit("d!/w:tbl[1]/w:tr["), (F.floor(F.col("turn") / 2) + 1).cast("string"), F.lit("]/w:tc[1]/w:p["), (F.col("turn") + 1).cast("string"), F.lit("]"))
     return briefs.longest_by_key(c.select("conv_id", place.alias("pointer"), "text", F.col("role").alias("format")), ["conv_id"])
 
@@ -218,7 +218,7 @@ def reference_plan(spark, sf):
 def deck_runs(spark, sf):
     import pyarrow as pa
 
-    c = table(spark, sf, "conversations").where("conv_id % 10 = 0").select(F.col("conv_id").cast("string").alias("path"), "turn", F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "").alias("text"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("path"), "turn", F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "").alias("text"))
     decks = c.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
 
     def run(batches):

@@ -24,6 +24,11 @@ SELECT DISTINCT tbl, row, 'orphan-continue' AS issue FROM o WHERE v_merge = 'con
     **dict.fromkeys(["range_read", "cell_upsert", "workbook_summary", "cell_formats"], [(" WHERE l_suppkey < 40", "")]),
     "style_inventory": [(" WHERE l_suppkey < 20", "")],
     "workbook_cells": [(" WHERE l_suppkey < 10", "")],
+    "package_violations": [(" WHERE o_custkey % 5 = 0", "")],
+    "theme_chain": [(" WHERE l_orderkey % 9 = 0", "")],
+    "page_violations": [(" WHERE l_orderkey % 4 = 0", "")],
+    "deck_runs": [(" WHERE conv_id % 10 = 0", "")],
+    "cell_paragraph_formats": [(" WHERE turn < 8", "")],
 }
 
 
@@ -65,3 +70,14 @@ def test_all_suppliers(spark, tmp_path):
     for name, column in {"range_read": "sheet", "cell_upsert": "sheet", "workbook_summary": "sheet", "cell_formats": "sheet", "style_inventory": "doc", "workbook_cells": "path"}.items():
         got = {int(r[0]) for r in QUERIES[name](spark, str(tmp_path)).select(column).distinct().collect()}
         assert got == set(range(61)), name
+
+
+def test_long_conversations(spark, tmp_path):
+    """sf0.001 has turns up to 7 only; here they go on to 19, in conversations of any and of no id."""
+    rows = [(c, t, "user" if t % 2 else "bot", "x") for c in (None, 3, 10) for t in range(20)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((str(r.conv_id), r.tr, r.format) for r in QUERIES["cell_paragraph_formats"](spark, str(tmp_path)).collect())
+    assert got == sorted((c, t, "user") for c in ("10", "3", "None") for t in range(1, 11))
+    # of equal texts the later turn stays, also of turns 8 and 9 whose numbers sort otherwise as text
+    decks = sorted((str(r.path), r.slide) for r in QUERIES["deck_runs"](spark, str(tmp_path)).collect())
+    assert decks == sorted((c, t) for c in ("10", "3", "None") for t in range(1, 21))
