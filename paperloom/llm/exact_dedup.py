@@ -79,28 +79,34 @@ def _by_bytes(rows: DataFrame, clashes: DataFrame, first) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one row of each group of equal texts."""
-    groups = staged(exact_groups(docs, id_col, text_col).select(id_col, "kept"), "decided")
-    return keep_ids(docs, groups.where("kept").select(id_col), groups.where("NOT kept").select(id_col), id_col)
+    groups = staged(exact_groups(docs, id_col, text_col).select(id_col, "kept", "text_sha256"), "decided")
 
+    def longest(rows: DataFrame) -> DataFrame:
+        best = groups.where("kept").select(F.col(id_col).alias("paperloom_best"), F.col("text_sha256").alias("paperloom_key")).distinct()
+        rows = rows.withColumn("paperloom_key", F.sha2(body_of(F.col(text_col)), 256)).join(best, "paperloom_key")
+        return longest_rows(rows.where(F.col(id_col).eqNullSafe(F.col("paperloom_best"))), "paperloom_key", docs.columns, text_col)
 
-def keep_ids(docs: DataFrame, kept: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """Rows of docs whose id is not dropped, once per kept id. Both lists hold an entry per row of docs.
+    return keep_rows(docs, groups.select(id_col, "kept"), id_col, longest)
+
+
+def longest_rows(rows: DataFrame, key: str, columns: list[str], text_col: str) -> DataFrame:
+    """Of each key the row with the longest text, of equally long ones that with the largest."""
+    size = F.struct(F.char_length(F.coalesce(F.col(text_col), F.lit(""))), F.col(text_col))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), size).alias("paperloom_row")).select("paperloom_row.*")
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, pick) -> DataFrame:
+    """Rows of docs that stay; decided holds (<id>, kept) for each row of docs.
 
     The usual case, ids that occur once, is one anti-join with the dropped ids: small lists are broadcast by their
-    written size, longer ones shuffled. Ids of more rows than one go the longer way: of each such id that is kept, one
-    row stays, the one with the longest text.
+    written size, longer ones shuffled. An id of more rows than one, null being one id, does not tell which of its rows
+    stays: those rows go through `pick`, which decides by their texts and gives the ones that stay.
     """
-    again = staged(
-        kept.unionByName(dropped).groupBy(F.col(id_col).alias("paperloom_rid")).count().where("count > 1").select("paperloom_rid"), "again"
-    )
-    gone = dropped.select(F.col(id_col).alias("paperloom_rid")).distinct()
-    rest = docs.join(gone, F.col(id_col).eqNullSafe(F.col("paperloom_rid")), "left_anti")
+    rid = F.col(id_col).alias("paperloom_rid")
+    again = staged(decided.groupBy(rid).count().where("count > 1").select("paperloom_rid"), "again")
+    same = F.col(id_col).eqNullSafe(F.col("paperloom_rid"))
+    rest = docs.join(decided.where("NOT kept").select(rid).distinct(), same, "left_anti")
     if not again.limit(1).count():
         return rest
-    once = rest.join(again, F.col(id_col).eqNullSafe(F.col("paperloom_rid")), "left_anti")
-    ids = kept.select(F.col(id_col).alias("paperloom_rid")).distinct().join(again.withColumnRenamed("paperloom_rid", "paperloom_rid2"), F.col("paperloom_rid").eqNullSafe(F.col("paperloom_rid2")), "left_semi")
-    more = docs.join(ids, F.col(id_col).eqNullSafe(F.col("paperloom_rid")), "left_semi")
-    more = more.groupBy(id_col).agg(
-        F.max_by(F.struct(*docs.columns), F.struct(F.char_length(F.coalesce("text", F.lit(""))), F.col("text"))).alias("row")
-    )
-    return once.unionByName(more.select("row.*"))
+    once = rest.join(again, same, "left_anti")
+    return once.unionByName(pick(docs.join(again, same, "left_semi")))

@@ -306,6 +306,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     every pair put forward is verified on the full sets, so no link between components is lost while pairs within one
     are never listed. Lists of common values are cut in blocks of which any two meet; no list is capped.
     """
+    out = _grouped(docs, id_col, text_col)
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, cid, root, component) of each row: the key of its set and the smallest key of its component (null
+    without words), and the component's id."""
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("docs_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = f"id {id_type}, n bigint, cid binary, listed array<bigint>, sketch binary"
@@ -333,19 +343,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if limit is None or not only.limit(1).count():
             break
     named = profiles.select("id", "n", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    named = staged(named.select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("root")), "named")
+    named = staged(named.select("id", "n", "cid", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("root")), "named")
     heads = staged(named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("head")), "heads")
-    out = named.join(heads, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("head"))
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
-    )
+    return named.join(heads, "root", "left").select("id", "n", "cid", "root", component.alias("component"))
+
+
+def _with_set_keys(batches):
+    for batch in text_batches(batches, "paperloom_text"):
+        sets = shingle_sets(as_bytes(batch.column("paperloom_text")))
+        keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
+        columns = [k for k in batch.schema.names if k != "paperloom_text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in columns), keys], [*columns, "paperloom_cid"])
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: one of each component, with all columns; documents without words stay."""
-    from .exact_dedup import keep_ids
+    from .exact_dedup import keep_rows, longest_rows
+
+    groups = _grouped(docs, id_col, text_col).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
+    groups = staged(groups.select(F.col("id").alias(id_col), "kept", "cid", "root"), "decided")
+
+    def longest(rows: DataFrame) -> DataFrame:
+        best = groups.where("kept AND root IS NOT NULL").select(F.col(id_col).alias("paperloom_best"), F.col("cid").alias("paperloom_cid"), F.col("root").alias("paperloom_key")).distinct()
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "paperloom_cid binary"])
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        keyed = staged(rows.withColumn("paperloom_text", text).mapInArrow(_with_set_keys, schema), "repeated")
+        found = keyed.join(best, "paperloom_cid").where(F.col(id_col).eqNullSafe(F.col("paperloom_best")))
+        return keyed.where("paperloom_cid IS NULL").select(*docs.columns).unionByName(longest_rows(found, "paperloom_key", docs.columns, text_col))
 
-    groups = staged(near_groups(docs, id_col, text_col).select(id_col, "kept"), "decided")
-    return keep_ids(docs, groups.where("kept").select(id_col), groups.where("NOT kept").select(id_col), id_col)
+    return keep_rows(docs, groups.select(id_col, "kept"), id_col, longest)
