@@ -15,9 +15,9 @@ from .base import norm, query, table
   left(regexp_replace(regexp_replace(left(text, 40) || '.docx', '\\.[^.]+$', ''), '[^a-zA-Z0-9_.\\-]+', '_', 'g'), 80) AS stem_chars, regexp_matches(text, '[^\\x09\\x0a\\x0d\\x20-\\x7e]') AS needs_font
   FROM (SELECT doc_id, text, {norm('text')} AS n, {norm('text')} AS s FROM documents WHERE lang = 'en')""")
 def text_functions(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    stem = T.stem(F.concat(F.left("text", F.lit(40)), F.lit(".docx")))
-    return d.select("doc_id", T.snippet("text").alias("snippet"), T.truncate("text").alias("summary"), T.match_key("text").alias("match_key"), T.xml_escape(F.left("text", F.lit(90))).alias("escaped"), stem.alias("stem_chars"), T.needs_font("text").alias("needs_font"))
+    d = table(spark, sf, "documents")
+    stem = T.stem(F.concat("text", F.lit(".docx")))
+    return d.select("doc_id", T.snippet("text").alias("snippet"), T.truncate("text").alias("summary"), T.match_key("text").alias("match_key"), T.xml_escape("text").alias("escaped"), stem.alias("stem_chars"), T.needs_font("text").alias("needs_font"))
 
 
 _P = "(['heading 1', 'Heading3', 'heading', '标题 2', 'Heading2 Char', 'Body Text', 'Title', 'heading 12'])[(p_partkey % 8 + 1)::INT]"

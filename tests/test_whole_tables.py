@@ -29,6 +29,8 @@ SELECT DISTINCT tbl, row, 'orphan-continue' AS issue FROM o WHERE v_merge = 'con
     "page_violations": [(" WHERE l_orderkey % 4 = 0", "")],
     "deck_runs": [(" WHERE conv_id % 10 = 0", "")],
     "cell_paragraph_formats": [(" WHERE turn < 8", "")],
+    "text_functions": [(" WHERE lang = 'en'", ""), ("left(text, 90)", "text"), ("left(text, 40)", "text")],
+    "evidence_envelopes": [(" WHERE source IS NOT NULL AND lang IS NOT NULL", "")],
 }
 
 
@@ -81,3 +83,18 @@ def test_long_conversations(spark, tmp_path):
     # of equal texts the later turn stays, also of turns 8 and 9 whose numbers sort otherwise as text
     decks = sorted((str(r.path), r.slide) for r in QUERIES["deck_runs"](spark, str(tmp_path)).collect())
     assert decks == sorted((c, t) for c in ("10", "3", "None") for t in range(1, 21))
+
+
+def test_every_document_is_described(spark, tmp_path):
+    texts = ["", "short", "é" * 40, "x" * 57 + "é" * 10, "y" * 300, None]
+    rows = [(k, t, None if k % 2 else "de", None if k % 3 else "src") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {int(r[0]): r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert set(run("evidence_envelopes")) == set(range(6))
+    ranges = run("byte_ranges")
+    for k, t in enumerate(texts):
+        piece = None if t is None else t.encode()[57:117].decode(errors="ignore")
+        want = (None, None) if t is None else (piece in t, 54 <= len(piece.encode()) <= 60)
+        assert (ranges[k].inside, ranges[k].near_size) == want, k
+    found = run("text_functions")
+    assert set(found) == set(range(6)) and found[4].escaped == "y" * 300 and found[2].needs_font
