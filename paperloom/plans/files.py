@@ -10,7 +10,7 @@ from ..operators import delivery, identity, integrity, rules
 from ..sources import packages, writers
 from .base import norm, query, table
 
-_DOC = "SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS text FROM documents WHERE doc_id % 5 = 0"
+_DOC = "SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS text FROM documents"
 _LINES = f"""d AS ({_DOC}), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal, unnest(string_split(text, chr(10))) AS text FROM d)"""
 
 
@@ -74,7 +74,7 @@ def package_gate(spark, sf):
     return out.select("path", F.coalesce(code, F.lit("OK")).alias("outcome"), (F.coalesce("n", F.lit(0)) > 0).alias("parsed"))
 
 
-_SHEET = """c AS (SELECT l_suppkey::VARCHAR AS path, 'S' || (l_linenumber % 2) AS sheet, row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 2 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS k, l_extendedprice AS number, l_returnflag AS flag FROM lineitem WHERE l_suppkey < 10)"""
+_SHEET = """c AS (SELECT l_suppkey::VARCHAR AS path, 'S' || (l_linenumber % 2) AS sheet, row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 2 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS k, l_extendedprice AS number, l_returnflag AS flag FROM lineitem)"""
 
 
 @query(f"""WITH {_SHEET} SELECT path, sheet, max(k // 6 + 1)::INT AS rows, max(k % 6 + 1)::INT AS columns, count(*) AS populated, count(*) FILTER (k % 5 = 0) AS texts, round(sum(CASE WHEN k % 5 <> 0 THEN number END), 2) AS total FROM c GROUP BY path, sheet""")
@@ -151,7 +151,7 @@ def _nodes(spark, sf):
     return identity.anchored(identity.paragraphs(table(spark, sf, "documents"))).withColumns({"level": F.lit(1), "kind": F.lit("p"), "n_rows": F.lit(1)})
 
 
-@query("SELECT 'identity' AS problem, 0 AS n UNION ALL SELECT 'map', 0 UNION ALL SELECT 'semantic', count(*) FROM (SELECT ordinal FROM (SELECT generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ordinal, doc_id FROM documents WHERE doc_id % 5 = 0) GROUP BY ordinal HAVING count(*) > 1)")
+@query("SELECT 'identity' AS problem, 0 AS n UNION ALL SELECT 'map', 0 UNION ALL SELECT 'semantic', count(*) FROM (SELECT ordinal FROM (SELECT generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ordinal, doc_id FROM documents) GROUP BY ordinal HAVING count(*) > 1)")
 def identity_checks(spark, sf):
     nodes = _nodes(spark, sf)
     entries = nodes.select("semantic_id", F.concat_ws("#", "doc_id", "pointer").alias("pointer"))

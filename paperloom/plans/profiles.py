@@ -31,7 +31,7 @@ def format_profile(spark, sf):
     return profiles.format_profile(parts, rels, ["path"])
 
 
-@query("""WITH p AS (SELECT DISTINCT o_custkey AS path, (['word/document.xml', '../evil.xml', 'word/vbaProject.bin', '[Content_Types].xml'])[(o_orderkey % 4 + 1)::INT] AS part FROM orders WHERE o_custkey % 5 = 0),
+@query("""WITH p AS (SELECT DISTINCT o_custkey AS path, (['word/document.xml', '../evil.xml', 'word/vbaProject.bin', '[Content_Types].xml'])[(o_orderkey % 4 + 1)::INT] AS part FROM orders),
 w AS (SELECT DISTINCT path, unnest(['word/document.xml', '[Content_Types].xml']) AS part FROM p)
 SELECT path, 'unsafe-name' AS violation, part AS item FROM p WHERE part = '../evil.xml' UNION ALL SELECT path, 'active-content', part FROM p WHERE part LIKE '%vba%'
 UNION ALL SELECT path, 'missing-part', part FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.path = w.path AND p.part = w.part)
@@ -67,7 +67,7 @@ def refined_refs(spark, sf):
     return profiles.refined(known, found, ["c_custkey"], ["label", "size"])
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_suppkey, r_name AS color FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey % 9 = 0) l LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 6 <> 0) ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, r_name AS color FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem) l LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 6 <> 0) ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
 def theme_chain(spark, sf):
     start = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_suppkey").alias("key")).distinct()
     hops = [(table(spark, sf, "supplier").where("s_suppkey % 6 <> 0"), "s_suppkey", "s_nationkey"), (table(spark, sf, "nation"), "n_nationkey", "n_regionkey"), (table(spark, sf, "region"), "r_regionkey", "r_name")]
@@ -88,7 +88,7 @@ def runtime_choice(spark, sf):
     return profiles.first_existing(c, ["component"])
 
 
-@query("""SELECT doc_id::VARCHAR AS source_id, sha256(coalesce(text, '')) AS source_sha256, '{"kind":"dual","sourceId":"' || doc_id || '","sourceSha256":"' || sha256(coalesce(text, '')) || '","payload":"{\\"lang\\":\\"' || lang || '\\",\\"source\\":\\"' || source || '\\"}"}' AS envelope FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+@query("""SELECT doc_id::VARCHAR AS source_id, sha256(coalesce(text, '')) AS source_sha256, '{"kind":"dual","sourceId":"' || doc_id || '","sourceSha256":"' || sha256(coalesce(text, '')) || '","payload":"{\\"lang\\":\\"' || lang || '\\",\\"source\\":\\"' || source || '\\"}"}' AS envelope FROM documents""")
 def evidence_envelopes(spark, sf):
     d = table(spark, sf, "documents")
     rows = d.select(F.col("doc_id").cast("string").alias("source_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256"), "source", "lang")
@@ -103,14 +103,15 @@ def canonical_json(spark, sf):
     return profiles.canonical_json(e, "raw").select("event_id", "canonical")
 
 
-@query("""SELECT doc_id, true AS inside, true AS near_size FROM documents WHERE strlen(text) > 200""")
+@query("""SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS inside,
+  strlen(text) >= 117 OR strlen(text) - 57 - length(regexp_extract(substr(hex(text), 115), '^(?:[89AB].){0,3}')) // 2 BETWEEN 54 AND 60 AS near_size FROM documents""")
 def byte_ranges(spark, sf):
     piece = profiles.byte_range(F.encode("text", "UTF-8"), 57, 60)
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.col("text").contains(piece).alias("inside"), F.octet_length(piece).between(54, 60).alias("near_size"))
 
 
-@query("""WITH i AS (SELECT l_orderkey AS doc, l_partkey % 20 || '' AS pointer, l_linenumber AS page FROM lineitem WHERE l_orderkey % 4 = 0), p AS (SELECT l_orderkey AS doc, max(l_linenumber) - 1 AS pages FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1)
+@query("""WITH i AS (SELECT l_orderkey AS doc, l_partkey % 20 || '' AS pointer, l_linenumber AS page FROM lineitem), p AS (SELECT l_orderkey AS doc, max(l_linenumber) - 1 AS pages FROM lineitem GROUP BY 1)
 SELECT i.doc, 'page-range' AS rule, pointer FROM i JOIN p USING (doc) WHERE NOT page BETWEEN 1 AND pages UNION ALL SELECT doc, 'pointer-twice', pointer FROM i GROUP BY doc, pointer HAVING count(*) > 1""")
 def page_violations(spark, sf):
     l = table(spark, sf, "lineitem")
@@ -168,7 +169,7 @@ def bridge_coverage(spark, sf):
     return out.groupBy("conv_id").agg(F.count("semantic_id").alias("matched"), F.count_if(F.col("semantic_id").isNull()).alias("unmatched"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, (turn // 2 + 1) AS tr, length(text) AS n, role FROM conversations WHERE turn < 8), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, tr ORDER BY n DESC, turn DESC) AS k FROM p) SELECT conv_id, 1 AS tbl, tr, 1 AS tc, role AS format FROM r WHERE k = 1""")
+@query("""WITH p AS (SELECT conv_id, turn, (turn // 2 + 1) AS tr, length(text) AS n, role FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, tr ORDER BY n DESC, turn DESC) AS k FROM p) SELECT conv_id, 1 AS tbl, tr, 1 AS tc, role AS format FROM r WHERE k = 1""")
 def cell_paragraph_formats(spark, sf):
     c = table(spark, sf, "conversations")
     place = F.concat(F.lit("d!/w:tbl[1]/w:tr["), (F.floor(F.col("turn") / 2) + 1).cast("string"), F.lit("]/w:tc[1]/w:p["), (F.col("turn") + 1).cast("string"), F.lit("]"))
@@ -214,7 +215,7 @@ def reference_plan(spark, sf):
     return plan.select("conv_id", "turn", "carried", "plan_style", "plan_level", briefs.column_widths(F.lit(briefs.TABLE_MM), t + 1).alias("width"))
 
 
-@query("""SELECT conv_id::VARCHAR AS path, turn + 1 AS slide, 'body' AS placeholder, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS text FROM conversations WHERE conv_id % 10 = 0""")
+@query("""SELECT conv_id::VARCHAR AS path, turn + 1 AS slide, 'body' AS placeholder, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS text FROM conversations""")
 def deck_runs(spark, sf):
     import pyarrow as pa
 

@@ -11,9 +11,9 @@ from .base import norm, query, table
 
 
 @query(f"""SELECT doc_id, (CASE WHEN length(s) > 60 THEN left(s, 60) || '…' ELSE s END) AS snippet, (CASE WHEN length(n) > 80 THEN left(n, 80) || '…' ELSE n END) AS summary,
-  lower(s) AS match_key, replace(replace(replace(replace(replace(left(text, 90), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped,
-  left(regexp_replace(regexp_replace(left(text, 40) || '.docx', '\\.[^.]+$', ''), '[^a-zA-Z0-9_.\\-]+', '_', 'g'), 80) AS stem_chars, regexp_matches(text, '[^\\x09\\x0a\\x0d\\x20-\\x7e]') AS needs_font
-  FROM (SELECT doc_id, text, {norm('text')} AS n, {norm('text')} AS s FROM documents WHERE lang = 'en')""")
+  lower(s) AS match_key, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped,
+  left(regexp_replace(regexp_replace(text || '.docx', '\\.[^.]+$', ''), '[^a-zA-Z0-9_.\\-]+', '_', 'g'), 80) AS stem_chars, regexp_matches(text, '[^\\x09\\x0a\\x0d\\x20-\\x7e]') AS needs_font
+  FROM (SELECT doc_id, text, {norm('text')} AS n, {norm('text')} AS s FROM documents)""")
 def text_functions(spark, sf):
     d = table(spark, sf, "documents")
     stem = T.stem(F.concat("text", F.lit(".docx")))

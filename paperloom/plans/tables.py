@@ -9,7 +9,7 @@ from ..operators import briefs, delivery, grid, identity, integrity, layout, rev
 from .base import query, table
 
 _CELLS = """q AS (SELECT l_orderkey AS tbl, l_linenumber AS row, l_quantity, l_extendedprice, l_partkey, l_suppkey,
-  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS idx FROM lineitem WHERE l_orderkey % 3 = 0),
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS idx FROM lineitem),
 cells AS (SELECT tbl, row, idx, l_linenumber_skip AS grid_before, span, v_merge, text FROM (SELECT tbl, row, idx, (l_partkey % 5 = 0)::INT AS l_linenumber_skip0, 0 AS l_linenumber_skip,
   (l_quantity::BIGINT % 3 + 1)::INT AS span, CASE WHEN l_partkey % 4 = 0 THEN 'continue' WHEN l_partkey % 4 = 1 THEN 'restart' END AS v_merge, l_partkey::VARCHAR AS text FROM q)),
 placed AS (SELECT *, grid_before + coalesce(sum(span) OVER (PARTITION BY tbl, row ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start_col FROM cells)"""
@@ -62,8 +62,9 @@ def grid_digests(spark, sf):
     return grid.shape_digests(placed, ["tbl"], sizes).join(grid.summaries(placed, ["tbl"]), "tbl")
 
 
-@query(f"""WITH {_CELLS}, w AS (SELECT tbl, row FROM placed GROUP BY tbl, row HAVING max(start_col + span) > 4), u AS (SELECT p.tbl, p.row FROM placed p JOIN placed a ON a.tbl = p.tbl AND a.row = p.row - 1 AND a.start_col = p.start_col WHERE p.v_merge = 'continue' AND p.span <> a.span GROUP BY ALL)
-SELECT tbl, row, 'row-wider-than-declared' AS issue FROM w UNION ALL SELECT tbl, row, 'width-change' FROM u""")
+@query(f"""WITH {_CELLS}, w AS (SELECT tbl, row FROM placed GROUP BY tbl, row HAVING max(start_col + span) > 4), u AS (SELECT p.tbl, p.row FROM placed p JOIN placed a ON a.tbl = p.tbl AND a.row = p.row - 1 AND a.start_col = p.start_col WHERE p.v_merge = 'continue' AND p.span <> a.span GROUP BY ALL),
+o AS (SELECT tbl, row, v_merge, last_value(CASE WHEN v_merge IS DISTINCT FROM 'continue' THEN row END IGNORE NULLS) OVER (PARTITION BY tbl, col ORDER BY row) AS owner FROM (SELECT *, unnest(range(start_col, start_col + span)) AS col FROM placed))
+SELECT DISTINCT tbl, row, 'orphan-continue' AS issue FROM o WHERE v_merge = 'continue' AND owner IS NULL UNION ALL SELECT tbl, row, 'row-wider-than-declared' FROM w UNION ALL SELECT tbl, row, 'width-change' FROM u""")
 def grid_issues(spark, sf):
     placed = _placed(spark, sf)
     declared = placed.select("tbl").distinct().withColumn("declared", F.lit(4))
@@ -80,7 +81,7 @@ def dangling_refs(spark, sf):
 
 
 @query("""SELECT DISTINCT l_suppkey AS doc, p_type AS style_id, CASE WHEN p_size % 2 = 0 THEN 'defined' WHEN p_type LIKE '%BRASS%' THEN 'builtin-undefined' ELSE 'unknown' END AS status FROM
-  (SELECT l_suppkey, p_type || (p_size % 10) AS p_type, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey < 20)""")
+  (SELECT l_suppkey, p_type || (p_size % 10) AS p_type, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)""")
 def style_inventory(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.concat("p_type", (F.col("p_size") % 10).cast("string")).alias("style_id"), "p_size", "p_type")
     used = table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("doc"), "style_id", "p_size")
@@ -113,8 +114,8 @@ def duplicate_targets(spark, sf):
     return integrity.repeated_targets(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""WITH n AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS node, l_linenumber AS para, l_linenumber % 3 AS scope, l_partkey % 50 AS digest FROM lineitem WHERE l_orderkey % 5 = 0),
-e AS (SELECT o_orderkey AS doc, 1 AS edit, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 7 END AS para, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 6 + 1 END AS path, o_custkey % 3 AS scope, o_custkey % 50 AS digest FROM orders WHERE o_orderkey % 5 = 0),
+@query("""WITH n AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS node, l_linenumber AS para, l_linenumber % 3 AS scope, l_partkey % 50 AS digest FROM lineitem),
+e AS (SELECT o_orderkey AS doc, 1 AS edit, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 7 END AS para, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 6 + 1 END AS path, o_custkey % 3 AS scope, o_custkey % 50 AS digest FROM orders),
 a AS (SELECT e.doc, count(*) AS c, min(node) AS node, bool_or(n.digest = e.digest) AS same FROM e JOIN n ON n.doc = e.doc AND n.para = e.para GROUP BY e.doc),
 b AS (SELECT e.doc, bool_or(n.digest = e.digest) AS same, min(node) AS node FROM e JOIN n ON n.doc = e.doc AND n.node = e.path GROUP BY e.doc),
 s AS (SELECT e.doc, count(*) AS c, min(node) AS node FROM e JOIN n ON n.doc = e.doc AND n.scope = e.scope AND n.digest = e.digest WHERE e.path IS NOT NULL GROUP BY e.doc),
@@ -135,7 +136,7 @@ def edit_targets(spark, sf):
     return integrity.resolve_targets(edits, nodes, ["doc"]).select("doc", "status", "node")
 
 
-@query("""WITH m AS (SELECT l_orderkey AS doc, l_partkey, l_extendedprice, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE l_orderkey % 4 END AS wanted FROM lineitem WHERE l_orderkey % 7 = 0),
+@query("""WITH m AS (SELECT l_orderkey AS doc, l_partkey, l_extendedprice, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE l_orderkey % 4 END AS wanted FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY l_partkey, l_extendedprice) - 1 AS n, count(*) OVER (PARTITION BY doc) AS c FROM m),
 g AS (SELECT doc, max(c) AS of, max(wanted) AS wanted, max(l_partkey) FILTER (n = wanted OR (wanted IS NULL AND n = 0)) AS p, max(l_extendedprice) FILTER (n = wanted OR (wanted IS NULL AND n = 0)) AS x FROM r GROUP BY doc),
 s AS (SELECT *, CASE WHEN wanted IS NULL AND of > 1 THEN 'ambiguous' WHEN p IS NULL THEN 'not-found' ELSE 'ok' END AS status FROM g)
@@ -197,7 +198,7 @@ def affine_envelope(spark, sf):
     return out.select("vec_id", *[F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@query("""WITH e AS (SELECT DISTINCT o_custkey AS doc, (o_orderkey % 97)::INT AS end_block, NULL AS x FROM orders WHERE o_custkey % 11 = 0), t AS (SELECT doc, end_block, CASE WHEN end_block % 3 = 0 THEN 'continuous' END AS type, CASE WHEN end_block % 4 = 0 THEN 2 END AS num_cols, end_block % 5 AS n_cols FROM e)
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS doc, (o_orderkey % 97)::INT AS end_block, NULL AS x FROM orders), t AS (SELECT doc, end_block, CASE WHEN end_block % 3 = 0 THEN 'continuous' END AS type, CASE WHEN end_block % 4 = 0 THEN 2 END AS num_cols, end_block % 5 AS n_cols FROM e)
 SELECT doc, row_number() OVER w AS section, coalesce(lag(end_block) OVER w + 1, 0) AS start_block, end_block, coalesce(type, 'nextPage') AS type, coalesce(nullif(n_cols, 0), num_cols, 1) AS columns FROM t WINDOW w AS (PARTITION BY doc ORDER BY end_block)""")
 def section_ranges(spark, sf):
     return layout.sections(_section_ends(spark, sf), ["doc"])
@@ -209,7 +210,7 @@ def _section_ends(spark, sf):
     return e.select("doc", "end_block", F.when(b % 3 == 0, "continuous").alias("type"), F.when(b % 4 == 0, 2).alias("num_cols"), (b % 5).alias("n_cols"))
 
 
-@query("""WITH e AS (SELECT DISTINCT o_custkey AS doc, (o_orderkey % 97)::INT AS end_block FROM orders WHERE o_custkey % 11 = 0),
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS doc, (o_orderkey % 97)::INT AS end_block FROM orders),
 s AS (SELECT doc, coalesce(lag(end_block) OVER (PARTITION BY doc ORDER BY end_block) + 1, 0) AS start_block, CASE WHEN end_block % 3 = 0 THEN 'continuous' ELSE 'nextPage' END AS type FROM e),
 u AS (SELECT doc, end_block AS block, 'explicit' AS source, end_block::DOUBLE AS key FROM e WHERE end_block % 2 = 0 UNION ALL SELECT doc, start_block, 'section', start_block - 0.5 FROM s WHERE start_block > 0 AND type = 'nextPage')
 SELECT doc, block, source, row_number() OVER (PARTITION BY doc ORDER BY key, source) AS position FROM u""")
@@ -236,7 +237,7 @@ def text_spans(spark, sf):
     return layout.token_runs(runs, tokens, ["conv_id"])
 
 
-_SHEET = """c AS (SELECT l_suppkey AS sheet, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1)::INT AS k, l_extendedprice AS value FROM lineitem WHERE l_suppkey < 40),
+_SHEET = """c AS (SELECT l_suppkey AS sheet, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1)::INT AS k, l_extendedprice AS value FROM lineitem),
 cells AS (SELECT sheet, k // 8 + 1 AS row, k % 8 + 1 AS col, value FROM c WHERE k % 7 <> 3)"""
 
 
