@@ -41,3 +41,41 @@ def list_array(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Ar
     offsets = np.zeros(len(ends) + 1, dtype=np.int32)
     offsets[1:] = ends
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Cut sorted batches where the integer keys change: yields batches of whole groups with the bounds of their groups.
+    Rows of a group that goes on in the next batch are held back for it."""
+
+    def cuts_of(batch):
+        changed = np.zeros(max(0, batch.num_rows - 1), bool)
+        for k in keys:
+            column = np.asarray(batch.column(k))
+            changed |= column[1:] != column[:-1]
+        return np.nonzero(changed)[0] + 1
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held:
+            last, first = held[-1], batch
+            same = all(last.column(k)[last.num_rows - 1] == first.column(k)[0] for k in keys)
+            if same and not len(cuts_of(batch)):
+                held.append(batch)
+                continue
+        batch = _joined([*held, batch])
+        cuts = cuts_of(batch)
+        end = int(cuts[-1]) if len(cuts) else 0
+        held = [batch.slice(end)]
+        if end:
+            yield batch.slice(0, end), np.concatenate([[0], cuts])
+    if held:
+        batch = _joined(held)
+        yield batch, np.concatenate([[0], cuts_of(batch), [batch.num_rows]])
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(batches) == 1:
+        return batches[0]
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

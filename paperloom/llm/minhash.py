@@ -2,7 +2,8 @@
 
 A document's set is its distinct word shingles, each hashed once to 64 bits. The K smallest hashes are its sketch, the
 LISTED smallest of them are its retained values. Inverted lists of retained values bring together documents that share
-one; the estimate of the Jaccard index from the union of two sketches filters pairs; the full sets confirm links.
+one; the estimate of the Jaccard index from the union of two sketches filters pairs, each in the list of the smallest
+value that its two share; the full sets confirm links.
 """
 
 from __future__ import annotations
@@ -16,31 +17,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import as_bytes, text_batches
-from .common import components, staged
+from .arrow import as_bytes, list_array, text_batches, whole_groups
+from .common import components, free, hot_of, spread_join, staged
 
 SHINGLE = 5
-K = 192
+K = 64
 #: A pair at the threshold shares none of its union's LISTED smallest values with probability 0.25 ** 16 = 2e-10.
 LISTED = 16
-#: Lists up to this length are compared in one piece; longer ones in pairs of halves of it.
-LIST_BLOCK = 2048
-#: A document with this many retained values outside the long lists needs no long list: a pair at the threshold that
-#: shares only values of long lists leaves so many others with probability below 4e-5.
-RARE_ENOUGH = 12
-#: Retained values that a pair at the threshold shares at least (fewer: with probability 6e-7).
-SHARED_LEAST = 4
+#: Lists of up to so many documents and shingles are compared in one piece; longer ones in pieces of two blocks.
+LIST_BLOCK, SET_BLOCK = 2048, 4 << 20
 LEAST = 0.75
-#: Standard deviations of the estimate below the threshold at which a pair is still verified.
-DEVIATIONS = 4.0
-#: Lists longer than this are first gathered round LEADERS of their documents.
-LEAD_FROM, LEADERS = 64, 8
-#: Best candidates that a document puts forward in a list in each further round; the last round puts all forward.
-ROUNDS = (4, 32, None)
+#: Standard deviations of the estimate below the threshold at which a pair is still verified: an estimate of a pair at
+#: the threshold is lower with a probability of about 1e-6.
+DEVIATIONS = 5.0
+#: Lists of up to so many documents are compared pair by pair, many lists at a time.
+SMALL = 32
+#: Links of a node in the tree that stands for the links of a component of one list.
+FAN = 64
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_NONE = np.uint32(0xFFFFFFFF)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -83,212 +80,221 @@ def set_key(hashes: np.ndarray) -> bytes:
 def _profiles(batches):
     for batch in text_batches(batches, "text"):
         sets = list(shingle_sets(as_bytes(batch.column("text"))))
-        sketches = [(s[:K] >> np.uint64(32)).astype(np.uint32).tobytes() if len(s) else None for s in sets]
+        sketches = [s[:K] for s in sets]
+        flat = np.concatenate(sketches) if sketches else np.empty(0, np.uint64)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
+                batch.column("h"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([s[:LISTED].view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                pa.array(sketches, pa.binary()),
+                list_array(flat.view(np.int64), np.cumsum([len(s) for s in sketches], dtype=np.int64), pa.int64()),
             ],
-            ["id", "n", "cid", "listed", "sketch"],
+            ["id", "h", "n", "cid", "sketch"],
         )
 
 
-# --- inside one list ------------------------------------------------------------------------------------------------
+# --- pairs of a list whose sketches may belong to a link --------------------------------------------------------------
 
 
-def _promising(sketch: np.ndarray, n: np.ndarray, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the others may reach the threshold with row i, and the estimates of those.
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Sketches as rows of K values, shorter ones filled up with _NONE."""
+    ends = np.asarray(lists.offsets).astype(np.int64)
+    sizes = np.diff(ends)
+    out = np.full((len(sizes), K), _NONE, np.uint64)
+    out[np.arange(K) < sizes[:, None]] = np.asarray(lists.values)[ends[0] : ends[-1]].view(np.uint64)
+    return out
+
+
+def _slack(seen, union):
+    """How far the estimate may fall below the threshold: it follows the size of the sketch of the union and the part
+    of the union that it is, and is 0 where the sketches hold both sets."""
+    seen = np.maximum(1, seen)
+    return DEVIATIONS * np.sqrt(LEAST * (1 - LEAST) / seen * np.maximum(0, 1 - seen / union))
+
+
+def close_pairs(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) may reach the threshold and share no value smaller than that of their list.
 
     Two sketches hold all values up to the smaller of their last ones (all values, if a set is no larger than its
-    sketch): the shared and distinct values up to it are a sketch of the union. The allowance follows the size of that
-    sketch and the part of the union that it is, so that it is 0 where the sketches hold both sets."""
-    own, theirs = sketch[i, : min(K, int(n[i]))], sketch[others]
-    at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-    shared = ((own[at] == theirs) & (theirs != _NONE)).sum(axis=1)
-    top = np.where(n[others] <= K, _NONE, theirs[:, -1])
-    if n[i] > K:
-        top = np.minimum(top, own[-1])
-    seen = np.searchsorted(own, top, side="right") + ((theirs <= top[:, None]) & (theirs != _NONE)).sum(axis=1) - shared
-    estimate = shared / np.maximum(1, seen)
-    union = np.maximum(seen, (n[i] + n[others]) / (1 + LEAST))
-    slack = DEVIATIONS * np.sqrt(LEAST * (1 - LEAST) / np.maximum(1, seen) * (1 - seen / union))
-    slack[(n[others] <= K) & (n[i] <= K)] = 0
-    good = estimate >= LEAST - slack - 1e-9
-    return others[good], estimate[good]
-
-
-def list_pairs(cids: list[bytes], n: np.ndarray, sketch: np.ndarray, group: np.ndarray | None, limit: int | None) -> dict[tuple[bytes, bytes], bool]:
-    """Pairs of one list to verify, each with whether one of the two has more candidates than it put forward.
-
-    Without groups: documents gather round a few leaders, so near copies of one another cost a pair each and not a pair
-    for every two. With groups (components of the links verified so far): every document outside the largest group puts
-    forward its best candidates across groups, `limit` at most.
-    """
-    m = len(cids)
-    found: dict[tuple[bytes, bytes], bool] = {}
-    if m < 2:
-        return found
-    low = sketch[:, :LISTED]
-    values, inverse, counts = np.unique(low, return_inverse=True, return_counts=True)
-    inverse = inverse.reshape(low.shape)
+    sketch): the shared and distinct values up to it are a sketch of the union."""
+    good = np.zeros(len(i), bool)
+    smaller, larger = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    fits = np.nonzero(4 * smaller >= 3 * larger)[0]
+    for start in range(0, len(fits), 16384):
+        at = fits[start : start + 16384]
+        x, y = i[at], j[at]
+        both = np.sort(np.concatenate([sketch[x], sketch[y]], axis=1), axis=1)
+        twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)
+        shared = twice.sum(axis=1)
+        first = both[np.arange(len(at)), twice.argmax(axis=1)] == value[at]
+        top = np.minimum(np.where(n[x] <= K, _NONE, sketch[x, -1]), np.where(n[y] <= K, _NONE, sketch[y, -1]))
+        seen = ((both <= top[:, None]) & (both != _NONE)).sum(axis=1) - shared
+        union = np.maximum(seen, (n[x] + n[y]) / (1 + LEAST))
+        slack = np.where((n[x] <= K) & (n[y] <= K), 0, _slack(seen, union))
+        good[at] = first & (shared >= (LEAST - slack) * seen - 1e-9)
+    return good
+
+
+def close_matrix(sketch: np.ndarray, n: np.ndarray, value: np.uint64 | None) -> np.ndarray:
+    """The same for all pairs of one long list, by products of incidence matrices. The union's sketch has K values at
+    least (all, of small sets), so the shared values that this many need are the bound. Without a value, pairs that
+    share smaller ones count too."""
+    m = len(n)
+    values, inverse, counts = np.unique(sketch, return_inverse=True, return_counts=True)
     often = (counts > 1) & (values != _NONE)
     column = np.cumsum(often) - 1
-    shares = np.zeros((m, int(often.sum())), np.float32)
-    rows, cols = np.nonzero(often[inverse])
-    shares[rows, column[inverse[rows, cols]]] = 1
-
-    def fits(i: int) -> np.ndarray:
-        smaller, larger = np.minimum(n, n[i]), np.maximum(n, n[i])
-        out = (4 * smaller >= 3 * larger) & (shares @ shares[i] >= np.minimum(SHARED_LEAST, smaller))
-        out[i] = False
-        return out
-
-    def add(i: int, j: int, more: bool) -> None:
-        pair = (cids[i], cids[j]) if cids[i] < cids[j] else (cids[j], cids[i])
-        found[pair] = found.get(pair, False) or more
-
-    if group is None:
-        taken = np.zeros(m, bool)
-        for lead in range(m):
-            if taken[lead]:
-                continue
-            taken[lead] = True
-            near, _ = _promising(sketch, n, lead, np.nonzero(fits(lead) & ~taken)[0])
-            taken[near] = True
-            for j in near.tolist():
-                add(lead, j, False)
-            if lead >= 8 * LEADERS or taken.all():
-                break
-        return found
-    largest = np.bincount(group).argmax()
-    for i in np.nonzero(group != largest)[0].tolist():
-        near, estimate = _promising(sketch, n, i, np.nonzero(fits(i) & (group != group[i]))[0])
-        more = limit is not None and len(near) > limit
-        if more:
-            near = near[np.argsort(-estimate, kind="stable")[:limit]]
-        for j in near.tolist():
-            add(i, j, more)
-    return found
-
-
-def _compare_lists(grouped: bool, limit: int | None):
-    def run(batches):
-        held, last = [], None
-
-        def pairs():
-            columns = {k: [x for b in held for x in b.column(k).to_pylist()] for k in ("cid", "n", "sketch", "root")}
-            seen: dict[bytes, int] = {}
-            for at, cid in enumerate(columns["cid"]):
-                seen.setdefault(cid, at)
-            pick = sorted(seen.values(), key=lambda at: columns["cid"][at])
-            sketch = np.full((len(pick), K), _NONE, np.uint32)
-            for row, at in enumerate(pick):
-                values = np.frombuffer(columns["sketch"][at], np.uint32)
-                sketch[row, : len(values)] = values
-            group = None
-            if grouped:
-                names: dict[bytes, int] = {}
-                group = np.array([names.setdefault(columns["root"][at], len(names)) for at in pick])
-            got = list_pairs([columns["cid"][at] for at in pick], np.array([columns["n"][at] for at in pick], np.int64), sketch, group, limit)
-            ends = [pa.array([p[k] for p in got], pa.binary()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([*ends, pa.array(list(got.values()), pa.bool_())], ["a", "b", "more"])
-
-        for batch in batches:
-            keys = np.asarray(batch.column("list_key"))
-            cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if s == e:
-                    continue
-                if held and keys[s] != last:
-                    yield pairs()
-                    held = []
-                held.append(batch.slice(s, e - s))
-                last = keys[s]
-        if held:
-            yield pairs()
-
-    return run
-
-
-# --- verification ---------------------------------------------------------------------------------------------------
+    inverse = inverse.reshape(sketch.shape)
+    rows, at = np.nonzero(often[inverse])
+    cols = column[inverse[rows, at]]
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    values = values[often]
+    less = int(np.searchsorted(values, value)) if value is not None else 0
+    shared = np.zeros((m, m), np.float32)
+    first = np.ones((m, m), bool)
+
+    def add(lo: int, hi: int):
+        for start in range(lo, hi, 2048):
+            stop = min(hi, start + 2048)
+            s, e = np.searchsorted(cols, [start, stop])
+            block = np.zeros((m, stop - start), np.float32)
+            block[rows[s:e], cols[s:e] - start] = 1
+            np.add(shared, block @ block.T, out=shared)
+
+    if less:
+        add(0, less)
+        first = shared == 0
+    add(less, len(values))
+    larger = np.maximum.outer(n, n)
+    sized = np.minimum(K, larger)
+    need = np.maximum(1, (LEAST - np.where(larger <= K, 0, _slack(sized, np.inf))) * sized - 1e-6)
+    close = first & (shared >= need) & (4 * np.minimum.outer(n, n) >= 3 * larger)
+    np.fill_diagonal(close, False)
+    return close
+
+
+def _marked(batches):
+    """Of each piece of a list, the documents with a partner in it that may be linked with them."""
+    for batch, cuts in whole_groups(batches, ["v", "p", "q"]):
+        sketch, n = _matrix(batch.column("sketch")), np.asarray(batch.column("n"))
+        value = np.asarray(batch.column("v")).view(np.uint64)
+        part, home = np.asarray(batch.column("part")), np.asarray(batch.column("home").cast(pa.int8())) > 0
+        keep = np.zeros(len(n), bool)
+        sizes = np.diff(cuts)
+        for m in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+            a, b = np.triu_indices(m, 1)
+            starts = cuts[:-1][sizes == m]
+            i, j = ((starts[:, None] + x).ravel() for x in (a, b))
+            good = close_pairs(sketch, n, i, j, value[i]) & ((part[i] != part[j]) | (home[i] & home[j]))
+            keep[i[good]] = keep[j[good]] = True
+        for s, e in zip(cuts[:-1][sizes > SMALL].tolist(), cuts[1:][sizes > SMALL].tolist(), strict=True):
+            close = close_matrix(sketch[s:e], n[s:e], value[s])
+            close &= (part[s:e, None] != part[None, s:e]) | (home[s:e, None] & home[None, s:e])
+            keep[s:e] = close.any(axis=1)
+        out = batch.filter(pa.array(keep))
+        yield out.select(["cid", "id", "h", "v", "p", "q"])
+
+
+# --- links of a list on the full sets ---------------------------------------------------------------------------------
 
 
 def _full_sets(batches):
+    """The full set of each wanted class, from a text that has it; of equal rows, one in a task is enough."""
+    done: set[bytes] = set()
     for batch in text_batches(batches, "text"):
         sets = list(shingle_sets(as_bytes(batch.column("text"))))
-        cids = batch.column("cid").to_pylist()
-        good = [k for k, s in enumerate(sets) if len(s) and set_key(s) == cids[k]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([cids[k] for k in good], pa.binary()), pa.array([sets[k].tobytes() for k in good], pa.binary())],
-            ["cid", "hashes"],
-        )
-
-
-def _confirmed(batches):
-    """Pairs whose full sets have 100 * intersection >= 75 * union."""
-    for batch in batches:
-        a, b, x, y = (batch.column(k).to_pylist() for k in ("a", "b", "x", "y"))
-        keep = []
-        for k in range(batch.num_rows):
-            p, q = np.frombuffer(x[k], np.uint64), np.frombuffer(y[k], np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * both >= 75 * (len(p) + len(q) - both):
-                keep.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array([v[k] for k in keep], pa.binary()) for v in (a, b)], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = staged(classes.select("cid", F.col("rep").alias("id")).join(wanted, "cid"), "wanted")
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col("docs_id").eqNullSafe(F.col("id"))).select("cid", "text")
-    sets = texts.mapInArrow(_full_sets, "cid binary, hashes binary")
-    sets = staged(sets.groupBy("cid").agg(F.first("hashes").alias("hashes")), "sets")
-    left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return staged(both.mapInArrow(_confirmed, "a binary, b binary"), "links")
-
-
-def _blocks(listed: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Give each posting the key of the piece of its list in which it is compared: short lists are one piece; in long
-    ones (of those documents that need them) any two blocks of documents meet in one piece."""
-    short = listed.join(lengths.where(f"length <= {LIST_BLOCK}"), "v")
-    short = short.select(F.xxhash64("v", F.lit(0), F.lit(0)).alias("list_key"), "cid", (F.col("length") > LEAD_FROM).alias("led"))
-    often = listed.join(lengths.where(f"length > {LIST_BLOCK}").select("v"), "v")
-    rare = often.groupBy("cid").agg(F.count(F.lit(1)).alias("common"), F.first("retained").alias("retained"))
-    rare = rare.where(F.col("retained") - F.col("common") < F.least(F.lit(RARE_ENOUGH), F.ceil(F.col("retained") * 0.75)))
-    often = staged(often.join(rare.select("cid"), "cid", "left_semi").select("cid", "v"), "long-lists")
-    per_list = often.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / (LIST_BLOCK / 2.5)).alias("parts"))
-    often = often.join(per_list, "v").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    often = often.withColumn("other", other).where("other <> part OR parts = 1")
-    key = F.xxhash64("v", F.least("part", "other") + 1, F.greatest("part", "other") + 1)
-    return short.unionByName(often.select(key.alias("list_key"), "cid", F.lit(True).alias("led")))
-
-
-def _candidates(pieces: DataFrame, classes: DataFrame, roots: DataFrame | None, limit: int | None) -> DataFrame:
-    """(a, b, more) of the pieces: round leaders, or across the components in roots."""
-    rows = pieces.select("list_key", "cid").join(classes.select("cid", "n", "sketch"), "cid")
-    if roots is None:
-        rows = rows.withColumn("root", F.lit(None).cast("binary"))
-    else:
-        rows = rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-        rows = rows.withColumn("root", F.coalesce("root", "cid"))
-    rows = rows.select("list_key", "cid", "n", "sketch", "root").repartition("list_key").sortWithinPartitions("list_key")
-    found = rows.mapInArrow(_compare_lists(roots is not None, limit), "a binary, b binary, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def _open_keys(pieces: DataFrame, roots: DataFrame, only: DataFrame | None) -> DataFrame:
-    """Keys of the pieces whose documents are of two components or more (and that hold one of the documents `only`)."""
-    tagged = pieces.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    keys = tagged.groupBy("list_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list_key")
-    if only is not None:
-        keys = keys.join(pieces.join(only, "cid", "left_semi").select("list_key").distinct(), "list_key")
-    return staged(keys, "open")
+        good = []
+        for k, cid in enumerate(batch.column("cid").to_pylist()):
+            if cid not in done and len(sets[k]) and set_key(sets[k]) == cid:
+                done.add(cid)
+                good.append(k)
+        rows = batch.select(["id", "cid", "lists"]).take(pa.array(good, pa.int64()))
+        hashes = pa.array([sets[k].tobytes() for k in good], pa.binary())
+        yield pa.RecordBatch.from_arrays([*rows.columns, hashes], ["id", "cid", "lists", "hashes"])
+
+
+def linked(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets have 100 * intersection >= 75 * union with this one."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    flat = np.concatenate(others)
+    both = np.add.reduceat(one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * both >= 75 * (len(one) + sizes - both)
+
+
+def list_components(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of a list the first one of its component. Links are looked for only between sets that are not yet
+    in one component, so a group of near copies of one another costs about one comparison a set."""
+    m = len(sets)
+    root = np.arange(m)
+    n = np.fromiter(map(len, sets), np.int64, m)
+    close = None
+    if m > SMALL:
+        sketch = np.full((m, K), _NONE, np.uint64)
+        for k, s in enumerate(sets):
+            sketch[k, : min(K, len(s))] = s[:K]
+        close = close_matrix(sketch, n, None)
+    for i in range(m - 1):
+        near = (root[i + 1 :] != root[i]) & (4 * np.minimum(n[i], n[i + 1 :]) >= 3 * np.maximum(n[i], n[i + 1 :]))
+        if close is not None:
+            near &= close[i, i + 1 :]
+        others = i + 1 + np.nonzero(near)[0]
+        total = np.cumsum(n[others])
+        start = 0
+        while start < len(others):  # some million values at a time
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + (4 << 20), side="right")))
+            piece = others[start:stop]
+            piece = piece[linked(sets[i], [sets[k] for k in piece])]
+            for old in np.unique(root[piece]).tolist():
+                low, high = min(old, root[i]), max(old, root[i])
+                root[root == high] = low
+            start = stop
+    return root
+
+
+def _links(batches):
+    """For each component of a list two or more documents: links that join it, as a tree of FAN links a node."""
+    for batch, cuts in whole_groups(batches, ["v", "p", "q"]):
+        cids, hashes = batch.column("cid").to_pylist(), batch.column("hashes")
+        above: list[int] = []
+        below: list[int] = []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = sorted(dict(zip(cids[s:e], range(s, e), strict=True)).items())
+            if len(rows) < 2:
+                continue
+            rows = np.array([at for _, at in rows])
+            root = list_components([np.frombuffer(hashes[at].as_buffer(), np.uint64) for at in rows.tolist()])
+            for name in np.unique(root).tolist():
+                members = rows[root == name]
+                below += members[1:].tolist()
+                above += members[np.arange(len(members) - 1) // FAN].tolist()
+        ends = [batch.select(["id", "cid"]).take(pa.array(x, pa.int64())) for x in (above, below)]
+        yield pa.RecordBatch.from_arrays([c for x in ends for c in x.columns], ["x", "x_cid", "y", "y_cid"])
+
+
+# --- the operator -----------------------------------------------------------------------------------------------------
+
+
+def _pieces(classes: DataFrame) -> DataFrame:
+    """Each class in each piece of a list that it is to be compared in: (v, p, q, part, home, cid, id, h, n, sketch).
+    Short lists are one piece. Longer ones are cut in blocks: any two blocks meet in the piece (v, p, q) of both, and
+    documents of one block meet in the one piece where they are at home."""
+    postings = classes.select("cid", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    lengths = postings.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
+    lengths = staged(lengths, "lengths")
+    fits = (F.col("rows") <= LIST_BLOCK) & (F.col("shingles") <= SET_BLOCK)
+    blocks = F.greatest(F.ceil(F.col("rows") * 2.5 / LIST_BLOCK), F.ceil(F.col("shingles") * 2.5 / SET_BLOCK))
+    parts = lengths.select("v", F.when(fits, 1).otherwise(blocks).cast("int").alias("parts"))
+    total = classes.count() * LISTED
+    rows = spread_join(postings.select("cid", "v"), parts, "v", hot_of(lengths, "v", total))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cid", "v"), F.col("parts")).cast("int"))
+    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("other", other).where("parts = 1 OR other <> part")
+    rows = rows.select(
+        "cid", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part",
+        (F.col("other") == (F.col("part") + 1) % F.col("parts")).alias("home"),
+    )
+    return rows.join(classes.select("cid", "id", "h", "n", "sketch"), "cid")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,11 +306,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     in one component only if their sets are linked. Null ids never become a component's id unless it has no other.
     Other columns are ignored; an empty table gives no rows.
 
-    Equal sets are one class and never expanded into pairs. Classes meet in inverted lists of retained values. In longer
-    lists, documents first gather round leaders. Further rounds compare what the links found so far leave in different
-    components: each document puts its best candidates forward, more of them in each round and in the last one all, and
-    every pair put forward is verified on the full sets, so no link between components is lost while pairs within one
-    are never listed. Lists of common values are cut in blocks of which any two meet; no list is capped.
+    Equal sets are one class and never expanded into pairs. Classes meet in inverted lists of retained values, long
+    lists in pieces of two blocks; no list is capped and none is left out. In a piece, pairs are estimated by their
+    sketches, and the full sets of the classes with a possible partner are brought to it. There links are confirmed
+    between sets that are not yet joined, and a tree of links stands for each component, so pairs of a group are
+    nowhere listed. Shingles are compared by 64-bit hashes: two different ones of two documents of 20 000 shingles are
+    taken for one with a probability of 2e-11.
     """
     out = _grouped(docs, id_col, text_col)
     return out.select(
@@ -314,39 +321,41 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, cid, root, component) of each row: the key of its set and the smallest key of its component (null
-    without words), and the component's id."""
+    """(id, n, cid, root, component) of each row: the key of its set and the key that names its component (null without
+    words), and the component's id."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("docs_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = f"id {id_type}, n bigint, cid binary, listed array<bigint>, sketch binary"
-    profiles = staged(docs.withColumnRenamed("docs_id", "id").mapInArrow(_profiles, schema), "profiles")
-    classes = profiles.where("n > 0").groupBy("cid").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("listed").alias("listed"), F.first("sketch").alias("sketch")
-    )
-    classes = staged(classes, "classes")
-    postings = classes.select("cid", F.size("listed").alias("retained"), F.explode("listed").alias("v"))
-    lengths = staged(postings.groupBy("v").agg(F.count(F.lit(1)).alias("length")).where("length > 1"), "lengths")
-    pieces = staged(_blocks(postings.join(lengths.select("v"), "v"), lengths), "pieces")
-    tried = staged(_candidates(pieces.where("led"), classes, None, None), "tried")
-    links = _verified(tried, classes, docs)
-    roots, only = staged(components(links), "roots"), None
-    for limit in ROUNDS:
-        keys = _open_keys(pieces, roots, only)
-        fresh = staged(_candidates(pieces.join(keys, "list_key"), classes, roots, limit), "fresh")
-        again = fresh.where("more")
-        fresh = staged(fresh.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "untried")
-        if fresh.limit(1).count():
-            links = staged(links.unionByName(_verified(fresh, classes, docs)), "links")
-            tried = tried.select("a", "b").unionByName(fresh)
-            roots = staged(components(links), "roots")
-        only = again.select(F.col("a").alias("cid")).unionByName(again.select(F.col("b").alias("cid"))).distinct()
-        if limit is None or not only.limit(1).count():
-            break
-    named = profiles.select("id", "n", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    named = staged(named.select("id", "n", "cid", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("root")), "named")
-    heads = staged(named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("head")), "heads")
-    component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("head"))
-    return named.join(heads, "root", "left").select("id", "n", "cid", "root", component.alias("component"))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    schema = f"id {id_type}, h bigint, n bigint, cid binary, sketch array<bigint>"
+    profiles = staged(docs.mapInArrow(_profiles, schema), "profiles")
+    one = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("one")
+    classes = profiles.where("n > 0").groupBy("cid").agg(one, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = staged(classes.select("cid", "one.id", "one.h", "rows", "n", "sketch"), "classes")
+
+    pieces = _pieces(classes).repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
+    marked = pieces.mapInArrow(_marked, f"cid binary, id {id_type}, h bigint, v bigint, p int, q int")
+    wanted = marked.groupBy("cid", "id", "h").agg(F.collect_list(F.struct("v", "p", "q")).alias("lists"))
+    wanted = staged(wanted.withColumnsRenamed({"id": "one_id", "h": "one_h"}), "wanted")
+    texts = docs.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("one_id")) & (F.col("h") == F.col("one_h")))
+    lists = "lists array<struct<v: bigint, p: int, q: int>>"
+    sets = texts.select("id", "cid", "lists", "text").mapInArrow(_full_sets, f"id {id_type}, cid binary, {lists}, hashes binary")
+    sets = sets.select(F.explode("lists").alias("at"), "id", "cid", "hashes").select("at.*", "id", "cid", "hashes")
+    sets = sets.repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
+    links = sets.mapInArrow(_links, f"x {id_type}, x_cid binary, y {id_type}, y_cid binary")
+    # nodes sort by id, nulls last, so the smallest node of a component bears its id
+    end = lambda k: F.struct(F.col(k).isNull().alias("z"), F.col(k).alias("id"), F.col(f"{k}_cid").alias("cid"))
+    links = staged(links.select(end("x").alias("a"), end("y").alias("b")).distinct(), "links")
+    roots = components(links).select(F.col("node.cid").alias("cid"), "root")
+
+    named = classes.select("cid", "id").join(roots, "cid", "left")
+    head = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root.id")).alias("component")
+    named = staged(named.select("cid", F.coalesce("root.cid", "cid").alias("root"), head), "named")
+    hot = staged(hot_of(classes.select("cid", "rows"), "cid", profiles.count()), "hot")
+    free(classes, wanted, links)
+    slim = profiles.select("id", "n", "cid")
+    out = spread_join(slim.where("n > 0"), named, "cid", hot).select("id", "n", "cid", "root", "component")
+    wordless = slim.where("n = 0").select("id", "n", "cid", F.lit(None).cast("binary").alias("root"), F.col("id").alias("component"))
+    return out.unionByName(wordless)
 
 
 def _with_set_keys(batches):
