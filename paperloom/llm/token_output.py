@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,19 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Token ids in a block, but for a document that has more by itself.
 BLOCK_IDS = 1 << 20
-#: Distinct words of which a worker keeps the ids.
+#: Distinct chunks of which a worker keeps the ids.
 CACHE = 400_000
 
-
-#: The tokenizer's pattern of words, for lower-cased ASCII: a fixed value.
-_ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-
-#: No word goes from an ASCII letter to an ASCII mark, so a blank between them changes no id.
-_LETTER_MARK = re.compile(rb"([A-Za-z])([!-/:-@\[-`{-~])")
+#: Classes of bytes: blank, letter, digit, mark, beyond ASCII.
+_BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_CLASS = np.full(256, _MARK, np.uint8)
+_CLASS[128:] = _OTHER
+_CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
+_CLASS[ord("0") : ord("9") + 1] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+for _c in (b"az", b"AZ"):
+    _CLASS[_c[0] : _c[1] + 1] = _LETTER
 
 
 def tokenizer_path() -> str:
@@ -39,44 +43,88 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class WordEncoder:
-    """Encodes texts through the tokenizers library, each distinct word once while the cache holds it.
+def chunks_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """All texts cut into chunks whose ids, one after another, are those of the text; with the end of each text's chunks.
 
     The tokenizer's normalizer works inside words once white space is set apart, its pattern never matches across white
-    space and drops it, so a text's ids are those of its words in turn; words are what ASCII white space separates. The
-    normalizer only lowers ASCII texts, so these are cut by the tokenizer's own pattern into fewer distinct words, and
-    other texts between ASCII letters and marks; not so if a special token may be in them."""
+    space and drops it. No word goes from one class of ASCII characters to another, but for a contraction, which starts
+    with an apostrophe; and a digit is a word. So blanks and these places cut. ASCII chunks are lower-cased, as the
+    normalizer would. A text that may hold a special token is cut at blanks only and left as it is."""
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    ends = np.cumsum(sizes)
+    kind = _CLASS[raw]
+    for k, text in enumerate(texts):
+        if b"<|" in text:
+            own = kind[ends[k] - sizes[k] : ends[k]]
+            own[own != _BLANK] = _OTHER
+    word = kind != _BLANK
+    new = word.copy()
+    before, now = kind[:-1], kind[1:]
+    plain = (before != _OTHER) & (now != _OTHER)
+    apart = plain & ((before != now) | (now == _DIGIT)) & ~((raw[:-1] == ord("'")) & (now == _LETTER))
+    new[1:] &= apart | (before == _BLANK)
+    starts = np.nonzero(new)[0]
+    if not len(starts):
+        return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
+    place = np.cumsum(word) - 1  # of a byte among those that are not blank
+    offsets = np.append(place[starts], word.sum())
+    data, other = raw[word], kind[word] == _OTHER
+    if other.any():
+        ascii_only = np.add.reduceat(other, offsets[:-1], dtype=np.int64) == 0
+        data = np.where(np.repeat(ascii_only, np.diff(offsets)), _LOWER[data], data)
+    else:
+        data = _LOWER[data]
+    array = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    return array, np.searchsorted(starts, ends)
+
+
+class WordEncoder:
+    """Encodes texts through the tokenizers library, each distinct chunk once while the cache holds it.
+
+    Chunks of lower-case letters of the Latin, Greek and Cyrillic blocks that are composed already stay as they are in
+    the normalizer and are one word of the pattern, so they go to the tokenizer's model without these two steps."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.letters = Tokenizer.from_str(definition)
+        self.letters.normalizer = None
+        steps = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(steps)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends_word = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(self.size)])
         self.clear()
 
     def clear(self):
+        """Forget all chunks; the first place is that of the end of a text."""
         self.known: dict[bytes, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint16 if self.size <= 1 << 16 else np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.pool = np.full(1 << 16, END_ID, np.uint32)
+        self.starts = np.zeros(1 << 12, np.int32)
+        self.sizes = np.ones(1 << 12, np.int32)
+        self.used = self.longest = 1
 
     def _add(self, words: list[bytes]):
         texts = [w.decode() for w in words]
-        letters = [k for k, t in enumerate(texts) if t.isalpha()]
-        others = [k for k, t in enumerate(texts) if not t.isalpha()]
+        plain = [t.isalpha() and t.lower() == t and (t.isascii() or (max(t) < "\u0530" and is_normalized("NFC", t))) for t in texts]
+        letters = [k for k, p in enumerate(plain) if p]
+        others = [k for k, p in enumerate(plain) if not p]
         flat, sizes = self._encoded([texts[k] for k in letters])
         more, more_sizes = self._each([texts[k] for k in others])
         flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
         words = [words[k] for k in letters + others]
-        n = len(self.known)
+        n = 1 + len(self.known)
         while len(self.pool) < self.used + len(flat):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while len(self.starts) < n + len(words) + 1:
+        while len(self.starts) < n + len(words):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.starts[n + 1 : n + len(words) + 1] = self.used + np.cumsum(sizes)
+        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(words)] = sizes
+        self.longest = max(self.longest, int(sizes.max(initial=1)))
         self.used += len(flat)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
@@ -91,7 +139,7 @@ class WordEncoder:
         if not texts:
             return self._each(texts)
         lines = [" ".join(texts[s : s + 64]) for s in range(0, len(texts), 64)]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        got = [e.ids for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)]
         flat = np.concatenate([np.array(ids, self.pool.dtype) for ids in got])
         sizes = np.diff(np.nonzero(self.ends_word[flat])[0] + 1, prepend=0)
         in_line = np.add.reduceat(self.ends_word[flat].astype(np.int64), np.cumsum([0, *map(len, got[:-1])]))
@@ -102,34 +150,31 @@ class WordEncoder:
         """The ids of all texts, each with END_ID, and how many each has."""
         if len(self.known) > CACHE:
             self.clear()
-        end = b"\x00 end"  # no word: words hold no blank
-        if end not in self.known:
-            self._add([b""])
-            self.known = {end: 0}
-            self.pool[self.used], self.used = END_ID, self.used + 1
-            self.starts[1] = self.used
-        words: list[bytes] = []
-        counts = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if b"<|" in text:
-                words += text.split()
-            elif text.isascii():
-                words += _ASCII_WORD.findall(text.lower())
-            else:
-                words += _LETTER_MARK.sub(rb"\1 \2", text).split()
-            words.append(end)
-            counts[k] = len(words)
+        chunks, counts = chunks_of(texts)
+        coded = chunks.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         known = self.known
-        new = list({w for w in words if w not in known})
+        new = [w for w in words if w not in known]
         if new:
             self._add(new)
-        index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        start = self.starts[index]
-        size = self.starts[index + 1] - start
-        stop = np.cumsum(size)
-        ids = self.pool[np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        ends = np.concatenate([[0], stop])[counts]
-        return ids.astype(np.uint32), np.diff(ends, prepend=0)
+        index = np.fromiter(map(known.__getitem__, words), np.int32, len(words)).take(np.asarray(coded.indices))
+        index = np.insert(index, counts, 0)  # END_ID after each text
+        size = self.sizes.take(index)
+        stop = np.cumsum(size, dtype=np.int32 if self.longest * len(index) < 1 << 31 else np.int64)
+        at = np.repeat(self.starts.take(index) - (stop - size), size)
+        at += np.arange(len(at), dtype=at.dtype)
+        return self.pool.take(at), np.diff(stop[counts + np.arange(len(texts))], prepend=0)
+
+
+#: The encoders of a worker, which serve its later tasks too.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(definition: str) -> WordEncoder:
+    if definition not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[definition] = WordEncoder(definition)
+    return _ENCODERS[definition]
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, block_ids: int = BLOCK_IDS) -> None:
@@ -141,7 +186,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         definition = f.read()
 
     def run(batches):
-        encoder = WordEncoder(definition)
+        encoder = encoder_of(definition)
         part = TaskContext.get().partitionId()
         before, number = 0, 0
         names: list[int | None] = []

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -35,3 +36,18 @@ def test_empty_and_null_ids(spark, tmp_path):
     assert sorted((r.start, str(r.doc_id), r.n_tokens) for r in got) == [(0, "None", 2), (2, "3", 2), (4, "3", 2)]
     to.write_tokens(frame.where("doc_id > 5"), f"file://{tmp_path}/b")
     assert to.read_tokens(spark.read.parquet(f"file://{tmp_path}/b")).count() == 0
+
+
+def test_cuts_change_no_id():
+    """Random runs of letters, marks, blanks, special tokens and characters whose normal forms differ."""
+    bits = list("abzABZJKk019 '\"-,.!?<|>=\n\t\x0b\x0c\x1c\x00\x7f\xa0\x85")
+    bits += ["'s", "'re", "'LL", "'t", "''", "<|", "<|endoftext|>", "|>", "\u0301", "\u030c", "\u0338", "\u20e3", "\u212a", "\u0130", "\u03a3", "\u03c2"]
+    bits += ["\xdf", "e\u0301", "\xc9", "\u65e5\u672c", "\u3000", "\u2028", "\u0663", "\xbd", "\xb2", "\u01c6", "\u2177", "\U0001f642", "\u0430", "\u042f", "\u200d", "\u02bc", "\u2019s", "\ufb01", "A\u030a"]
+    rng = random.Random(11)
+    encoder, tokenizer = to.WordEncoder(open(to.tokenizer_path()).read()), Tokenizer.from_file(to.tokenizer_path())
+    for _ in range(30):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 20, 60]))) for _ in range(2000)]
+        ids, sizes = encoder.encode([t.encode() for t in texts])
+        got = np.split(ids, np.cumsum(sizes)[:-1])
+        want = [e.ids + [to.END_ID] for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [t for t, g, w in zip(texts, got, want, strict=True) if g.tolist() != w] == []
