@@ -58,6 +58,18 @@ def free(*tables: DataFrame) -> None:
         delete_path(df.sparkSession, df.paperloom_path)
 
 
+#: Bytes of a written table up to which it may be broadcast (in memory it takes several times as many).
+BROADCAST_BYTES = 8 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast if its files are no larger than BROADCAST_BYTES; else joins shuffle it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.paperloom_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 #: A key is hot that holds more than one in HOT_SHARE of all rows and more than HOT_ROWS; so at most HOT_SHARE are.
 HOT_SHARE, HOT_ROWS = 200, 64
 #: Pieces into which the rows of a hot key are dealt.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, staged
+from .common import SPACE_CHARS, free, hot_of, small, spread_join, staged
 
 
 def body_of(text):
@@ -23,41 +23,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a text all carry kept = true; `drop_exact_copies` leaves one of them. An empty table gives no rows; other columns
     are ignored.
 
-    Only ids and hashes are shuffled for grouping. Texts move for groups of two or more, and the joins on the hash are
-    plain equi-joins between written tables, which adaptive execution splits when one group is hot.
+    Ids and hashes are shuffled for grouping; a hash that many rows share is dealt over many tasks. Only texts of groups
+    of two or more are read again for the comparison, and each task hands on one copy of a text. The rows to read are
+    found by a list of their keys, broadcast while it is small; beyond that the join shuffles the texts.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        body_of(F.col(text_col)).alias("body"),
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"),
-    )
-    keyed = staged(
-        rows.select(
-            "id", "points", F.unhex(F.md5("body")).alias("h"), F.unhex(F.sha2("body", 256)).alias("sha")
-        ),
-        "keyed",
-    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rk"))
+    hashed = rows.select("id", "rk", F.char_length("text").alias("points"), body_of(F.col("text")).alias("body"))
+    keyed = staged(hashed.select("id", "rk", "points", F.unhex(F.md5("body")).alias("h"), F.unhex(F.sha2("body", 256)).alias("sha")), "keyed")
     first = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("n"), F.col("id").alias("id")))
-    groups = staged(
-        keyed.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), first.alias("best")).select(
-            "h", "group_size", F.col("best.id").alias("keep_id")
-        ),
-        "groups",
-    )
-    repeated = groups.where("group_size > 1").select("h", "keep_id")
-    members = rows.select("id", "body", F.unhex(F.md5("body")).alias("h")).join(repeated, "h")
-    members = staged(members, "members")
-    heads = (
-        members.where(F.col("id").eqNullSafe(F.col("keep_id")))
-        .select("h", "id", "body")
-        .groupBy("h")
-        .agg(F.min("body").alias("head"))
-    )
-    heads = staged(heads, "heads")
-    clashes = staged(members.join(heads, "h").where("body <> head").select("h").distinct(), "clashes")
-    parts = keyed.join(groups, "h").select("id", "points", "h", "sha", "keep_id", "group_size")
+    groups = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), first.alias("best"))
+    groups = staged(groups.select("h", "rows", F.col("best.id").alias("keep_id")), "groups")
+    hot = staged(hot_of(groups, "h", keyed.count()), "hot")
+    parts = spread_join(keyed, groups.withColumnRenamed("rows", "group_size"), "h", hot)
+    parts = staged(parts.select("id", "rk", "points", "h", "sha", "keep_id", "group_size"), "parts")
+    free(keyed, groups)
+    again = staged(parts.where("group_size > 1").select("rk").distinct(), "again")
+    members = rows.join(small(again), "rk", "left_semi").select(body_of(F.col("text")).alias("body"))
+    texts = members.groupBy(F.unhex(F.md5("body")).alias("h")).agg(F.collect_set("body").alias("texts"))
+    clashes = staged(texts.where(F.size("texts") > 1).select("h"), "clashes")
+    free(again)
     if clashes.limit(1).count():
-        parts = parts.join(clashes, "h", "left_anti").unionByName(_by_bytes(rows, clashes, first))
+        parts = parts.drop("rk").join(clashes, "h", "left_anti").unionByName(_by_bytes(hashed.drop("rk"), clashes, first))
     return parts.select(
         F.col("id").alias(id_col),
         "keep_id",
@@ -105,7 +92,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, pick) -> DataFra
     rid = F.col(id_col).alias("paperloom_rid")
     again = staged(decided.groupBy(rid).count().where("count > 1").select("paperloom_rid"), "again")
     same = F.col(id_col).eqNullSafe(F.col("paperloom_rid"))
-    rest = docs.join(decided.where("NOT kept").select(rid).distinct(), same, "left_anti")
+    dropped = staged(decided.where("NOT kept").select(rid).distinct(), "dropped")
+    rest = docs.join(small(dropped), same, "left_anti")
     if not again.limit(1).count():
         return rest
     once = rest.join(again, same, "left_anti")
