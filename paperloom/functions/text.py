@@ -110,27 +110,33 @@ def stem(name, limit: int = 80) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(_col(name), r"\.[^.]+$", ""), r"[^\w.\-]+", "_"), F.lit(limit))
 
 
+#: A style of the heading family by its whole name, fixed values.
+_HEADING = r"(?i)^\s*(?:heading|标题)\s*([1-9]?)\s*$"
+
+
 def name_level(style_id, style_name) -> Column:
-    """Heading level by a style's name, else its id: 'heading 3', 'Heading3 Char' or the Chinese word; no digit is 1."""
+    """Heading level by a style's name, else its id: 'heading 3' or the Chinese word, no digit is 1; other names that begin
+    so and end in digits, 'Heading Appendix 12', give that number, which callers clamp."""
 
     def level(x) -> Column:
-        x = F.trim(F.coalesce(_col(x), F.lit("")))
-        full = F.regexp_extract(x, r"(?i)^(?:heading|标题)\s*([1-9]?)$", 1)
-        ahead = F.regexp_extract(x, r"(?i)^(?:heading|标题).*?([1-9])$", 1)
-        is_full = x.rlike(r"(?i)^(?:heading|标题)\s*[1-9]?$")
-        return F.when(is_full, F.coalesce(F.nullif(full, F.lit("")).cast("int"), F.lit(1))).when(ahead != "", ahead.cast("int"))
+        x = F.coalesce(_col(x), F.lit(""))
+        ahead = F.nullif(F.regexp_extract(x, r"(?i)^\s*(?:heading|标题).*?([0-9]+)\s*$", 1), F.lit(""))
+        own = F.coalesce(F.nullif(F.regexp_extract(x, _HEADING, 1), F.lit("")).cast("int"), F.lit(1))
+        return F.when(x.rlike(_HEADING), own).when(ahead.isNotNull(), F.coalesce(ahead.try_cast("int"), F.lit(2147483647)))
 
     return F.coalesce(level(style_name), level(style_id))
 
 
 def is_heading_style(outline, style_id, style_name) -> Column:
-    return _col(outline).isNotNull() | name_level(style_id, style_name).isNotNull()
+    """Whether a style is of the heading family: it has an outline level, or is named so as a whole."""
+    named = [F.coalesce(_col(x), F.lit("")).rlike(_HEADING) for x in (style_name, style_id)]
+    return _col(outline).isNotNull() | named[0] | named[1]
 
 
 def heading_level(own_outline, chain_outline, style_id, style_name) -> Column:
     """Level 1 to 9: outline level (0-based; the paragraph's own before its style chain's), else by name."""
     outline = F.coalesce(_col(own_outline), _col(chain_outline))
-    return F.coalesce(clamp(outline + 1, 1, 9), name_level(style_id, style_name))
+    return F.coalesce(clamp(outline + 1, 1, 9), clamp(name_level(style_id, style_name), 1, 9))
 
 
 def level_source(own_outline, chain_outline, style_id, style_name) -> Column:
@@ -198,12 +204,12 @@ def without_attributes(markup, *names: str) -> Column:
 
 def template_names(text) -> Column:
     """Names of the {{name}} tokens of a template, each once, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(text), F.lit(r"\{\{\s*([A-Za-z_][\w.\-]*)\s*\}\}"), 1)))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(text), F.lit(r"\{\{([A-Za-z][A-Za-z0-9_]{0,63})\}\}"), 1)))
 
 
 def has_broken_token(text) -> Column:
     """Whether braces are left over when the well-formed tokens are taken out."""
-    return F.regexp_replace(_col(text), r"\{\{\s*[A-Za-z_][\w.\-]*\s*\}\}", "").rlike(r"\{\{|\}\}")
+    return F.regexp_replace(_col(text), r"\{\{[A-Za-z][A-Za-z0-9_]{0,63}\}\}", "").rlike(r"\{\{|\}\}")
 
 
 def needs_font(text) -> Column:

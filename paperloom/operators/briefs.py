@@ -60,7 +60,7 @@ def dominant_run(runs: DataFrame, by: list[str]) -> DataFrame:
 def plan_blocks(blocks: DataFrame, known_styles: DataFrame) -> DataFrame:
     """Blocks as a creation plan carries them: other kinds are skipped, unknown styles become Normal, all-bold
     paragraphs of the document's largest size Title and other all-bold ones Heading1; list levels are 1 to 3."""
-    known = F.broadcast(known_styles.select("style_id").distinct().withColumn("known", F.lit(True)))
+    known = known_styles.select("style_id").distinct().withColumn("known", F.lit(True))
     out = blocks.join(known, "style_id", "left")
     style = (
         F.when(F.coalesce("all_bold", F.lit(False)), F.when(F.col("max_size") == F.col("doc_size"), "Title").otherwise("Heading1"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .integrity import resolve_chain
+
 
 def artifact_refs(files: DataFrame) -> DataFrame:
     """References of file bytes (path, content): identity is the SHA-256; equal bytes are one artifact."""
@@ -41,17 +43,14 @@ def chain_status(manifests: DataFrame, by: list[str]) -> DataFrame:
 
 
 def walk_chain(manifests: DataFrame, depth: int = 500) -> DataFrame:
-    """Manifests whose parents lead to revision 1 one by one, by a recursive walk over digests: (sha256, depth). It is
-    for stores that hold some revisions only; chain_status needs no recursion where all are there."""
-    spark = manifests.sparkSession
-    manifests.select("document_id", "revision", "sha256", "parent_sha256").createOrReplaceTempView("paperloom_manifests")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(document_id, revision, sha256, depth) MAX RECURSION LEVEL {depth} AS (
-          SELECT document_id, revision, sha256, 1 FROM paperloom_manifests WHERE revision = 1 AND parent_sha256 IS NULL
-          UNION ALL
-          SELECT m.document_id, m.revision, m.sha256, c.depth + 1 FROM chain c JOIN paperloom_manifests m
-          ON m.parent_sha256 = c.sha256 AND m.document_id = c.document_id AND m.revision = c.revision + 1
-        ) SELECT document_id, revision, sha256, depth FROM chain""")
+    """Manifests whose parents lead to revision 1 one by one, over digests: (document_id, revision, sha256, depth). It is
+    for stores that hold some revisions only; chain_status needs one window where all are there. Walks are doubled in
+    length each round (see resolve_chain), so a chain of 500 takes ten joins."""
+    first = (F.col("revision") == 1) & F.col("parent_sha256").isNull()
+    up = F.when((F.col("revision") > 1) & F.col("parent_sha256").isNotNull(), F.struct((F.col("revision") - 1).cast("long").alias("revision"), F.col("parent_sha256").alias("sha256")))
+    nodes = manifests.select("document_id", F.struct(F.col("revision").cast("long").alias("revision"), "sha256").alias("style_id"), up.alias("based_on"), F.when(first, 1).alias("root"))
+    found = resolve_chain(nodes, ["document_id"], "root", depth - 1).where("root IS NOT NULL")
+    return found.select("document_id", "style_id.revision", "style_id.sha256", (F.col("hops") + 1).alias("depth"))
 
 
 def review_state(findings: DataFrame, reviews: DataFrame, manifests: DataFrame, every_page: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 LISTED = 20
 
 
@@ -22,30 +24,33 @@ def style_inventory(used: DataFrame, defined: DataFrame, builtin: DataFrame, by:
     """Each used style as defined, builtin-undefined or unknown."""
     marks = used.select(*by, "style_id").distinct()
     marks = marks.join(defined.select(*by, "style_id").distinct().withColumn("has", F.lit(True)), [*by, "style_id"], "left")
-    marks = marks.join(F.broadcast(builtin.select("style_id").distinct().withColumn("known", F.lit(True))), "style_id", "left")
+    marks = marks.join(builtin.select("style_id").distinct().withColumn("known", F.lit(True)), "style_id", "left")
     return marks.select(*by, "style_id", F.when(F.col("has"), "defined").when(F.col("known"), "builtin-undefined").otherwise("unknown").alias("status"))
 
 
-def resolve_chain(styles: DataFrame, by: list[str], value: str, depth: int = 24) -> DataFrame:
-    """First non-null value along based_on, for each style: by.., style_id, value, hops (how far up; null if none).
-
-    A recursive query walks up from styles that lack a value; a walk ends at a value, at the root, or after `depth`
-    steps, so cycles end too."""
-    spark = styles.sparkSession
-    name = f"styles_{abs(hash(tuple(by) + (value,))) % 10**8}"
-    styles.select(*by, "style_id", "based_on", F.col(value).alias("own")).createOrReplaceTempView(name)
-    keys = "".join(f"{b}, " for b in by)
-    on = "".join(f"w.{b} = s.{b} AND " for b in by)
-    pre = "".join(f"w.{b}, " for b in by)
-    walk = spark.sql(f"""
-        WITH RECURSIVE walk({keys}style_id, up, found, hops) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT {keys}style_id, based_on, own, 0 FROM {name}
-          UNION ALL
-          SELECT {pre}w.style_id, s.based_on, s.own, w.hops + 1 FROM walk w JOIN {name} s
-          ON {on}w.up = s.style_id WHERE w.found IS NULL AND w.hops < {depth}
-        ) SELECT * FROM walk""")
-    found = walk.where("found IS NOT NULL").groupBy(*by, "style_id").agg(F.min_by("found", "hops").alias(value), F.min("hops").alias("hops"))
-    return styles.select(*by, "style_id").join(found, [*by, "style_id"], "left")
+def resolve_chain(styles: DataFrame, by: list[str], value: str, depth: int = 24, default=None) -> DataFrame:
+    """First non-null value along based_on, for each style: by.., style_id, value, hops (how far up; null if none, or if
+    it is `default`, the value that ends every chain).
+
+    Each round doubles how far every open style has looked: it takes over what the style that it points at has found, or
+    where that one points. So about log2(depth) joins do for all styles, each between written tables. A walk ends at a
+    value, at the root or after `depth` steps; cycles end too."""
+    own = styles.select(*by, "style_id", F.col("based_on").alias("up"), F.col(value).alias("found"), F.lit(0).alias("hops"), F.lit(1).alias("reach"))
+    state = written(own.dropDuplicates([*by, "style_id"]))
+    for _ in range((depth - 1).bit_length() + 1):
+        open_up = F.col("found").isNull() & F.col("up").isNotNull()
+        if not state.where(open_up).limit(1).count():
+            break
+        ahead = state.select(*by, F.col("style_id").alias("up"), F.col("up").alias("up_2"), F.col("found").alias("found_2"), F.col("hops").alias("hops_2"), F.col("reach").alias("reach_2"))
+        met = state.where(open_up).join(ahead, [*by, "up"], "left")
+        met = met.select(
+            *by, "style_id", F.when(F.col("found_2").isNull(), F.col("up_2")).alias("up"), F.col("found_2").alias("found"),
+            (F.col("reach") + F.coalesce("hops_2", F.lit(0))).cast("int").alias("hops"), (F.col("reach") + F.coalesce("reach_2", F.lit(1))).cast("int").alias("reach"),
+        )
+        state = written(state.where(~open_up).unionByName(met))
+    near = F.col("found").isNotNull() & (F.col("hops") <= depth)
+    found = F.when(near, F.col("found"))
+    return state.select(*by, "style_id", (found if default is None else F.coalesce(found, F.lit(default))).alias(value), F.when(near, F.col("hops")).alias("hops"))
 
 
 def relationship_drift(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,26 +83,33 @@ def bridge(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def resolve_targets(edits: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Find each edit's paragraph (edits: keys.., edit, para_id, path, scope, digest; nodes: keys.., node, para_id,
-    path, scope, digest), as node and status.
-
-    A native id decides if it is there: several are ambiguous, one must have the digest, else stale. Then the path: the
-    node there if its digest agrees, else the digest within the same scope. Without a path the digest anywhere. Several
-    by digest are ambiguous, none is stale (with a path) or not-found. Each way is one equi-join."""
-    e = edits.select(*keys, "edit", F.lower("para_id").alias("e_para"), F.col("path").alias("e_path"), F.col("scope").alias("e_scope"), F.col("digest").alias("e_digest"))
-    n = nodes.select(*keys, "node", F.lower("para_id").alias("n_para"), F.col("path").alias("n_path"), F.col("scope").alias("n_scope"), F.col("digest").alias("n_digest"))
-
-    def way(condition, usable, name):
+    """Find each edit's paragraph (edits: keys.., edit, para_id, path, scopes, digest; nodes: keys.., node, para_id, path,
+    scopes, digest), as node and status. Scopes are the containers, the innermost first: cell, row, table, body.
+
+    A native id decides if it is there: several are ambiguous, one must have the digest, else it is stale. Then the path:
+    the node there if its digest agrees, else the digest within the scopes in turn, of which the first that has it
+    decides. Without a path the digest anywhere. Several by digest are ambiguous, none is stale (with a path) or
+    not-found. Each way is one equi-join; a null digest agrees with none."""
+    e = edits.select(*keys, "edit", F.lower("para_id").alias("e_para"), F.col("path").alias("e_path"), F.col("scopes").alias("e_scopes"), F.col("digest").alias("e_digest"))
+    n = nodes.select(*keys, "node", F.lower("para_id").alias("n_para"), F.col("path").alias("n_path"), F.col("scopes").alias("n_scopes"), F.col("digest").alias("n_digest"))
+    same = F.coalesce(F.bool_or(F.col("n_digest") == F.col("e_digest")), F.lit(False))
+
+    def way(left, right, condition, name, also=()):
         on = [F.col(f"e.{k}") == F.col(f"n.{k}") for k in keys]
-        met = e.where(usable).alias("e").join(n.alias("n"), [*on, condition])
-        return met.groupBy(*[F.col(f"e.{k}") for k in keys], "edit").agg(
-            F.count(F.lit(1)).alias(f"{name}_n"), F.min("node").alias(f"{name}_node"), F.bool_or(F.col("n_digest") == F.col("e_digest")).alias(f"{name}_same")
+        met = left.alias("e").join(right.alias("n"), [*on, condition])
+        return met.groupBy(*[F.col(f"e.{k}") for k in keys], "edit", *also).agg(
+            F.count(F.lit(1)).alias(f"{name}_n"), F.min("node").alias(f"{name}_node"), same.alias(f"{name}_same")
         )
 
-    native = way(F.col("e_para") == F.col("n_para"), F.coalesce(F.col("e_para"), F.lit("")) != "", "para")
-    exact = way(F.col("e_path") == F.col("n_path"), F.col("e_path").isNotNull(), "path")
-    scoped = way((F.col("e_scope") == F.col("n_scope")) & (F.col("e_digest") == F.col("n_digest")), F.col("e_path").isNotNull(), "scope")
-    anywhere = way(F.col("e_digest") == F.col("n_digest"), F.col("e_path").isNull(), "body")
+    has_path, by_text = F.col("e_path").isNotNull(), F.col("e_digest") == F.col("n_digest")
+    native = way(e.where(F.coalesce(F.col("e_para"), F.lit("")) != ""), n, F.col("e_para") == F.col("n_para"), "para")
+    exact = way(e.where(has_path), n, F.col("e_path") == F.col("n_path"), "path")
+    inside = e.where(has_path).select("*", F.posexplode("e_scopes").alias("level", "e_scope"))
+    containers = n.select("*", F.explode(F.array_distinct("n_scopes")).alias("n_scope"))
+    scoped = way(inside, containers, (F.col("e_scope") == F.col("n_scope")) & by_text, "scope", ["level"])
+    first = F.min_by(F.struct("scope_n", "scope_node"), "level").alias("first")
+    scoped = scoped.groupBy(*keys, "edit").agg(first).select(*keys, "edit", "first.*")
+    anywhere = way(e.where(~has_path), n, by_text, "body")
     out = e
     for found in (native, exact, scoped, anywhere):
         out = out.join(found, [*keys, "edit"], "left")
@@ -107,10 +119,10 @@ def resolve_targets(edits: DataFrame, nodes: DataFrame, keys: list[str]) -> Data
         .when((F.col("para_n") == 1) & ~F.col("para_same"), "stale")
         .when(F.col("para_n") == 1, "ok")
         .when(F.col("path_same"), "ok")
-        .when(F.col("e_path").isNotNull(), by_digest("scope", "stale"))
+        .when(has_path, by_digest("scope", "stale"))
         .otherwise(by_digest("body", "not-found"))
     )
-    node = F.when(F.col("para_n") == 1, F.col("para_node")).when(F.col("path_same"), F.col("path_node")).when(F.col("e_path").isNotNull(), F.col("scope_node")).otherwise(F.col("body_node"))
+    node = F.when(F.col("para_n") == 1, F.col("para_node")).when(F.col("path_same"), F.col("path_node")).when(has_path, F.col("scope_node")).otherwise(F.col("body_node"))
     return out.select(*keys, "edit", status.alias("status"), F.when(status == "ok", node).alias("node"))
 
 
@@ -148,7 +160,7 @@ def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def external_category(rel_type, target):
     """Category of an external relationship: the first rule that its type ends with, or its target starts with."""
-    kind, place = F.lower(rel_type), F.lower(target)
+    kind, place = F.lower(rel_type), F.lower(F.regexp_replace(target, r"^\s+", ""))
     return (
         F.when(kind.endswith("/attachedtemplate"), "attachedTemplate")
         .when(kind.endswith("/hyperlink"), "hyperlink")

@@ -70,7 +70,7 @@ def follow(start: DataFrame, hops: list[tuple[DataFrame, str, str]], key: str) -
 
 def design(requests: DataFrame, scenarios: DataFrame, legacy: str = "legacy") -> DataFrame:
     """The design of each request and why: the named register, else its scenario's rule, else the old default."""
-    out = requests.join(F.broadcast(scenarios.select("scenario", F.col("register").alias("by_rule"))), "scenario", "left")
+    out = requests.join(scenarios.select("scenario", F.col("register").alias("by_rule")), "scenario", "left")
     why = F.when(F.col("register").isNotNull(), "explicit").when(F.col("by_rule").isNotNull(), "scenario").otherwise("legacy")
     return out.withColumn("why", why).withColumn("chosen", F.coalesce("register", "by_rule", F.lit(legacy))).drop("by_rule")
 

@@ -100,4 +100,4 @@ def with_directive(decisions: DataFrame) -> DataFrame:
     """The directive of each mode, by a lookup of three rows."""
     spark = decisions.sparkSession
     lookup = spark.createDataFrame(list(DIRECTIVES.items()), "mode string, directive string")
-    return decisions.join(F.broadcast(lookup), "mode", "left")
+    return decisions.join(lookup, "mode", "left")

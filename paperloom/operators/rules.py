@@ -109,7 +109,7 @@ def low_confidence(nodes: DataFrame, by: list[str], order: list[str], floor: flo
 
 def warnings_of(issues: DataFrame, lookup: DataFrame, default: tuple[str, str] = ("PARTIALLY_PARSED", "warning")) -> DataFrame:
     """Warning code and severity of each issue code, the default for unknown ones; the lookup is a fixed small table."""
-    known = F.broadcast(lookup.select("issue", "code", "severity"))
+    known = lookup.select("issue", "code", "severity")
     out = issues.join(known, "issue", "left")
     return out.withColumn("code", F.coalesce("code", F.lit(default[0]))).withColumn("severity", F.coalesce("severity", F.lit(default[1])))
 

@@ -49,11 +49,12 @@ def set_cells(cells: DataFrame, changes: DataFrame, by: list[str]) -> DataFrame:
 
 def format_cells(cells: DataFrame, formats: DataFrame, by: list[str]) -> DataFrame:
     """Populated cells with the formats whose ranges hold them (formats: format, sheet (* for all), r0, c0, r1, c1), and
-    whether a cell is in more ranges than one. Formats are a short list given by the caller: broadcast, joined by range."""
-    f = F.broadcast(formats)
+    whether a cell is in more ranges than one. Formats are joined by sheet, then
+    by range; Spark broadcasts them if they are few."""
     sheet = by[-1]
-    inside = ((f["sheet"] == "*") | (f["sheet"] == cells[sheet])) & cells["row"].between(f["r0"], f["r1"]) & cells["col"].between(f["c0"], f["c1"])
-    met = cells.where("value IS NOT NULL").join(f.drop("sheet") if sheet != "sheet" else f.withColumnRenamed("sheet", "f_sheet"), inside if sheet != "sheet" else ((F.col("f_sheet") == "*") | (F.col("f_sheet") == F.col("sheet"))) & F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1")))
+    keyed = cells.where("value IS NOT NULL").select(*by, "row", "col", F.explode(F.array(F.col(sheet).cast("string"), F.lit("*"))).alias("on_sheet"))
+    ranges = formats.select("format", F.col("sheet").cast("string").alias("on_sheet"), "r0", "c0", "r1", "c1")
+    met = keyed.join(ranges, "on_sheet").where("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
     return met.groupBy(*by, "row", "col").agg(F.min("format").alias("format"), (F.count(F.lit(1)) > 1).alias("overlaps"))
 
 

@@ -92,16 +92,21 @@ def workbook_cells(spark, sf):
     )
 
 
-@query(f"""WITH d AS ({_DOC}), x AS (SELECT doc_id, 'dear {{{{name}}}}' AS t FROM d) SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'dear {{{{name}}}}' ELSE 'dear reader ' || doc_id END AS text, CASE WHEN doc_id % 3 = 0 THEN 'TEMPLATE_VALUE_MISSING' END AS issue FROM x""")
+@query(f"""WITH d AS ({_DOC}), x AS (SELECT doc_id, doc_id % 6 IN (1, 5) AS fine, CASE WHEN doc_id % 6 = 4 THEN 'dear {{{{ name }}}}, {{{{name}}}}' ELSE 'dear {{{{name}}}}, {{{{name}}}}' END AS t FROM d)
+SELECT doc_id::VARCHAR AS path, CASE WHEN fine THEN replace(t, '{{{{name}}}}', 'reader & ' || doc_id) ELSE t END AS text, CASE WHEN fine THEN 'T' || doc_id || ' page' ELSE '{{{{title}}}} page' END AS header,
+  CASE doc_id % 6 WHEN 0 THEN 'TEMPLATE_VALUE_MISSING' WHEN 2 THEN 'TEMPLATE_VALUE_UNUSED' WHEN 3 THEN 'UNSUPPORTED_TEMPLATE' WHEN 4 THEN 'UNSUPPORTED_TEMPLATE' END AS issue FROM x""")
 def template_fill(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"))
-    blocks = d.select("path", F.lit(0).alias("pos"), F.lit("paragraph").alias("kind"), F.lit("dear {{name}}").alias("text"), F.lit(None).cast("string").alias("style"))
-    files = writers.build_documents(blocks)
-    value = F.struct(F.lit("name").alias("name"), F.concat(F.lit("reader "), "path").alias("value"))
-    files = files.withColumn("values", F.when(F.col("path").cast("bigint") % 3 != 0, F.array(value)))
-    done = writers.rewrite(files, writers.fill_template, "values")
-    text = packages.paragraphs(done).select("path", "text")
-    return _join(done.select("path", "issue"), text).select("path", "text", "issue")
+    d, cut = table(spark, sf, "documents").select(F.col("doc_id").alias("path")), writers.RUN_BREAK
+    kind = F.coalesce(F.col("path").cast("bigint") % 6, F.lit(1))
+    body = F.when(kind == 4, "dear {{ name }}, {{name}}").otherwise(f"dear {{{{na{cut}me}}{cut}}}, {{{cut}{{name}}}}")
+    block = lambda pos, name, text: d.select("path", F.lit(pos).alias("pos"), F.lit(name).alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("style"))
+    files = writers.build_documents(block(0, "paragraph", body).unionByName(block(1, "header", F.lit(f"{{{{ti{cut}tle}}}} page"))))
+    value = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("value"))
+    reader = F.concat(F.lit("reader & "), "path", F.when(kind == 3, "\n").otherwise(""))
+    given = F.array(value("title", F.concat(F.lit("T"), "path")), F.when(kind != 0, value("name", reader)), F.when(kind == 2, value("more", F.lit("x"))))
+    done = writers.rewrite(files.withColumn("values", F.array_compact(given)), writers.fill_template, "values")
+    text, header = packages.paragraphs(done).select("path", "text"), packages.header_texts(done).select("path", F.col("text").alias("header"))
+    return _join(_join(done.select("path", "issue"), text), header).select("path", "text", "header", "issue")
 
 
 @query(f"""WITH d AS ({_DOC}) SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 4 = 0 THEN 'TEXT_NOT_FOUND' END AS issue, CASE WHEN doc_id % 4 = 0 THEN 'first' ELSE 'second & last' END AS text, doc_id % 4 <> 0 AS changed FROM d""")
@@ -158,3 +163,119 @@ def identity_checks(spark, sf):
     count = lambda df, name: df.agg(F.lit(name).alias("problem"), F.count(F.lit(1)).alias("n"))
     found = identity.map_violations(entries, entries, entries)
     return count(identity.identity_violations(nodes), "identity").union(count(found, "map")).union(count(identity.semantic_problems(nodes), "semantic"))
+
+
+def _damaged(content: bytes, kind: int) -> bytes:
+    """A package made bad in one of seven ways; 0 leaves it as it is."""
+    if kind == 1:
+        return content[: len(content) // 2]
+    name = packages.DOCUMENT.encode()
+    if kind == 2:  # the deflate stream
+        at = content.index(name) + len(name)
+        return content[:at] + b"\xff" * 8 + content[at + 8 :]
+    if kind == 7:  # the flag of an encrypted entry, in the directory
+        at = content.rindex(name) - 46
+        return content[: at + 8] + bytes([content[at + 8] | 1]) + content[at + 9 :]
+    new = {
+        3: b"<document/>", 4: b"<document><body></document>", 6: None,
+        5: '<?xml version="1.0" encoding="UTF-16"?><!DOCTYPE d [<!ENTITY e "boom">]><document><body>&e;</body></document>'.encode("utf-16"),
+    }
+    if kind not in new:
+        return content
+    package = packages.Package(content)
+    parts = {i.filename: new[kind] if i.filename == packages.DOCUMENT else package.read(i.filename) for i in package.infos}
+    return writers.packed({k: v for k, v in parts.items() if v is not None})
+
+
+@query(f"""WITH d AS ({_DOC}) SELECT doc_id::VARCHAR AS path, issue AS paragraphs, issue AS cells, issue AS layout FROM
+  (SELECT doc_id, (['', 'CONTAINER_UNREADABLE', 'ENTRY_DAMAGED', 'BODY_MISSING', 'XML_MALFORMED', 'XML_FORBIDDEN', 'PART_MISSING', 'ENTRY_ENCRYPTED'])[(doc_id % 8 + 1)::INT] AS issue FROM d)""")
+def package_damage(spark, sf):
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            made = [_damaged(c, int(p or 0) % 8) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("pos"), F.lit("paragraph").alias("kind"), F.lit("some text").alias("text"), F.lit(None).cast("string").alias("style"))
+    files = writers.build_documents(d).mapInArrow(run, "path string, content binary")
+    out = files.select("path")
+    for name, read in (("paragraphs", packages.paragraphs), ("cells", packages.cells), ("layout", packages.layout)):
+        out = _join(out, read(files).groupBy("path").agg(F.max("issue").alias(name)), "left")
+    return out.select("path", *(F.coalesce(n, F.lit("")).alias(n) for n in ("paragraphs", "cells", "layout")))
+
+
+def _rich_parts(k: int) -> dict[str, str]:
+    """A document with a table, drawings, notes, properties and fields whose values follow k."""
+    ns = " ".join(
+        f'xmlns:{p}="{u}"' for p, u in {
+            "w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
+            "wp": "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing", "a": "http://schemas.openxmlformats.org/drawingml/2006/main",
+            "mc": "http://schemas.openxmlformats.org/markup-compatibility/2006",
+        }.items()
+    )
+    para = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    head = (
+        f'<w:p><w:pPr><w:jc w:val="center"/><w:ind w:firstLine="{k % 500}"/></w:pPr><w:r><w:rPr><w:b/><w:sz w:val="{2 * (k % 30)}"/><w:color w:val="auto"/></w:rPr>'
+        f'<w:t>run {k}</w:t><w:tab/></w:r><w:r><w:rPr><w:b w:val="0"/><w:rFonts w:eastAsia="SimSun"/><w:color w:val="FF0000"/></w:rPr><w:t>tail</w:t><w:br/></w:r></w:p>'
+    )
+    row = f'<w:tr><w:trPr><w:gridBefore w:val="1"/><w:tblHeader/></w:trPr><w:tc><w:tcPr><w:gridSpan w:val="2"/><w:vMerge w:val="restart"/></w:tcPr>{para(f"cell {k}")}{para("two")}</w:tc></w:tr>'
+    table_xml = f"<w:tbl><w:tblGrid><w:gridCol/><w:gridCol/><w:gridCol/></w:tblGrid>{row}<w:tr><w:tc><w:tcPr><w:vMerge/></w:tcPr>{para('x')}</w:tc></w:tr></w:tbl>"
+    placed = f'<wp:positionH relativeFrom="page"><wp:posOffset>{k}</wp:posOffset></wp:positionH><wp:positionV relativeFrom="page"><wp:align>top</wp:align></wp:positionV>'
+    drawing = f'<w:drawing><wp:anchor behindDoc="{k % 2}">{placed}<wp:extent cx="100" cy="200"/><wp:wrapNone/><a:blip r:embed="rId{k % 9}"/></wp:anchor></w:drawing>'
+    other = '<w:pict><wp:inline><wp:extent cx="1" cy="2"/></wp:inline></w:pict>'
+    choice = f'<w:p><w:r><mc:AlternateContent><mc:Choice Requires="wps">{drawing}</mc:Choice><mc:Fallback>{other}</mc:Fallback></mc:AlternateContent></w:r></w:p>'
+    section = f'<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="{k % 100}" w:right="20" w:bottom="30" w:left="40"/><w:cols w:num="2"/></w:sectPr>'
+    note = lambda kind, n, t, more="": f'<w:{kind} w:id="{n}"{more}>{para(t)}</w:{kind}>'
+    field = f'<w:p><w:r><w:instrText> DDEAUTO x{k} </w:instrText></w:r><w:fldSimple w:instr="PAGE"/></w:p>'
+    return {
+        "[Content_Types].xml": "<Types/>",
+        packages.DOCUMENT: f"<w:document {ns}><w:body>{head}{table_xml}{choice}<w:altChunk/>{section}</w:body></w:document>",
+        "word/comments.xml": f"<w:comments {ns}>{note('comment', 1, f'says {k}', f' w:author=\'A{k % 3}\'')}</w:comments>",
+        "word/footnotes.xml": f"<w:footnotes {ns}>{note('footnote', -1, '')}{note('footnote', 0, '')}{note('footnote', 2, 'foot')}</w:footnotes>",
+        "word/header1.xml": f"<w:hdr {ns}>{field}{field}</w:hdr>",
+        "docProps/core.xml": f"<c><title>T{k}</title><creator/></c>",
+    }
+
+
+def _rich(spark, sf):
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            made = [writers.packed(_rich_parts(int(p or 0))) for p in b.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path")).mapInArrow(run, "path string, content binary")
+
+
+@query("""SELECT doc_id::VARCHAR AS path, r AS row, 0 AS idx, 3 AS declared, CASE WHEN r = 0 THEN 1 ELSE 0 END AS grid_before, CASE WHEN r = 0 THEN 2 ELSE 1 END AS span, CASE WHEN r = 0 THEN 'restart' ELSE 'continue' END AS v_merge, r = 0 AS header,
+  CASE WHEN r = 0 THEN 'cell ' || doc_id || chr(10) || 'two' ELSE 'x' END AS text FROM documents, (SELECT unnest([0, 1]) AS r)""")
+def package_cells(spark, sf):
+    return packages.cells(_rich(spark, sf)).select("path", "row", "idx", "declared", "grid_before", "span", "v_merge", "header", "text")
+
+
+@query("""SELECT doc_id::VARCHAR AS path, 'comment' AS kind, '1' AS reference, 'A' || (doc_id % 3) AS author, 'says ' || doc_id AS text FROM documents UNION ALL SELECT doc_id::VARCHAR, 'footnote', '2', NULL, 'foot' FROM documents""")
+def package_notes(spark, sf):
+    return packages.notes(_rich(spark, sf)).select("path", "kind", "reference", "author", "text")
+
+
+@query("""SELECT doc_id::VARCHAR AS path, 'T' || doc_id AS title, 'word/header1.xml' AS part, 'DDEAUTO x' || doc_id AS instruction FROM documents""")
+def package_properties(spark, sf):
+    files = _rich(spark, sf)
+    fields = packages.dde_fields(files).select("path", "part", "instruction")
+    return _join(packages.metadata(files).select("path", "title"), fields).select("path", "title", "part", "instruction")
+
+
+@query("""SELECT doc_id::VARCHAR AS path, 'float' AS obs, 2 AS block, 'anchor' AS kind, NULL AS columns, 100 AS width, 200 AS height, doc_id AS offset_x, NULL AS offset_y, CASE WHEN doc_id % 2 = 1 THEN 'behindText' ELSE 'inFrontOfText' END AS wrap, 'rId' || (doc_id % 9) AS rel_id, NULL AS margin_top FROM documents
+UNION ALL SELECT doc_id::VARCHAR, 'unknown', 3, 'altChunk', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM documents
+UNION ALL SELECT doc_id::VARCHAR, 'section', 2, 'nextPage', 2, 11906, 16838, NULL, NULL, NULL, NULL, doc_id % 100 FROM documents""")
+def package_layout(spark, sf):
+    return packages.layout(_rich(spark, sf)).select("path", "obs", "block", "kind", "columns", "width", "height", "offset_x", "offset_y", "wrap", "rel_id", "margin_top")
+
+
+@query("""WITH r AS (SELECT doc_id, unnest(range(5)) AS k FROM documents) SELECT doc_id::VARCHAR AS path, (['run ' || doc_id, 'tail', 'cell ' || doc_id, 'two', 'x'])[k + 1] AS text, CASE k WHEN 0 THEN true WHEN 1 THEN false END AS bold, CASE WHEN k = 0 AND doc_id % 30 > 0 THEN (doc_id % 30)::DOUBLE END AS size,
+  CASE WHEN k = 1 THEN 'FF0000' END AS color, CASE WHEN k = 1 THEN 'SimSun' END AS east_asia, CASE WHEN k < 2 THEN 'center' END AS alignment, CASE WHEN k < 2 THEN doc_id % 500 END AS first_line FROM r
+UNION ALL SELECT doc_id::VARCHAR, '', NULL, NULL, NULL, NULL, NULL, NULL FROM documents""")
+def package_runs(spark, sf):
+    return packages.runs(_rich(spark, sf)).select("path", "text", "bold", "size", "color", "east_asia", "alignment", "first_line")

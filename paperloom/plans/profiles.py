@@ -224,7 +224,10 @@ def deck_runs(spark, sf):
 
     def run(batches):
         for b in batches:
-            made = [writers.pptx([[("body", t, None)] for t in texts]) for texts in b.column("texts").to_pylist()]
+            made = []
+            for path, texts in zip(b.column("path").to_pylist(), b.column("texts").to_pylist(), strict=True):
+                numbers = list(range(1, len(texts) + 1))  # of the parts; half of the decks do not number slides as they show them
+                made.append(writers.pptx([[("body", t, None)] for t in texts], numbers[::-1] if path and int(path) % 2 else numbers))
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], ["path", "content"])
 
     runs = packages.slide_runs(decks.mapInArrow(run, "path string, content binary"))

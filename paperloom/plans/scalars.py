@@ -20,16 +20,16 @@ def text_functions(spark, sf):
     return d.select("doc_id", T.snippet("text").alias("snippet"), T.truncate("text").alias("summary"), T.match_key("text").alias("match_key"), T.xml_escape("text").alias("escaped"), stem.alias("stem_chars"), T.needs_font("text").alias("needs_font"))
 
 
-_P = "(['heading 1', 'Heading3', 'heading', '标题 2', 'Heading2 Char', 'Body Text', 'Title', 'heading 12'])[(p_partkey % 8 + 1)::INT]"
+_P = "(['heading 1', 'Heading3', ' heading ', '标题 2', 'Heading2 Char', 'Body Text', 'Title', 'heading 12', 'Heading 10', 'Heading Part 7 '])[(p_partkey % 10 + 1)::INT]"
 
 
 @query(f"""WITH p AS (SELECT p_partkey, {_P} AS name, 'word/_rels/part' || p_partkey || '.xml.rels' AS rels,
   (['media/a.png', '../b.xml', '/c/./d.xml', '../../e.xml', './f/../g.xml'])[(p_partkey % 5 + 1)::INT] AS target,
   (['C:/x/File.DOCX', 'noext', 'a.b/c', 'https://h/x.docx', 'file:///t/x.PDF', 's3://b/k.xlsx', 'ftp://q/z.txt'])[(p_partkey % 7 + 1)::INT] AS uri,
   CASE WHEN p_partkey % 9 = 0 THEN 3 END AS outline FROM part)
-SELECT p_partkey, CASE WHEN regexp_matches(lower(name), '^(heading|标题)\\s*[1-9]?$') THEN coalesce(nullif(regexp_extract(lower(name), '^(?:heading|标题)\\s*([1-9]?)$', 1), '')::INT, 1)
-    WHEN regexp_matches(lower(name), '^(heading|标题).*[1-9]$') THEN regexp_extract(lower(name), '([1-9])$', 1)::INT END AS level,
-  outline IS NOT NULL OR regexp_matches(lower(name), '^(heading|标题)(\\s*[1-9]?|.*[1-9])$') AS is_heading,
+SELECT p_partkey, CASE WHEN regexp_matches(lower(name), '^\\s*(heading|标题)\\s*[1-9]?\\s*$') THEN coalesce(nullif(regexp_extract(lower(name), '([1-9]?)\\s*$', 1), '')::INT, 1)
+    WHEN regexp_matches(lower(name), '^\\s*(heading|标题).*[0-9]\\s*$') THEN regexp_extract(lower(name), '([0-9]+)\\s*$', 1)::INT END AS level,
+  outline IS NOT NULL OR regexp_matches(lower(name), '^\\s*(heading|标题)\\s*[1-9]?\\s*$') AS is_heading,
   'word/part' || p_partkey || '.xml' AS source_part,
   (['word/media/a.png', 'b.xml', 'c/d.xml', 'e.xml', 'word/g.xml'])[(p_partkey % 5 + 1)::INT] AS resolved,
   (['docx', NULL, NULL, 'docx', 'pdf', 'xlsx', 'txt'])[(p_partkey % 7 + 1)::INT] AS ext,
@@ -38,7 +38,7 @@ def name_functions(spark, sf):
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % len(xs) + 1).cast("int"))
     p = table(spark, sf, "part").select(
         "p_partkey",
-        pick(["heading 1", "Heading3", "heading", "标题 2", "Heading2 Char", "Body Text", "Title", "heading 12"]).alias("name"),
+        pick(["heading 1", "Heading3", " heading ", "标题 2", "Heading2 Char", "Body Text", "Title", "heading 12", "Heading 10", "Heading Part 7 "]).alias("name"),
         F.concat(F.lit("word/_rels/part"), F.col("p_partkey").cast("string"), F.lit(".xml.rels")).alias("rels"),
         pick(["media/a.png", "../b.xml", "/c/./d.xml", "../../e.xml", "./f/../g.xml"]).alias("target"),
         pick(["CC:/x/File.DOCX", "noext", "a.b/c", "https://h/x.docx", "file:///t/x.PDF", "s3://b/k.xlsx", "ftp://q/z.txt"]).alias("uri"),
@@ -94,12 +94,16 @@ def contrast_fit(spark, sf):
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
 k AS (SELECT page_id, target, (['/hyperlink', '/image', '/oleObject', '/attachedTemplate', '/mailMergeSource', '/frameFile', '/other'])[(length(target) % 7 + 1)::INT] AS kind FROM l)
 SELECT page_id, category, count(*) AS n FROM (SELECT page_id, CASE WHEN kind = '/attachedTemplate' THEN 'attachedTemplate' WHEN kind = '/hyperlink' THEN 'hyperlink' WHEN kind = '/image' THEN 'externalImage'
-  WHEN kind IN ('/oleObject', '/frameFile') THEN 'externalObject' WHEN kind = '/mailMergeSource' THEN 'dataSource' WHEN starts_with(lower(target), 'dde') THEN 'dde' ELSE 'other' END AS category FROM k) GROUP BY ALL""")
+  WHEN kind IN ('/oleObject', '/frameFile') THEN 'externalObject' WHEN kind = '/mailMergeSource' THEN 'dataSource' WHEN starts_with(lower(target), 'dde') THEN 'dde' ELSE 'other' END AS category FROM k) GROUP BY ALL
+UNION ALL SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'dde' WHEN page_id % 3 = 1 THEN 'other' ELSE 'hyperlink' END, 1 FROM pages""")
 def external_links(spark, sf):
     links = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
     kinds = ["/hyperlink", "/image", "/oleObject", "/attachedTemplate", "/mailMergeSource", "/frameFile", "/other"]
     kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.char_length("target") % 7 + 1).cast("int"))
-    return links.groupBy("page_id", integrity.external_category(kind, F.col("target")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    found = links.groupBy("page_id", integrity.external_category(kind, F.col("target")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    odd = F.col("page_id") % 3
+    rel, target = F.when(odd == 2, "/hyperlink").otherwise("/other"), F.when(odd == 0, " \t\nDDEAUTO excel").when(odd == 1, "x dde").otherwise("dde")
+    return found.unionByName(table(spark, sf, "pages").select("page_id", integrity.external_category(rel, target).alias("category"), F.lit(1).cast("bigint").alias("n")))
 
 
 @query("""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS plain,
@@ -108,11 +112,13 @@ def markup_functions(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.decode_entities(T.plain_text("html")).alias("plain"), F.sha2(T.without_attributes("html", "href", "class"), 256).alias("bare_sha"))
 
 
-@query("""WITH p AS (SELECT p_partkey, 'Dear {{name}}, part {{ part_' || (p_partkey % 3) || ' }} and {{name}}' || CASE WHEN p_partkey % 4 = 0 THEN ' {{broken' ELSE '' END AS t FROM part)
-SELECT p_partkey, 'name,part_' || (p_partkey % 3) AS names, p_partkey % 4 = 0 AS broken FROM p""")
+@query("""WITH p AS (SELECT p_partkey, 'Dear {{name}}, part {{part_' || (p_partkey % 3) || '}} and {{name}}' || ([' {{broken', ' {{ blank }}', ' {{_x}}', ' {{a.b}}', ' }}', ''])[(p_partkey % 6 + 1)::INT] AS t FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\{\\{([A-Za-z][A-Za-z0-9_]{0,63})\\}\\}', 1))), ',') AS names,
+  regexp_matches(regexp_replace(t, '\\{\\{[A-Za-z][A-Za-z0-9_]{0,63}\\}\\}', '', 'g'), '\\{\\{|\\}\\}') AS broken FROM p""")
 def template_tokens(spark, sf):
     k = F.col("p_partkey")
-    t = F.concat(F.lit("Dear {{name}}, part {{ part_"), (k % 3).cast("string"), F.lit(" }} and {{name}}"), F.when(k % 4 == 0, " {{broken").otherwise(""))
+    ends = F.array(*[F.lit(x) for x in (" {{broken", " {{ blank }}", " {{_x}}", " {{a.b}}", " }}", "")])
+    t = F.concat(F.lit("Dear {{name}}, part {{part_"), (k % 3).cast("string"), F.lit("}} and {{name}}"), F.element_at(ends, (k % 6 + 1).cast("int")))
     return table(spark, sf, "part").select("p_partkey", F.array_join(T.template_names(t), ",").alias("names"), T.has_broken_token(t).alias("broken"))
 
 

@@ -114,24 +114,26 @@ def duplicate_targets(spark, sf):
     return integrity.repeated_targets(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""WITH n AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS node, l_linenumber AS para, l_linenumber % 3 AS scope, l_partkey % 50 AS digest FROM lineitem),
-e AS (SELECT o_orderkey AS doc, 1 AS edit, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 7 END AS para, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 6 + 1 END AS path, o_custkey % 3 AS scope, o_custkey % 50 AS digest FROM orders),
+@query("""WITH n AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS node, l_linenumber AS para, l_partkey % 50 AS digest FROM lineitem),
+e AS (SELECT o_orderkey AS doc, 1 AS edit, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 7 END AS para, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 6 + 1 END AS path, o_custkey AS k, CASE WHEN o_custkey % 11 <> 0 THEN o_custkey % 50 END AS digest FROM orders),
 a AS (SELECT e.doc, count(*) AS c, min(node) AS node, bool_or(n.digest = e.digest) AS same FROM e JOIN n ON n.doc = e.doc AND n.para = e.para GROUP BY e.doc),
 b AS (SELECT e.doc, bool_or(n.digest = e.digest) AS same, min(node) AS node FROM e JOIN n ON n.doc = e.doc AND n.node = e.path GROUP BY e.doc),
-s AS (SELECT e.doc, count(*) AS c, min(node) AS node FROM e JOIN n ON n.doc = e.doc AND n.scope = e.scope AND n.digest = e.digest WHERE e.path IS NOT NULL GROUP BY e.doc),
+s AS (SELECT doc, arg_min(c, level) AS c, arg_min(node, level) AS node FROM (SELECT e.doc, level, count(*) AS c, min(node) AS node FROM e JOIN n ON n.doc = e.doc AND n.digest = e.digest CROSS JOIN (SELECT unnest([0, 1, 2]) AS level)
+  WHERE e.path IS NOT NULL AND CASE level WHEN 0 THEN n.para % 3 = e.k % 3 WHEN 1 THEN n.para % 2 = e.k % 2 ELSE true END GROUP BY ALL) GROUP BY doc),
 w AS (SELECT e.doc, count(*) AS c, min(node) AS node FROM e JOIN n ON n.doc = e.doc AND n.digest = e.digest WHERE e.path IS NULL GROUP BY e.doc),
-r AS (SELECT e.doc, CASE WHEN a.c > 1 THEN 'ambiguous' WHEN a.c = 1 AND NOT a.same THEN 'stale' WHEN a.c = 1 THEN 'ok' WHEN b.same THEN 'ok' WHEN e.path IS NOT NULL THEN CASE WHEN s.c = 1 THEN 'ok' WHEN s.c > 1 THEN 'ambiguous' ELSE 'stale' END
+r AS (SELECT e.doc, CASE WHEN a.c > 1 THEN 'ambiguous' WHEN a.c = 1 AND NOT coalesce(a.same, false) THEN 'stale' WHEN a.c = 1 THEN 'ok' WHEN b.same THEN 'ok' WHEN e.path IS NOT NULL THEN CASE WHEN s.c = 1 THEN 'ok' WHEN s.c > 1 THEN 'ambiguous' ELSE 'stale' END
     WHEN w.c = 1 THEN 'ok' WHEN w.c > 1 THEN 'ambiguous' ELSE 'not-found' END AS status, CASE WHEN a.c = 1 THEN a.node WHEN b.same THEN b.node WHEN e.path IS NOT NULL THEN s.node ELSE w.node END AS node
   FROM e LEFT JOIN a USING (doc) LEFT JOIN b USING (doc) LEFT JOIN s USING (doc) LEFT JOIN w USING (doc))
 SELECT doc, status, CASE WHEN status = 'ok' THEN node END AS node FROM r""")
 def edit_targets(spark, sf):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    scopes = lambda k: F.array(F.concat(F.lit("cell "), text(k % 3)), F.concat(F.lit("row "), text(k % 2)), F.lit("table"))
     nodes = table(spark, sf, "lineitem").withColumn("node", F.row_number().over(w))
-    nodes = nodes.select(F.col("l_orderkey").alias("doc"), "node", text("l_linenumber").alias("para_id"), text("node").alias("path"), text(F.col("l_linenumber") % 3).alias("scope"), text(F.col("l_partkey") % 50).alias("digest"))
+    nodes = nodes.select(F.col("l_orderkey").alias("doc"), "node", text("l_linenumber").alias("para_id"), text("node").alias("path"), scopes(F.col("l_linenumber")).alias("scopes"), text(F.col("l_partkey") % 50).alias("digest"))
     c = F.col("o_custkey")
     edits = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("doc"), F.lit(1).alias("edit"), F.when(c % 3 == 0, text(c % 7)).alias("para_id"), F.when(c % 2 == 0, text(c % 6 + 1)).alias("path"), text(c % 3).alias("scope"), text(c % 50).alias("digest")
+        F.col("o_orderkey").alias("doc"), F.lit(1).alias("edit"), F.when(c % 3 == 0, text(c % 7)).alias("para_id"), F.when(c % 2 == 0, text(c % 6 + 1)).alias("path"), scopes(c).alias("scopes"), F.when(c % 11 != 0, text(c % 50)).alias("digest")
     )
     return integrity.resolve_targets(edits, nodes, ["doc"]).select("doc", "status", "node")
 

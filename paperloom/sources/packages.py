@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
@@ -45,27 +47,36 @@ def container(content: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_TOTAL) -> DataFrame:
-    """Files with identity: path, content, size_bytes, sha256, container, extension. Sizes above max_bytes are filtered
-    by the scan before their bytes are read."""
+    """Files with identity: path, content, size_bytes, sha256, container, extension, issue. The bytes of files above
+    max_bytes are not read: such a file is a row without content and digest, with the issue LIMIT_FILE_BYTES."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).where(F.col("length") <= max_bytes)
-    return files.select(
-        "path", "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), container(F.col("content")).alias("container"), T.extension("path").alias("extension")
+    files = reader.load(path)
+    read = files.where(F.col("length") <= max_bytes).select("path", "content", "length", F.lit(None).cast("string").alias("issue"))
+    spared = files.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary").alias("content"), "length", F.lit("LIMIT_FILE_BYTES").alias("issue"))
+    return read.unionByName(spared).select(
+        "path", "content", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), container(F.col("content")).alias("container"), T.extension("path").alias("extension"), "issue"
     )
 
 
 # --- packages -------------------------------------------------------------------------------------------------------
 
 
+class _NoDoctype(ElementTree.TreeBuilder):
+    """Refuses document types, and with them entities, in any encoding."""
+
+    def doctype(self, name, pubid, system):
+        raise Refused("XML_FORBIDDEN")
+
+
 class Package:
     """Bounded reading of one archive."""
 
     def __init__(self, content: bytes):
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(content))
-        except (zipfile.BadZipFile, ValueError, OSError):
+        except (zipfile.BadZipFile, ValueError, OSError, EOFError, struct.error, NotImplementedError):
             raise Refused("CONTAINER_UNREADABLE") from None
         self.infos = sorted(self.zip.infolist(), key=lambda i: i.filename)
         if len(self.infos) > MAX_ENTRIES:
@@ -90,17 +101,14 @@ class Package:
                     self.left -= len(piece)
                     if out.tell() > MAX_ENTRY or self.left < 0:
                         raise Refused("LIMIT_ENTRY_BYTES" if self.left >= 0 else "LIMIT_TOTAL_BYTES")
-        except (zipfile.BadZipFile, OSError, EOFError):
+        except (zipfile.BadZipFile, zlib.error, OSError, EOFError, struct.error, NotImplementedError, RuntimeError):
             raise Refused("ENTRY_DAMAGED") from None
         return out.getvalue()
 
     def xml(self, name: str) -> ElementTree.Element:
-        data = self.read(name)
-        if re.search(rb"<!(DOCTYPE|ENTITY)", data):
-            raise Refused("XML_FORBIDDEN")
         try:
-            return ElementTree.fromstring(data)
-        except ElementTree.ParseError:
+            return ElementTree.fromstring(self.read(name), ElementTree.XMLParser(target=_NoDoctype()))
+        except (ElementTree.ParseError, ValueError, LookupError):
             raise Refused("XML_MALFORMED") from None
 
     def optional(self, name: str) -> ElementTree.Element | None:
@@ -113,7 +121,8 @@ Parser = Callable[[Package], Rows]
 
 def extract(files: DataFrame, parse: Parser, schema: str) -> DataFrame:
     """Rows that `parse` finds in each package, with path before and issue after its columns. A package that is refused
-    gives one row with nulls and the issue. Files that are not ZIP by their first bytes are not opened."""
+    gives one row with nulls and the issue, PARSE_FAILED if its parts are well-formed but not what they should be. Files
+    that are not ZIP by their first bytes are not opened."""
     kind = StructType.fromDDL(f"path string, {schema}, issue string")
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -129,6 +138,8 @@ def extract(files: DataFrame, parse: Parser, schema: str) -> DataFrame:
                         rows.append((path, *row, None))
                 except Refused as refused:
                     rows.append((path, *[None] * width, str(refused)))
+                except Exception:  # no package fails the job, whatever it holds
+                    rows.append((path, *[None] * width, "PARSE_FAILED"))
                 for s in range(0, len(rows), 10_000):
                     columns = zip(*rows[s : s + 10_000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
@@ -231,9 +242,9 @@ def _run_format(run) -> tuple:
     bold, size, color, fonts = (child(props, n) for n in ("b", "sz", "color", "rFonts"))
     return (
         None if bold is None else (attr(bold, "val") or "1").lower() not in ("0", "false", "off"),
-        None if size is None or whole(attr(size, "val")) is None else whole(attr(size, "val")) / 2,
-        None if color is None else attr(color, "val"),
-        None if fonts is None else attr(fonts, "eastAsia"),
+        None if size is None or (whole(attr(size, "val")) or 0) <= 0 else whole(attr(size, "val")) / 2,
+        None if color is None or attr(color, "val") in ("", "auto") else attr(color, "val"),
+        None if fonts is None else attr(fonts, "eastAsia") or None,
     )
 
 
@@ -277,11 +288,15 @@ def _blocks(body, path: str) -> Iterator[tuple[str, ElementTree.Element, str, in
             yield name, e, own, counts[name] - 1
 
 
-def _paragraphs(p: Package) -> Rows:
+def _body(p: Package) -> ElementTree.Element:
     body = child(p.xml(DOCUMENT), "body")
     if body is None:
         raise Refused("BODY_MISSING")
-    for name, e, path, ordinal in _blocks(body, "/w:document/w:body"):
+    return body
+
+
+def _paragraphs(p: Package) -> Rows:
+    for name, e, path, ordinal in _blocks(_body(p), "/w:document/w:body"):
         if name == "p":
             yield _paragraph(e, path, ordinal, None, None, None)
             continue
@@ -296,8 +311,7 @@ def paragraphs(files: DataFrame) -> DataFrame:
 
 
 def _cells(p: Package) -> Rows:
-    body = child(p.xml(DOCUMENT), "body")
-    for name, e, path, _ in _blocks(body, "/w:document/w:body"):
+    for name, e, path, _ in _blocks(_body(p), "/w:document/w:body"):
         if name != "tbl":
             continue
         grid = child(e, "tblGrid")
@@ -376,36 +390,120 @@ def dde_fields(files: DataFrame) -> DataFrame:
     return extract(files, _fields, "part string, instruction string").distinct()
 
 
+def _header_texts(p: Package) -> Rows:
+    for name in sorted(n for n in p.names if re.fullmatch(r"word/(header|footer)\d*\.xml", n)):
+        yield (name, "\n".join(text_of(e) for e in p.xml(name) if local(e) == "p"))
+
+
+def header_texts(files: DataFrame) -> DataFrame:
+    """The text of each header and footer part."""
+    return extract(files, _header_texts, "part string, text string")
+
+
+def _chosen(element) -> Iterator[ElementTree.Element]:
+    """All elements below one in order, but of alternative contents only the first choice, or the fallback if there is
+    none: the same drawing is not seen twice."""
+    for e in element:
+        if local(e) == "AlternateContent":
+            picked = child(e, "Choice") if child(e, "Choice") is not None else child(e, "Fallback")
+            if picked is not None:
+                yield from _chosen(picked)
+            continue
+        yield e
+        yield from _chosen(e)
+
+
 def _layout(p: Package) -> Rows:
-    body = child(p.xml(DOCUMENT), "body")
-    for k, e in enumerate(x for x in body if local(x) in ("p", "tbl", "sdt")):
-        for x in e.iter():
+    body = _body(p)
+    blocks = [x for x in body if local(x) in ("p", "tbl", "sdt")]
+    for k, e in enumerate(blocks):
+        for x in _chosen(e):
             name = local(x)
             if name == "br" and attr(x, "type") == "page":
-                yield ("break", k, "explicit", None, None, None, None)
+                yield _seen("break", k, kind="explicit")
             elif name == "lastRenderedPageBreak":
-                yield ("break", k, "rendered", None, None, None, None)
+                yield _seen("break", k, kind="rendered")
             elif name == "pageBreakBefore" and (attr(x, "val") or "1") not in ("0", "false"):
-                yield ("break", k, "explicit", None, None, None, None)
+                yield _seen("break", k, kind="explicit")
             elif name in ("anchor", "inline"):
-                size = child(x, "extent")
-                yield ("float", k, name, None, *((whole(attr(size, n)) if size is not None else None) for n in ("cx", "cy")), None)
+                yield _drawing(x, k)
             elif name == "sectPr":
                 yield _section(x, k)
+    for x in body:
+        if local(x) not in ("p", "tbl", "sdt", "sectPr"):
+            yield _seen("unknown", len(blocks), kind=local(x))
     last = child(body, "sectPr")
     if last is not None:
-        yield _section(last, sum(local(x) in ("p", "tbl", "sdt") for x in body) - 1)
+        yield _section(last, len(blocks) - 1)
 
 
-def _section(x, k):
-    size, kind, cols = child(x, "pgSz"), child(x, "type"), child(x, "cols")
+#: Columns of an observation after its name and block.
+_OBSERVED = ("kind", "columns", "width", "height", "orientation", "offset_x", "offset_y", "wrap", "rel_id", "margin_top", "margin_right", "margin_bottom", "margin_left")
+
+
+def _seen(obs: str, block: int, **values) -> tuple:
+    return (obs, block, *(values.get(k) for k in _OBSERVED))
+
+
+def _below(element, name: str):
+    return next((x for x in element.iter() if local(x) == name), None)
+
+
+def _drawing(x, k: int) -> tuple:
+    """A floating or inline drawing: its size, how far it is from what it is placed by, how text runs round it and the
+    relationship of its picture or chart."""
+    number = lambda e, name: None if e is None else whole(attr(e, name))
+    inline = local(x) == "inline"
+    offsets = []
+    for axis, letter in (("H", "x"), ("V", "y")):
+        if not inline and attr(x, "simplePos") in ("1", "true") and child(x, "simplePos") is not None:
+            offsets.append(number(child(x, "simplePos"), letter))
+        else:
+            placed = child(x, f"position{axis}", "posOffset")
+            offsets.append(None if placed is None else whole(placed.text))
+    behind = attr(x, "behindDoc") in ("1", "true")
+    modes = {"wrapSquare": "square", "wrapTight": "tight", "wrapThrough": "through", "wrapTopAndBottom": "topAndBottom", "wrapNone": "behindText" if behind else "inFrontOfText"}
+    wrap = "inline" if inline else next((mode for name, mode in modes.items() if child(x, name) is not None), "none")
+    picture, chart = _below(x, "blip"), _below(x, "chart")
+    rel = attr(chart, "id") if chart is not None else None if picture is None else attr(picture, "embed") or attr(picture, "link")
+    return _seen("float", k, kind=local(x), width=number(child(x, "extent"), "cx"), height=number(child(x, "extent"), "cy"), offset_x=offsets[0], offset_y=offsets[1], wrap=wrap, rel_id=rel)
+
+
+def _section(x, k: int) -> tuple:
+    size, kind, cols, margin = (child(x, n) for n in ("pgSz", "type", "cols", "pgMar"))
     count = None if cols is None else (len(children(cols, "col")) or whole(attr(cols, "num")))
-    return ("section", k, attr(kind, "val", "nextPage") if kind is not None else "nextPage", count or 1, *((whole(attr(size, n)) if size is not None else None) for n in ("w", "h")), None if size is None else attr(size, "orient"))
+    sides = {f"margin_{n}": None if margin is None else whole(attr(margin, n)) for n in ("top", "right", "bottom", "left")}
+    width, height = (None if size is None else whole(attr(size, n)) for n in ("w", "h"))
+    turned = None if size is None else attr(size, "orient")
+    return _seen("section", k, kind=attr(kind, "val", "nextPage") if kind is not None else "nextPage", columns=count or 1, width=width, height=height, orientation=turned, **sides)
 
 
 def layout(files: DataFrame) -> DataFrame:
-    """Page breaks, sections and floating or inline drawings, with the index of their block."""
-    return extract(files, _layout, "obs string, block int, kind string, columns int, width bigint, height bigint, orientation string")
+    """Page breaks, sections with their margins, floating or inline drawings, and elements of the body that are no
+    blocks, with the index of their block."""
+    numbers = ", ".join(f"margin_{n} int" for n in ("top", "right", "bottom", "left"))
+    return extract(files, _layout, f"obs string, block int, kind string, columns int, width bigint, height bigint, orientation string, offset_x bigint, offset_y bigint, wrap string, rel_id string, {numbers}")
+
+
+def _runs(p: Package) -> Rows:
+    for name, e, path, _ in _blocks(_body(p), "/w:document/w:body"):
+        for para, own in [(e, path)] if name == "p" else [
+            (para, f"{path}/w:tr[{r + 1}]/w:tc[{c + 1}]/w:p[{k + 1}]")
+            for r, row in enumerate(children(e, "tr")) for c, cell in enumerate(children(row, "tc")) for k, para in enumerate(children(cell, "p"))
+        ]:
+            align = child(para, "pPr", "jc")
+            indent = child(para, "pPr", "ind")
+            for r, run in enumerate(children(para, "r")):
+                yield (
+                    own, r, text_of(run), *_run_format(run), None if align is None else attr(align, "val"),
+                    None if indent is None else whole(attr(indent, "firstLine")), None if indent is None else whole(attr(indent, "firstLineChars")),
+                )
+
+
+def runs(files: DataFrame) -> DataFrame:
+    """Runs of all paragraphs with their own formatting and their paragraph's alignment and first-line indent; what is
+    absent is null, not false."""
+    return extract(files, _runs, "structural_path string, run int, text string, bold boolean, size double, color string, east_asia string, alignment string, first_line int, first_line_chars int")
 
 
 # --- spreadsheets and decks -----------------------------------------------------------------------------------------
@@ -438,7 +536,8 @@ def _sheet_cells(p: Package) -> Rows:
             kind, value, formula = attr(e, "t", "n"), child(e, "v"), child(e, "f")
             raw = None if value is None else value.text
             if kind == "s" and raw is not None:
-                raw = strings[int(raw)] if int(raw) < len(strings) else None
+                at = whole(raw)
+                raw = strings[at] if at is not None and 0 <= at < len(strings) else None
             elif kind == "inlineStr":
                 raw = text_of(e)
             kind = {"s": "text", "inlineStr": "text", "str": "text", "b": "boolean", "e": "error"}.get(kind, "number")
@@ -450,11 +549,25 @@ def sheet_cells(files: DataFrame) -> DataFrame:
     return extract(files, _sheet_cells, "sheet string, row int, col int, kind string, value string, formula string")
 
 
+def _slides(p: Package) -> list[str]:
+    """The parts of the slides in the order of the deck, which is not that of their names."""
+    rels = p.optional("ppt/_rels/presentation.xml.rels")
+    targets = {attr(e, "Id"): attr(e, "Target", "") for e in rels} if rels is not None else {}
+    out = []
+    for e in p.xml("ppt/presentation.xml").iter():
+        if local(e) == "sldId":
+            target = next((targets.get(v, "") for k, v in e.attrib.items() if k.endswith("}id")), "")
+            part = target.lstrip("/") if target.startswith("/") else f"ppt/{target}"
+            if part not in p.names:
+                raise Refused("SLIDE_MISSING")
+            out.append(part)
+    return out
+
+
 def _slide_runs(p: Package) -> Rows:
     if any(n.lower().endswith("vbaproject.bin") for n in p.names):
         raise Refused("MACROS_REFUSED")
-    slides = sorted((int(m[1]), n) for n in p.names if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-    for number, name in slides:
+    for number, name in enumerate(_slides(p), 1):
         for s, shape in enumerate(x for x in p.xml(name).iter() if local(x) in ("sp", "graphicFrame")):
             props = next((x for x in shape.iter() if local(x) == "cNvPr"), None)
             holder = next((x for x in shape.iter() if local(x) == "ph"), None)

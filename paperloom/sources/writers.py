@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import html
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
+from xml.dom import minidom
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packages import DOCUMENT, Package, Refused
+from .packages import DOCUMENT, Package, Refused, local
 
-_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_W = f'xmlns:w="{_WORD}"'
 _R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _P = "http://schemas.openxmlformats.org/package/2006"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -51,10 +55,15 @@ def _safe(text: str | None) -> str:
     return escape(_BAD.sub("", text or ""))
 
 
+#: Where a paragraph's text goes on in another run; a character that XML does not allow in a text.
+RUN_BREAK = "\x1f"
+
+
 def paragraph_xml(text: str | None, style: str | None = None, para_id: str | None = None, ordered: int | None = None) -> str:
     props = (f'<w:pStyle w:val="{_safe(style)}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="{ordered}"/><w:numId w:val="1"/></w:numPr>' if ordered is not None else "")
     native = f' xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" w14:paraId="{para_id}"' if para_id else ""
-    return f'<w:p{native}>{f"<w:pPr>{props}</w:pPr>" if props else ""}<w:r><w:t xml:space="preserve">{_safe(text)}</w:t></w:r></w:p>'
+    runs = "".join(f'<w:r><w:t xml:space="preserve">{_safe(x)}</w:t></w:r>' for x in (text or "").split(RUN_BREAK))
+    return f'<w:p{native}>{f"<w:pPr>{props}</w:pPr>" if props else ""}{runs}</w:p>'
 
 
 def styles_xml(levels: int = 9) -> str:
@@ -67,10 +76,12 @@ def styles_xml(levels: int = 9) -> str:
 
 def docx(blocks: list[dict]) -> bytes:
     """A document of blocks in order: paragraph (text, style, para_id), list (text, level), pageBreak, table (rows of
-    cell texts)."""
-    body = []
+    cell texts), header (text, in the page header). Texts are cut into runs at RUN_BREAK."""
+    body, header = [], []
     for b in blocks:
-        if b["kind"] == "table":
+        if b["kind"] == "header":
+            header.append(paragraph_xml(b.get("text")))
+        elif b["kind"] == "table":
             rows = b.get("rows") or []
             width = max([len(r) for r in rows], default=0)
             grid = "".join(f'<w:gridCol w:w="{8600 // max(1, width)}"/>' for _ in range(width))
@@ -80,14 +91,18 @@ def docx(blocks: list[dict]) -> bytes:
             body.append('<w:p><w:r><w:br w:type="page"/></w:r></w:p>')
         else:
             body.append(paragraph_xml(b.get("text"), b.get("style"), b.get("para_id"), b.get("level") if b["kind"] == "list" else None))
+    types = {DOCUMENT: _KIND + "wordprocessingml.document.main+xml", "word/styles.xml": _KIND + "wordprocessingml.styles+xml"}
+    more = {"word/header1.xml": f'{_HEAD}<w:hdr {_W}>{"".join(header)}</w:hdr>'} if header else {}
+    shown = f'<w:headerReference xmlns:r="{_R}" w:type="default" r:id="rId2"/>' if header else ""
     return packed(
         {
-            "[Content_Types].xml": _types(_XML, {DOCUMENT: _KIND + "wordprocessingml.document.main+xml", "word/styles.xml": _KIND + "wordprocessingml.styles+xml"}),
+            "[Content_Types].xml": _types(_XML, types | {n: _KIND + "wordprocessingml.header+xml" for n in more}),
             "_rels/.rels": _rels([("officeDocument", DOCUMENT)]),
-            DOCUMENT: f'{_HEAD}<w:document {_W}><w:body>{"".join(body)}<w:sectPr><w:pgSz w:w="11906" w:h="16838"/></w:sectPr></w:body></w:document>',
-            "word/_rels/document.xml.rels": _rels([("styles", "styles.xml")]),
+            DOCUMENT: f'{_HEAD}<w:document {_W}><w:body>{"".join(body)}<w:sectPr>{shown}<w:pgSz w:w="11906" w:h="16838"/></w:sectPr></w:body></w:document>',
+            "word/_rels/document.xml.rels": _rels([("styles", "styles.xml")] + [("header", "header1.xml")] * bool(header)),
             "word/styles.xml": styles_xml(),
         }
+        | more
     )
 
 
@@ -120,19 +135,23 @@ def xlsx(sheets: dict[str, list[tuple[int, int, object, str | None]]]) -> bytes:
     return packed({"[Content_Types].xml": _types(_XML, overrides), "_rels/.rels": _rels([("officeDocument", "xl/workbook.xml")]), "xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels} | parts)
 
 
-def pptx(slides: list[list[tuple[str, str, float | None]]]) -> bytes:
-    """A deck of slides of shapes (placeholder type, text, size in points)."""
-    a = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+def pptx(slides: list[list[tuple[str, str, float | None]]], numbers: list[int] | None = None) -> bytes:
+    """A deck of slides of shapes (placeholder type, text, size in points). The part of each slide is named by its number,
+    which is its place unless numbers are given; the deck lists the slides in their order."""
+    a = f'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="{_R}"'
     parts: dict[str, str | bytes] = {}
-    for k, shapes in enumerate(slides, 1):
+    numbers = numbers or list(range(1, len(slides) + 1))
+    for k, shapes in zip(numbers, slides, strict=True):
         body = ""
         for s, (holder, text, size) in enumerate(shapes, 2):
             sized = f'<a:rPr sz="{round(size * 100)}"/>' if size else ""
             body += f'<p:sp><p:nvSpPr><p:cNvPr id="{s}" name="s{s}"/><p:cNvSpPr/><p:nvPr><p:ph type="{holder}"/></p:nvPr></p:nvSpPr><p:spPr><a:xfrm><a:off x="0" y="{s * 100}"/><a:ext cx="9000" cy="600"/></a:xfrm></p:spPr><p:txBody><a:p><a:r>{sized}<a:t>{_safe(text)}</a:t></a:r></a:p></p:txBody></p:sp>'
         parts[f"ppt/slides/slide{k}.xml"] = f"{_HEAD}<p:sld {a}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>"
-    deck = f"{_HEAD}<p:presentation {a}/>"
+    listed = "".join(f'<p:sldId id="{255 + k}" r:id="rId{k}"/>' for k in range(1, len(slides) + 1))
+    deck = f"{_HEAD}<p:presentation {a}><p:sldIdLst>{listed}</p:sldIdLst></p:presentation>"
+    rels = _rels([("slide", f"slides/slide{k}.xml") for k in numbers])
     overrides = {"ppt/presentation.xml": _KIND + "presentationml.presentation.main+xml"} | {n: _KIND + "presentationml.slide+xml" for n in parts}
-    return packed({"[Content_Types].xml": _types(_XML, overrides), "_rels/.rels": _rels([("officeDocument", "ppt/presentation.xml")]), "ppt/presentation.xml": deck} | parts)
+    return packed({"[Content_Types].xml": _types(_XML, overrides), "_rels/.rels": _rels([("officeDocument", "ppt/presentation.xml")]), "ppt/presentation.xml": deck, "ppt/_rels/presentation.xml.rels": rels} | parts)
 
 
 def build_documents(blocks: DataFrame, by: str = "path") -> DataFrame:
@@ -181,29 +200,127 @@ def rewrite(files: DataFrame, edit, extra: str) -> DataFrame:
                 except Refused as refused:
                     out.append(content)
                     issues.append(str(refused))
+                except Exception:  # no package fails the job, whatever it holds
+                    out.append(content)
+                    issues.append("EDIT_FAILED")
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary()), pa.array(issues, pa.string())], ["path", "content", "issue"])
 
     return files.select("path", "content", F.col(extra).alias("what")).mapInArrow(run, "path string, content binary, issue string")
 
 
+def _text_spans(xml: str) -> Iterator[tuple[int, int, str]]:
+    """Start, stop and text of the content of each text element of WordprocessingML in a part."""
+    found = re.search(rf'xmlns:(\w+)=["\']{re.escape(_WORD)}["\']', xml)
+    prefix = re.escape(found[1]) + ":" if found else ""
+    for m in re.finditer(rf"<{prefix}t(?:\s[^<>]*)?(?:/>|>([^<]*)</{prefix}t\s*>)", xml):
+        if m[1] is not None:
+            yield m.start(1), m.end(1), html.unescape(m[1])
+
+
 def replace_text(package: Package, edits: list[dict] | None) -> dict[str, bytes]:
-    """Replace text in single runs of the body: edits of (expected, replacement), each of which must occur once."""
+    """Replace text in single runs of the body: edits of (expected, replacement), each of which must be the whole text of
+    one text element, in whatever form it is written. All else of the part stays byte for byte."""
+    package.xml(DOCUMENT)
     body = package.read(DOCUMENT).decode()
     for e in edits or ():
-        old = f'<w:t xml:space="preserve">{_safe(e["expected"])}</w:t>'
-        if body.count(old) != 1:
-            raise Refused("TEXT_NOT_FOUND" if old not in body else "TEXT_AMBIGUOUS")
-        body = body.replace(old, f'<w:t xml:space="preserve">{_safe(e["replacement"])}</w:t>')
+        spans = [(s, t) for s, t, text in _text_spans(body) if text == e["expected"]]
+        if len(spans) != 1:
+            raise Refused("TEXT_AMBIGUOUS" if spans else "TEXT_NOT_FOUND")
+        (start, stop), new = spans[0], _safe(e["replacement"])
+        tag = body.rfind("<", 0, start)
+        space = "" if "xml:space" in body[tag:start] else ' xml:space="preserve"'
+        body = f"{body[: start - 1]}{space}>{new}{body[stop:]}"
     return {DOCUMENT: body.encode()}
 
 
+#: A token of a template: the name of a value between two pairs of braces, a fixed form.
+TOKEN = re.compile(r"\{\{([A-Za-z][A-Za-z0-9_]{0,63})\}\}")
+_FILLED = re.compile(r"word/(document|header\d*|footer\d*)\.xml")
+_LOCKED = ("documentProtection", "trackRevisions", "permStart")
+
+
 def fill_template(package: Package, values: list[dict] | None) -> dict[str, bytes]:
-    """Put values in the place of {{name}} tokens; a token without a value and a value without a token are issues."""
-    body = package.read(DOCUMENT).decode()
-    given = {v["name"]: v["value"] for v in values or ()}
-    names = set(re.findall(r"\{\{\s*([A-Za-z_][\w.\-]*)\s*\}\}", body))
-    if names - set(given):
-        raise Refused("TEMPLATE_VALUE_MISSING")
-    if set(given) - names:
+    """Put values in the place of {{name}} tokens of body, tables, headers and footers. A token may be spread over runs
+    of a paragraph that hold text only; its value goes to the first of them and keeps that run's format. A token without
+    a value, a value without a token, a value of several lines, braces that are no token, tokens elsewhere and protected
+    or revision-tracked documents are issues."""
+    given = {v["name"]: v["value"] or "" for v in values or ()}
+    if any(re.search(r"[\r\n\t]", v) for v in given.values()):
+        raise Refused("UNSUPPORTED_TEMPLATE")
+    changed: dict[str, bytes] = {}
+    used: set[str] = set()
+    for name in sorted(n for n in package.names if n.startswith("word/") and n.endswith(".xml")):
+        root = package.xml(name)
+        if any(local(x) in _LOCKED for x in root.iter()):
+            raise Refused("UNSUPPORTED_TEMPLATE")
+        everything = "".join(root.itertext())
+        if "{{" not in everything and "}}" not in everything:
+            continue
+        if not _FILLED.fullmatch(name):
+            if "{{" in everything:
+                raise Refused("UNSUPPORTED_TEMPLATE")
+            continue
+        part = minidom.parseString(package.read(name))
+        filled = set().union(*(_fill_paragraph(x, given) for x in part.getElementsByTagNameNS(_WORD, "p")))
+        if filled:
+            changed[name] = part.toxml("utf-8")
+            used |= filled
+        elif TOKEN.search(everything):  # not in the text of a paragraph
+            raise Refused("UNSUPPORTED_TEMPLATE")
+    if set(given) - used:
         raise Refused("TEMPLATE_VALUE_UNUSED")
-    return {DOCUMENT: re.sub(r"\{\{\s*([A-Za-z_][\w.\-]*)\s*\}\}", lambda m: _safe(given[m[1]]), body).encode()}
+    if not used:
+        raise Refused("UNSUPPORTED_TEMPLATE")
+    return changed
+
+
+def _fill_paragraph(paragraph, given: dict[str, str]) -> set[str]:
+    """Fill the tokens of one paragraph and give their names."""
+    texts = paragraph.getElementsByTagNameNS(_WORD, "t")
+    contents = ["".join(n.data for n in t.childNodes if n.nodeType in (n.TEXT_NODE, n.CDATA_SECTION_NODE)) for t in texts]
+    whole_text = "".join(contents)
+    tokens = list(TOKEN.finditer(whole_text))
+    left = TOKEN.sub("", whole_text)
+    if "{{" in left or "}}" in left:
+        raise Refused("UNSUPPORTED_TEMPLATE")
+    if not tokens:
+        return set()
+    if any(m[1] not in given for m in tokens):
+        raise Refused("TEMPLATE_VALUE_MISSING")
+    ends = list(itertools.accumulate(map(len, contents)))
+    for m in tokens:
+        hit = [t for t, text, end in zip(texts, contents, ends, strict=True) if end - len(text) < m.end() and end > m.start()]
+        _check_runs(paragraph, hit)
+    for t, text, end in zip(texts, contents, ends, strict=True):
+        start, out, at = end - len(text), [], end - len(text)
+        for m in tokens:
+            if m.end() <= start or m.start() >= end:
+                continue
+            out.append(whole_text[at : max(at, m.start())])
+            if m.start() >= start:
+                out.append(given[m[1]])
+            at = min(end, m.end())
+        if not out:
+            continue
+        out.append(whole_text[at:end])
+        for n in list(t.childNodes):
+            t.removeChild(n)
+        t.appendChild(t.ownerDocument.createTextNode(_BAD.sub("", "".join(out))))
+        t.setAttribute("xml:space", "preserve")
+    return {m[1] for m in tokens}
+
+
+def _check_runs(paragraph, texts) -> None:
+    """A token may only go over runs that stand side by side in the paragraph and hold nothing but text and format."""
+    runs = [t.parentNode for t in texts]
+    if any(r.parentNode is not paragraph for r in runs):
+        raise Refused("UNSUPPORTED_TEMPLATE")
+    between = itertools.dropwhile(lambda n: n is not runs[0], paragraph.childNodes)
+    for n in between:
+        if n.nodeType == n.ELEMENT_NODE:
+            inner = [c for c in n.childNodes if c.nodeType == c.ELEMENT_NODE]
+            plain = n.localName == "r" and all(c.namespaceURI == _WORD and c.localName in ("t", "rPr") for c in inner)
+            if n.namespaceURI != _WORD or not plain:
+                raise Refused("UNSUPPORTED_TEMPLATE")
+        if n is runs[-1]:
+            return

@@ -79,3 +79,86 @@ def test_files_on_disk(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"text")
     rows = {r.path.rsplit("/", 1)[1]: (r.container, r.extension, r.size_bytes) for r in P.read_files(spark, str(tmp_path)).collect()}
     assert rows["a.DOCX"][:2] == ("zip", "docx") and rows["b.txt"] == ("unknown", "txt", 4)
+
+
+def test_damage_is_an_issue(frame, spark, tmp_path):
+    good = package("<w:p><w:r><w:t>some text</w:t></w:r></w:p>")
+    name = P.DOCUMENT.encode()
+    at = good.index(name) + len(name)
+    entity = '<?xml version="1.0" encoding="UTF-16"?><!DOCTYPE d [<!ENTITY e "boom">]><document><body><p>&e;</p></body></document>'.encode("utf-16")
+    files = frame(deflate=good[:at] + b"\xff" * 8 + good[at + 8 :], nobody=W.packed({P.DOCUMENT: "<document/>"}), utf16=W.packed({P.DOCUMENT: entity}), ok=good)
+    for read in (P.paragraphs, P.cells, P.layout, P.runs):
+        got = {r.path: r.issue for r in read(files).collect() if r.issue}
+        assert got == {"deflate": "ENTRY_DAMAGED", "nobody": "BODY_MISSING", "utf16": "XML_FORBIDDEN"}
+    book = W.xlsx({"A": [(1, 1, 5, None)]})
+    p = P.Package(book)
+    cell = lambda n: p.read("xl/worksheets/sheet1.xml").replace(b'<c r="A1"><v>5</v></c>', b'<c r="A1" t="s"><v>%s</v></c>' % n)
+    strings = '<sst><si><t>zero</t></si><si><t>last</t></si></sst>'
+    books = {k: W.packed({i.filename: p.read(i.filename) for i in p.infos} | {"xl/worksheets/sheet1.xml": cell(n), "xl/sharedStrings.xml": strings}) for k, n in {"a": b"1", "b": b"abc", "c": b"-1", "d": b"2"}.items()}
+    assert {r.path: r.value for r in P.sheet_cells(frame(**books)).collect()} == {"a": "last", "b": None, "c": None, "d": None}
+    (tmp_path / "big.docx").write_bytes(good)
+    (tmp_path / "small.txt").write_bytes(b"x")
+    rows = {r.path.rsplit("/", 1)[1]: (r.content is None, r.issue) for r in P.read_files(spark, str(tmp_path), max_bytes=100).collect()}
+    assert rows == {"big.docx": (True, "LIMIT_FILE_BYTES"), "small.txt": (False, None)}
+
+
+def filled(body, values, **more):
+    p = P.Package(package(body, **more))
+    new = W.fill_template(p, [{"name": k, "value": v} for k, v in values.items()])
+    return {k: P.text_of(__import__("xml.etree.ElementTree").etree.ElementTree.fromstring(v)) for k, v in new.items()}
+
+
+def runs(*texts):
+    return "<w:p>" + "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in texts) + "</w:p>"
+
+
+def test_templates():
+    head = f"<w:hdr {NS}>{runs('{{', 'b}}')}</w:hdr>"
+    assert filled(runs("x {{a", "}} and {{a}}{", "{b}}"), {"a": "1 < 2", "b": ""}, word__header1=None or "", **{"word__header2.xml": head}) == {P.DOCUMENT: "x 1 < 2 and 1 < 2", "word/header2.xml": ""}
+    cases = {
+        "TEMPLATE_VALUE_MISSING": [(runs("{{a}}{{c}}"), {"a": "x"})],
+        "TEMPLATE_VALUE_UNUSED": [(runs("{{a}}"), {"a": "x", "b": "y"})],
+        "UNSUPPORTED_TEMPLATE": [
+            (runs("{{ a }}"), {"a": "x"}), (runs("{{a}} }}"), {"a": "x"}), (runs("{{a}}"), {"a": "x\ny"}), (runs("none"), {}), (runs("{{a", "}}").replace("</w:r><w:r>", "</w:r><w:hyperlink/><w:r>"), {"a": "x"}),
+            (runs("{{a}}").replace("<w:r>", "<w:ins><w:r>").replace("</w:r>", "</w:r></w:ins>"), {"a": "x"}), (runs("{{a}}") + "<w:permStart/>", {"a": "x"}), (runs("{{" + "a" * 65 + "}}"), {"a" * 65: "x"}),
+        ],
+    }
+    for code, given in cases.items():
+        for body, values in given:
+            with pytest.raises(P.Refused, match=code):
+                filled(body, values)
+    with pytest.raises(P.Refused, match="UNSUPPORTED_TEMPLATE"):
+        filled(runs("{{a}}"), {"a": "x"}, **{"word__comments.xml": f"<w:comments {NS}>{runs('{{a}}')}</w:comments>"})
+
+
+def test_replacement_in_any_form():
+    body = '<w:p><w:r><w:t>first</w:t></w:r><w:r><w:t xml:space="preserve">a &amp; b</w:t></w:r><w:r><w:t/></w:r><w:r><w:tab/></w:r></w:p>'
+    p = P.Package(package(body))
+    new = W.replace_text(p, [{"expected": "first", "replacement": "<1>"}, {"expected": "a & b", "replacement": " c"}])[P.DOCUMENT].decode()
+    assert '<w:t xml:space="preserve">&lt;1&gt;</w:t>' in new and '<w:t xml:space="preserve"> c</w:t>' in new and new.count("xml:space") == 2
+    for wanted, code in (("absent", "TEXT_NOT_FOUND"), ("x", "TEXT_AMBIGUOUS")):
+        with pytest.raises(P.Refused, match=code):
+            W.replace_text(P.Package(package(runs("x", "x"))), [{"expected": wanted, "replacement": ""}])
+
+
+def test_slides_in_the_order_of_the_deck(frame):
+    deck = W.pptx([[("title", "One", None)], [("title", "Two", None)], [("title", "Three", None)]], [3, 1, 2])
+    assert [(r.slide, r.text) for r in P.slide_runs(frame(deck=deck)).collect()] == [(1, "One"), (2, "Two"), (3, "Three")]
+
+
+def test_long_chains_and_cycles(spark):
+    """A chain beyond the limit of recursive queries' rows, in doubling rounds; a cycle ends without a value."""
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import delivery, integrity
+
+    n = 400_000
+    chain = spark.range(n).select(F.lit("d").alias("doc"), F.col("id").alias("style_id"), F.when(F.col("id") % 25 > 0, F.col("id") - 1).alias("based_on"), F.when(F.col("id") % 25 == 0, F.col("id")).alias("v"))
+    got = integrity.resolve_chain(chain, ["doc"], "v")
+    assert got.where("v = style_id - style_id % 25 AND hops = style_id % 25").count() == n
+    loop = spark.createDataFrame([("d", 1, 2, None), ("d", 2, 1, None), ("d", 3, 1, 7), ("d", 4, 9, None)], "doc string, style_id long, based_on long, v long")
+    assert {r.style_id: r.v for r in integrity.resolve_chain(loop, ["doc"], "v").collect()} == {1: None, 2: None, 3: 7, 4: None}
+    assert {r.style_id: r.v for r in integrity.resolve_chain(loop, ["doc"], "v", default=0).collect()} == {1: 0, 2: 0, 3: 7, 4: 0}
+    long = spark.range(1, 700).selectExpr("'m' AS document_id", "id AS revision", "sha2(cast(id AS string), 256) AS sha256", "CASE WHEN id > 1 THEN sha2(cast(id - 1 AS string), 256) END AS parent_sha256")
+    assert delivery.walk_chain(long.where("revision <> 600")).agg(F.max("depth")).first()[0] == 500
+    assert delivery.walk_chain(long.where("revision <> 30")).agg(F.max("depth")).first()[0] == 29
