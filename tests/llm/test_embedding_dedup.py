@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from brute import linked_vectors
 
 from paperloom.llm import embedding_dedup as ed
@@ -36,3 +39,33 @@ def test_repeated_ids_and_nulls(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.01], 0), (2, [0.0, 1.0], 0)], "vec_id long, embedding array<float>, label int")
     got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in ed.near_vectors(frame).collect())
     assert got == [("1", 2, 1, True), ("1", 2, 1, True), ("2", 0, 2, True), ("None", 2, 1, False)]
+
+
+@pytest.mark.parametrize("dim", [64, 96])
+def test_recall_of_planted_neighbours(spark, tmp_path, dim):
+    """20 000 vectors in many cells: pairs at cosines just above the threshold and families far above it, against all
+    pairs compared in blocks."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(dim)
+    n = 20_000
+    x = rng.normal(size=(n, dim))
+    x[:4000] += 3 * rng.normal(size=(8, dim))[rng.integers(0, 8, 4000)]  # some directions are dense
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    for k in range(0, 3000, 2):
+        away = rng.normal(size=dim)
+        away -= (away @ x[k]) * x[k]
+        away /= np.sqrt(away @ away)
+        cosine = rng.uniform(0.931, 0.95) if k % 4 else rng.uniform(0.95, 0.999)
+        x[k + 1 + 10_000] = cosine * x[k] + np.sqrt(1 - cosine**2) * away
+    label = np.zeros(n, np.int64)
+    label[19_000:] = 1
+    want = np.zeros(n, np.int64)
+    for s in range(0, n, 2000):
+        links = (x[s : s + 2000] @ x.T >= 0.93) & (label[s : s + 2000, None] == label[None, :])
+        want[s : s + 2000] = links.sum(axis=1) - 1
+    assert want.sum() >= 3000 and ed.codes_for(n) > 4
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x), "label": label}), f"{tmp_path}/v.parquet")
+    got = ed.near_vectors(spark.read.parquet(f"file://{tmp_path}/v.parquet")).orderBy("vec_id").toPandas()
+    found = got["n_links"].to_numpy()
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum()
