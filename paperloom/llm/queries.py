@@ -30,7 +30,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, scratch_path(spark, "shards"))
     store.append(table(spark, sf_dir, "documents"))
     store.compact()
-    store.vacuum()
+    store.vacuum(grace=0)  # no other writer has this store
     rows = store.read(with_shard=True).select("doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
     shards = rows.groupBy("shard").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("shard_rows"), F.sum("bytes").alias("shard_text_bytes"))
     numbered = shards.withColumn("shard_no", F.row_number().over(Window.orderBy("first_id", "shard")))

@@ -8,8 +8,10 @@ taken the version. Readers see the files of one manifest only.
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ TIER_FACTOR = 4
 FANOUT = 4
 #: Rows of an arriving shard at most.
 ARRIVAL_ROWS = 4096
+#: Shards that one round of compaction merges at most (their paths are the file index of its read); the next round
+#: goes on with the rest.
+ROUND_SHARDS = 20_000
+#: Seconds for which vacuum() spares a run that no version holds: a writer may be about to commit it.
+GRACE = 86_400
 
 MANIFEST = "shard string, run string, shard_rows bigint, shard_bytes bigint, tier int"
 
@@ -31,7 +38,12 @@ class Conflict(RuntimeError):
 
 class ShardStore:
     """A store in a folder that all executors reach. One object may be used by one writer at a time; any number of
-    writers may race, of whom one wins each version and the others get Conflict and leave the manifest as it was."""
+    writers may race, of whom one wins each version and the others get Conflict and leave the manifest as it was.
+
+    Rows are kept as they are: nulls in any column, empty and very long texts and repeated rows come back whole, and any
+    column names will do. A merged file is bounded by its bytes, so very long texts make files of few rows. Empty
+    arrivals add no shard. The commit needs a file system whose rename is atomic (HDFS, a local disk); an object store
+    needs a commit of its own, such as a conditional put."""
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, arrival_rows: int = ARRIVAL_ROWS):
         self.spark, self.root = spark, root.rstrip("/")
@@ -65,13 +77,16 @@ class ShardStore:
         _, folder = self._path("manifest")
         files.mkdirs(folder)
         _, target = self._path(f"manifest/v={version:08d}")
-        if files.exists(target) or not files.rename(source, target):
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(target).toUri(), self.spark._jsc.hadoopConfiguration())
+        try:  # without overwriting: fails if the version is there
+            context.rename(files.makeQualified(source), files.makeQualified(target), options)
+        except Py4JJavaError as error:
             files.delete(source, True)
-            raise Conflict(f"version {version} is taken")
-        _, nested = self._path(f"manifest/v={version:08d}/{source.getName()}")
-        if files.exists(nested):  # a rename into a folder that came meanwhile
-            files.delete(nested, True)
-            raise Conflict(f"version {version} is taken")
+            if not files.exists(target):
+                raise
+            raise Conflict(f"version {version} is taken") from error
         return version
 
     def _shards_of(self, run: str) -> DataFrame:
@@ -107,35 +122,38 @@ class ShardStore:
         small = small.where(F.col("shards") >= self.fanout).withColumn("part", F.floor(start / self.target_bytes))
         return small.select("shard", "tier", "part", F.dense_rank().over(Window.orderBy("tier", "part")).alias("file"))
 
-    def compact(self, max_rounds: int = 8) -> int:
+    def compact(self) -> int:
         """Merge until no tier calls for it; the version. Each round reads the shards of its plan once, sends the rows
         of a file to one task (rows of a file are bounded by the target size) and commits. Old files stay readable for
-        old versions until vacuum()."""
-        for _ in range(max_rounds):
+        old versions until vacuum(). Every round leaves fewer shards, so the rounds end."""
+        while True:
             version, run = self.version(), f"c{uuid.uuid4().hex[:12]}"
-            planned = staged(self.plan(), "merges")
-            plan = planned.collect()  # a row for each shard that is merged, as the file index of the read below
-            if len(plan) < 2:
-                return version
+            planned = staged(self.plan().orderBy("file", "shard").limit(ROUND_SHARDS), "merges")
+            plan = planned.collect()  # ROUND_SHARDS rows at most, as the file index of the read below
             files = len({r["file"] for r in plan})
+            if files >= len(plan):
+                return version
             paths = [f"{self.root}/data/{r['shard']}" for r in plan]
-            targets = planned.select(F.col("shard").alias("merge_shard"), F.col("file").alias("merge_file"))
             rows = self.spark.read.parquet(*paths)
             names = rows.columns
-            rows = rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"data/([^/]+/[^/]+)$", 1).alias("merge_shard"))
-            rows = rows.join(targets, "merge_shard").repartitionById(files, F.col("merge_file") - 1)
-            rows.select(*names).write.option("compression", "zstd").parquet(f"{self.root}/data/{run}")
+            taken = {n.lower() for n in names}
+            shard, file = (next(x for x in (f"{k}_{i}" for i in range(len(names) + 1)) if x not in taken) for k in ("shard", "file"))
+            targets = planned.select(F.col("shard").alias(shard), F.col("file").alias(file))
+            rows = rows.select(*(F.col(f"`{n}`") for n in names), F.regexp_extract(F.col("_metadata.file_path"), r"data/([^/]+/[^/]+)$", 1).alias(shard))
+            rows = rows.join(F.broadcast(targets), shard).repartitionById(files, F.col(file) - 1)
+            rows.select(*(F.col(f"`{n}`") for n in names)).write.option("compression", "zstd").parquet(f"{self.root}/data/{run}")
             merged = self._shards_of(run)
-            rest = self.manifest(version).join(targets, F.col("shard") == F.col("merge_shard"), "left_anti")
+            rest = self.manifest(version).join(planned.select("shard"), "shard", "left_anti")
             self._commit(rest.unionByName(merged), version + 1)
-        return self.version()
 
-    def vacuum(self) -> None:
-        """Delete runs of which the last version holds no shard (readers of older versions must be done)."""
+    def vacuum(self, grace: float = GRACE) -> None:
+        """Delete runs of which the last version holds no shard and that were last changed `grace` seconds ago or more
+        (readers of older versions must be done; a younger run may be one that a writer is about to commit)."""
         live = {r["run"] for r in self.manifest().select("run").distinct().collect()}
         files, path = self._path("data")
-        for status in files.listStatus(path):
-            if status.getPath().getName() not in live:
+        for status in files.listStatus(path) if files.exists(path) else []:
+            old = status.getModificationTime() <= (time.time() - grace) * 1000 + 1
+            if status.getPath().getName() not in live and (old or not grace):
                 files.delete(status.getPath(), True)
 
     def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:

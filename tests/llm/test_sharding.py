@@ -20,7 +20,11 @@ def test_appends_merge_into_files_near_the_target(spark, tmp_path):
     assert sorted(r.doc_id for r in store.read().collect()) == list(range(1600))
     assert {r["shard"] for r in store.read(with_shard=True).select("shard").distinct().collect()} == {r.shard for r in shards}
     assert sorted(r.doc_id for r in store.read(2).collect()) == list(range(800))  # old versions stay readable
-    store.vacuum()
+    runs = len(list((tmp_path / "s" / "data").iterdir()))
+    store.vacuum()  # all runs are young
+    assert len(list((tmp_path / "s" / "data").iterdir())) == runs
+    store.vacuum(grace=0)
+    assert len(list((tmp_path / "s" / "data").iterdir())) < runs
     assert store.read().count() == 1600
     assert store.compact() == store.version()
 
@@ -31,6 +35,7 @@ def test_one_writer_wins_a_version(spark, tmp_path):
     with pytest.raises(Conflict):
         store._commit(store.manifest(), 1)
     assert store.version() == 1 and store.read().count() == 10
+    assert not list((tmp_path / "s" / "staging").iterdir())
 
 
 def test_empty_arrivals_and_nulls(spark, tmp_path):
@@ -43,3 +48,31 @@ def test_empty_arrivals_and_nulls(spark, tmp_path):
     assert store.version() == 2 and store.read().count() == 3
     store.compact()
     assert store.read().count() == 3
+
+
+def test_rows_come_back_whole_from_files_near_the_target(spark, tmp_path, monkeypatch):
+    """Rows, among them nulls, a very long text, repeated rows and columns named as the store's own, against the input;
+    merged files against the target; a round of few shards against one of all."""
+    monkeypatch.setattr("paperloom.llm.sharding.ROUND_SHARDS", 7)
+    rows = [(k, "".join(chr(97 + (k * j) % 26) for j in range(2000)), k, f"f{k % 3}", None) for k in range(600)]
+    rows += [(5, None, None, None, "x"), (None, "", 1, "", None), (7, "long " * 200_000, 2, "y", "z"), (9, "same", 1, "a", "b"), (9, "same", 1, "a", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, file long, shard_0 string, merge_shard string").repartition(8)
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=40_000, arrival_rows=20)
+    store.append(frame)
+    store.compact()
+    got = sorted((tuple(r) for r in store.read().select(*frame.columns).collect()), key=repr)
+    assert got == sorted(rows, key=repr)
+    sizes = [r.shard_bytes for r in store.manifest().collect()]
+    assert sum(20_000 <= b <= 80_000 for b in sizes) >= len(sizes) - 4 and max(sizes) <= 120_000
+
+
+def test_the_query_describes_each_shard(spark, tmp_path):
+    from paperloom.llm.queries import op2_sharding
+
+    rows = [(k, None if k % 9 == 0 else "é" * k) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = op2_sharding(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.doc_id for r in got) == list(range(300))
+    for no in {r.shard_no for r in got}:
+        own = [r for r in got if r.shard_no == no]
+        assert {(r.shard_rows, r.shard_text_bytes) for r in own} == {(len(own), sum(len((rows[r.doc_id][1] or "").encode()) for r in own))}
