@@ -52,9 +52,10 @@ def id_by_pointer(entries: DataFrame) -> DataFrame:
     return entries.groupBy("pointer").agg(F.min("semantic_id").alias("semantic_id"))
 
 
-def ids_by_digest(entries: DataFrame) -> DataFrame:
-    """Digest to the distinct ids of the nodes that have it, sorted."""
-    return entries.groupBy("digest").agg(F.sort_array(F.collect_set("semantic_id")).alias("ids"))
+def ids_by_digest(entries: DataFrame, within: list[str]) -> DataFrame:
+    """Digest to the distinct ids of the nodes of one document that have it, sorted, and how many nodes these are. Lists
+    stay within a document: the empty paragraph, say, is in nearly all of them."""
+    return entries.groupBy("digest", *within).agg(F.sort_array(F.collect_set("semantic_id")).alias("ids"), F.count(F.lit(1)).alias("n"))
 
 
 def unique_sorted(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:

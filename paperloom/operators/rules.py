@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 #: Default budgets, fixed values.
 BUDGETS = {
     "entries": 4096, "entryBytes": 32 << 20, "totalBytes": 256 << 20, "relationships": 4096,
@@ -60,14 +62,26 @@ def report_mismatches(reports: DataFrame, checks: DataFrame, keys: list[str]) ->
 def first_budget(items: DataFrame, by: list[str], order: list[str], amounts: Mapping[str, str], limits: Mapping[str, int]) -> DataFrame:
     """The first budget that a subject's items break, in their order: limit_name, position (from 1), value.
 
-    amounts: budget name to the column that is summed up. Budgets broken by the same item count in name order; running
-    sums stay within a subject, and only the first hit of each budget leaves its partition of the window."""
-    mine = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = items.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    sums = [F.struct(F.lit(k).alias("limit_name"), F.sum(c).over(mine).alias("value"), F.lit(limits[k]).alias("most")) for k, c in amounts.items()]
-    rows = numbered.select(*by, "position", F.array(*sums).alias("sums")).select(*by, "position", F.inline("sums"))
-    over = rows.where("value > most")
-    first = over.groupBy(*by).agg(F.min(F.struct("position", "limit_name", "value")).alias("hit"))
+    amounts: budget name to the column that is summed up. Budgets broken by the same item count in name order. Items are
+    cut into slices of their order, as many as tasks, so a subject with many items is not one task: running sums stay
+    within a slice, and the totals of the slices before it are added to them."""
+    cols = list(dict.fromkeys(amounts.values()))
+    items = items.select(*by, *[c for c in [*order, *cols] if c not in by])
+    items = written(items.repartitionByRange(*by, *order).withColumn("slice", F.spark_partition_id()))
+    start = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = items.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{c}") for c in cols])
+    before = [F.coalesce(F.sum(f"_{c}").over(start), F.lit(0)).alias(f"_before_{c}") for c in ["n", *cols]]
+    offsets = totals.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("slice").alias("_slice"), *before)
+    on = F.col("slice") == F.col("_slice")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    mine = Window.partitionBy(*by, "slice").orderBy(*order)
+    running = mine.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = items.select(*by, "slice", F.row_number().over(mine).alias("_at"), *[F.sum(c).over(running).alias(f"_to_{c}") for c in cols])
+    rows = inside.join(offsets, on)
+    sums = [F.struct(F.lit(k).alias("limit_name"), (F.coalesce(f"_to_{c}", F.lit(0)) + F.col(f"_before_{c}")).alias("value"), F.lit(limits[k]).alias("most")) for k, c in amounts.items()]
+    rows = rows.select(*by, (F.col("_at") + F.col("_before_n")).cast("int").alias("position"), F.inline(F.array(*sums)))
+    first = rows.where("value > most").groupBy(*by).agg(F.min(F.struct("position", "limit_name", "value")).alias("hit"))
     return first.select(*by, "hit.limit_name", "hit.position", "hit.value")
 
 

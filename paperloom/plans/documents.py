@@ -32,11 +32,10 @@ def paragraph_identity(spark, sf):
     return nodes(spark, sf).select("doc_id", "ordinal", "semantic_id", "digest", "pointer", "quote", "norm_chars", "selectors", "weak")
 
 
-@query(f"""WITH {LINES} SELECT digest, array_to_string(list_sort(list(DISTINCT doc_id || ':' || semantic_id)), ',') AS ids, count(*) AS n FROM ids GROUP BY digest""")
+@query(f"""WITH {LINES} SELECT digest, doc_id, array_to_string(list_sort(list(DISTINCT semantic_id)), ',') AS ids, count(*) AS n FROM ids GROUP BY digest, doc_id""")
 def fingerprint_index(spark, sf):
-    keyed = nodes(spark, sf).select("digest", F.concat_ws(":", "doc_id", "semantic_id").alias("semantic_id"))
-    found = keyed.groupBy("digest").agg(F.sort_array(F.collect_set("semantic_id")).alias("ids"), F.count(F.lit(1)).alias("n"))
-    return found.select("digest", F.array_join("ids", ",").alias("ids"), "n")
+    found = identity.ids_by_digest(nodes(spark, sf).select("doc_id", "digest", "semantic_id"), ["doc_id"])
+    return found.select("digest", "doc_id", F.array_join("ids", ",").alias("ids"), "n")
 
 
 @query(f"""WITH {LINES}, r AS (SELECT doc_id, semantic_id || chr(0) || digest || chr(0) || chr(0) AS row FROM ids)

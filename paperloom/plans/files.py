@@ -279,3 +279,17 @@ def package_layout(spark, sf):
 UNION ALL SELECT doc_id::VARCHAR, '', NULL, NULL, NULL, NULL, NULL, NULL FROM documents""")
 def package_runs(spark, sf):
     return packages.runs(_rich(spark, sf)).select("path", "text", "bold", "size", "color", "east_asia", "alignment", "first_line")
+
+
+@query("""SELECT doc_id::VARCHAR AS path, CASE doc_id % 4 WHEN 2 THEN 'TARGET_NOT_FOUND' WHEN 3 THEN 'INVALID_INPUT' END AS issue, CASE WHEN doc_id % 4 < 2 THEN 'Grid' || (doc_id % 5) END AS style_id, CASE WHEN doc_id % 4 < 2 THEN 5000 + doc_id % 100 END AS width,
+  CASE WHEN doc_id % 4 < 2 THEN 'center' END AS alignment, CASE WHEN doc_id % 4 = 1 THEN 'fixed' END AS layout, CASE WHEN doc_id % 4 < 2 THEN (1000 + doc_id % 7)::VARCHAR ELSE '' END AS grid, doc_id % 4 <> 0 AS header_row FROM documents""")
+def table_geometry(spark, sf):
+    k = F.coalesce(F.col("path").cast("bigint"), F.lit(0))
+    widths = F.when(k % 4 == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array((1000 + k % 7).cast("int")))
+    wanted = F.struct(
+        F.when(k % 4 == 2, 9).otherwise(0).alias("table"), F.concat(F.lit("Grid"), (k % 5).cast("string")).alias("style_id"), (5000 + k % 100).cast("int").alias("width"), F.lit("Center").alias("alignment"),
+        F.when(k % 4 == 1, "fixed").alias("layout"), widths.alias("column_widths"), (k % 4 == 1).alias("header_row"), F.lit("top").alias("vertical_alignment"),
+    )
+    done = writers.rewrite(_rich(spark, sf).withColumn("edits", F.array(wanted)), writers.set_table_geometry, "edits")
+    seen = packages.table_geometry(done).select("path", "style_id", "width", "alignment", "layout", F.array_join(F.array_compact("grid"), ",").alias("grid"), "header_row")
+    return _join(done.select("path", "issue"), seen)

@@ -336,6 +336,23 @@ def cells(files: DataFrame) -> DataFrame:
     return extract(files, _cells, schema)
 
 
+def _table_geometry(p: Package) -> Rows:
+    for name, e, path, _ in _blocks(_body(p), "/w:document/w:body"):
+        if name != "tbl":
+            continue
+        props = child(e, "tblPr")
+        value = lambda n, a="val": None if props is None or child(props, n) is None else attr(child(props, n), a)  # noqa: B023, E731
+        rows = children(e, "tr")
+        grid = child(e, "tblGrid")
+        widths = [whole(attr(c, "w")) for c in children(grid, "gridCol")] if grid is not None else []
+        yield (path, value("tblStyle"), whole(value("tblW", "w")), value("jc"), value("tblLayout", "type"), widths, len(rows), bool(rows) and child(rows[0], "trPr", "tblHeader") is not None)
+
+
+def table_geometry(files: DataFrame) -> DataFrame:
+    """Style, width, alignment, layout, widths of the grid and header row of each table; lengths in twips."""
+    return extract(files, _table_geometry, "table_path string, style_id string, width int, alignment string, layout string, grid array<int>, n_rows int, header_row boolean")
+
+
 def _styles(p: Package) -> Rows:
     root = p.optional("word/styles.xml")
     for e in children(root, "style") if root is not None else ():

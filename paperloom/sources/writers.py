@@ -324,3 +324,89 @@ def _check_runs(paragraph, texts) -> None:
                 raise Refused("UNSUPPORTED_TEMPLATE")
         if n is runs[-1]:
             return
+
+
+#: Order of the properties of tables and cells in the schema, fixed values.
+TABLE_PROPERTIES = (
+    "tblStyle tblpPr tblOverlap bidiVisual tblStyleRowBandSize tblStyleColBandSize tblW jc tblCellSpacing tblInd tblBorders shd tblLayout tblCellMar tblLook tblCaption tblDescription"
+).split()
+CELL_PROPERTIES = "cnfStyle tcW gridSpan hMerge vMerge tcBorders shd noWrap tcMar textDirection tcFitText vAlign hideMark".split()
+
+
+def _kids(element, name: str) -> list:
+    return [c for c in element.childNodes if c.nodeType == c.ELEMENT_NODE and c.namespaceURI == _WORD and c.localName == name]
+
+
+def _made(element, name: str, **attributes):
+    """A new element in the prefix of the one that it is for."""
+    prefix = f"{element.prefix}:" if element.prefix else ""
+    new = element.ownerDocument.createElementNS(_WORD, prefix + name)
+    for key, value in attributes.items():
+        new.setAttributeNS(_WORD, prefix + key, str(value))
+    return new
+
+
+def _first(element, name: str):
+    """The properties that lead an element, made if they are not there."""
+    if not (found := _kids(element, name)):
+        element.insertBefore(_made(element, name), element.firstChild)
+        found = _kids(element, name)
+    return found[0]
+
+
+def _put(properties, order: list[str], name: str, **attributes) -> None:
+    """Set one property in the place that the schema gives it."""
+    for old in _kids(properties, name):
+        properties.removeChild(old)
+    later = set(order[order.index(name) + 1 :])
+    place = next((c for c in properties.childNodes if c.nodeType == c.ELEMENT_NODE and c.localName in later), None)
+    properties.insertBefore(_made(properties, name, **attributes), place)
+
+
+def set_table_geometry(package: Package, edits: list[dict] | None) -> dict[str, bytes]:
+    """Set the geometry of tables of the body, by their place in it: style_id, width, alignment, layout (fixed or autofit),
+    column_widths, header_row, vertical_alignment; lengths in twips, null leaves a thing as it is. Column widths go to
+    the grid and to the cells, and there must be one for each cell of the first row."""
+    package.xml(DOCUMENT)
+    part = minidom.parseString(package.read(DOCUMENT))
+    body = (_kids(part.documentElement, "body") or [None])[0]
+    if body is None:
+        raise Refused("BODY_MISSING")
+    tables = [t for t in part.getElementsByTagNameNS(_WORD, "tbl")]
+    for e in edits or ():
+        if not 0 <= e["table"] < len(tables):
+            raise Refused("TARGET_NOT_FOUND")
+        _shape(tables[e["table"]], e)
+    return {DOCUMENT: part.toxml("utf-8")}
+
+
+def _shape(table, wanted: dict) -> None:
+    props, rows = _first(table, "tblPr"), _kids(table, "tr")
+    simple = {"style_id": ("tblStyle", "val"), "alignment": ("jc", "val"), "layout": ("tblLayout", "type")}
+    for key, (name, attribute) in simple.items():
+        if (value := wanted.get(key)) is not None:
+            _put(props, TABLE_PROPERTIES, name, **{attribute: value.lower() if key != "style_id" else value})
+    if wanted.get("width") is not None:
+        _put(props, TABLE_PROPERTIES, "tblW", w=wanted["width"], type="dxa")
+    widths, vertical = wanted.get("column_widths"), wanted.get("vertical_alignment")
+    if widths is not None:
+        if not rows or len(_kids(rows[0], "tc")) != len(widths):
+            raise Refused("INVALID_INPUT")
+        for old in _kids(table, "tblGrid"):
+            table.removeChild(old)
+        grid = _made(table, "tblGrid")
+        for w in widths:
+            grid.appendChild(_made(table, "gridCol", w=w))
+        table.insertBefore(grid, props.nextSibling)
+    for row in rows:
+        for k, cell in enumerate(_kids(row, "tc")):
+            if widths is not None and k < len(widths):
+                _put(_first(cell, "tcPr"), CELL_PROPERTIES, "tcW", w=widths[k], type="dxa")
+            if vertical is not None:
+                _put(_first(cell, "tcPr"), CELL_PROPERTIES, "vAlign", val=vertical.lower())
+    if wanted.get("header_row") is not None and rows:
+        marks = _first(rows[0], "trPr")
+        for old in _kids(marks, "tblHeader"):
+            marks.removeChild(old)
+        if wanted["header_row"]:
+            marks.appendChild(_made(marks, "tblHeader"))

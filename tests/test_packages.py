@@ -162,3 +162,20 @@ def test_long_chains_and_cycles(spark):
     long = spark.range(1, 700).selectExpr("'m' AS document_id", "id AS revision", "sha2(cast(id AS string), 256) AS sha256", "CASE WHEN id > 1 THEN sha2(cast(id - 1 AS string), 256) END AS parent_sha256")
     assert delivery.walk_chain(long.where("revision <> 600")).agg(F.max("depth")).first()[0] == 500
     assert delivery.walk_chain(long.where("revision <> 30")).agg(F.max("depth")).first()[0] == 29
+
+
+def test_table_geometry_keeps_the_order_of_the_schema(frame):
+    cells = "<w:tc><w:tcPr><w:gridSpan w:val='1'/><w:vAlign w:val='bottom'/></w:tcPr><w:p/></w:tc><w:tc><w:p/></w:tc>"
+    body = f"<w:tbl><w:tblPr><w:tblLook w:val='1'/><w:jc w:val='left'/></w:tblPr><w:tr><w:trPr><w:tblHeader/></w:trPr>{cells}</w:tr><w:tr>{cells}</w:tr></w:tbl>"
+    edit = {"table": 0, "style_id": "S", "width": 900, "alignment": "Right", "layout": "fixed", "column_widths": [300, 600], "header_row": False, "vertical_alignment": "Center"}
+    new = W.set_table_geometry(P.Package(package(body)), [edit])[P.DOCUMENT]
+    root = __import__("xml.etree.ElementTree").etree.ElementTree.fromstring(new)
+    table = next(x for x in root.iter() if P.local(x) == "tbl")
+    assert [P.local(x) for x in P.child(table, "tblPr")] == ["tblStyle", "tblW", "jc", "tblLayout", "tblLook"]
+    assert [P.local(x) for x in table][:2] == ["tblPr", "tblGrid"]
+    assert [P.local(x) for x in P.child(table, "tr", "tc", "tcPr")] == ["tcW", "gridSpan", "vAlign"]
+    got = P.table_geometry(frame(a=W.packed({"[Content_Types].xml": "<T/>", P.DOCUMENT: new}))).first()
+    assert (got.style_id, got.width, got.alignment, got.layout, got.grid, got.n_rows, got.header_row) == ("S", 900, "right", "fixed", [300, 600], 2, False)
+    for bad in ({"table": 1}, {"table": -1}):
+        with pytest.raises(P.Refused, match="TARGET_NOT_FOUND"):
+            W.set_table_geometry(P.Package(package(body)), [bad])
