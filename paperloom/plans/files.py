@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import delivery, identity, integrity, rules
+from ..operators import delivery, identity, integrity, rules, views
 from ..sources import packages, writers
 from .base import norm, query, table
 
@@ -293,3 +293,48 @@ def table_geometry(spark, sf):
     done = writers.rewrite(_rich(spark, sf).withColumn("edits", F.array(wanted)), writers.set_table_geometry, "edits")
     seen = packages.table_geometry(done).select("path", "style_id", "width", "alignment", "layout", F.array_join(F.array_compact("grid"), ",").alias("grid"), "header_row")
     return _join(done.select("path", "issue"), seen)
+
+
+@query("""SELECT s_suppkey::VARCHAR AS path, CASE s_suppkey % 5 WHEN 3 THEN 'TARGET_NOT_FOUND' WHEN 4 THEN 'INVALID_INPUT' END AS issue, sheet, CASE WHEN sheet = 'A' AND s_suppkey % 5 < 3 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'landscape' ELSE 'portrait' END END AS orientation,
+  CASE WHEN sheet = 'A' AND s_suppkey % 5 IN (1, 2) THEN s_suppkey % 5 END AS fit_to_width, CASE WHEN sheet = 'A' AND s_suppkey % 5 = 0 THEN 80 END AS scale, sheet = 'A' AND s_suppkey % 5 IN (1, 2) AS fit_to_page FROM supplier, (SELECT unnest(['A', 'B']) AS sheet)""")
+def print_layout(spark, sf):
+    cells = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("path"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("sheet"), F.lit(1).alias("row"), F.lit(1).alias("col"), F.col("s_acctbal").alias("number"), F.lit(None).cast("string").alias("text"))
+    k = F.col("path").cast("bigint") % 5
+    wanted = F.struct(
+        F.when(k == 3, "C").otherwise("A").alias("sheet"), F.when(F.col("path").cast("bigint") % 2 == 0, "landscape").otherwise("portrait").alias("orientation"),
+        F.when(k.isin(1, 2), k.cast("int")).alias("fit_to_width"), F.when(k == 0, 80).alias("scale"),
+    )
+    done = writers.rewrite(writers.build_workbooks(cells).withColumn("edits", F.when(k == 4, F.array(wanted, wanted)).otherwise(F.array(wanted))), writers.set_print_layout, "edits")
+    seen = packages.print_layouts(done).select("path", "sheet", "orientation", "fit_to_width", "scale", "fit_to_page")
+    return _join(done.select("path", "issue"), seen)
+
+
+@query("""WITH d AS (SELECT doc_id, (['', '/JS (x)', '/S /JavaScript', '/Type /EmbeddedFile', '/URI (u)', '/S/Launch', '/FT /Sig', '/AcroForm 1', '/XFA 2', '/JSON', '/Encrypt 9 /JS', '/S /GoTo'])[(doc_id % 12 + 1)::INT] AS mark, doc_id % 12 = 10 AS encrypted FROM documents WHERE doc_id % 7 <> 0)
+SELECT doc_id::VARCHAR AS path, '1.' || (doc_id % 8) AS version, (doc_id % 4)::INT AS pages, encrypted, CASE WHEN NOT encrypted THEN doc_id % 12 IN (1, 2) END AS javascript, CASE WHEN NOT encrypted THEN doc_id % 12 = 3 END AS embedded_files,
+  CASE WHEN NOT encrypted THEN doc_id % 12 IN (4, 5) END AS external_links, CASE WHEN NOT encrypted THEN doc_id % 12 = 6 END AS signatures, CASE WHEN NOT encrypted THEN doc_id % 12 = 7 END AS acro_form, CASE WHEN NOT encrypted THEN doc_id % 12 = 8 END AS xfa FROM d""")
+def pdf_profiles(spark, sf):
+    marks = ["", "/JS (x)", "/S /JavaScript", "/Type /EmbeddedFile", "/URI (u)", "/S/Launch", "/FT /Sig", "/AcroForm 1", "/XFA 2", "/JSON", "/Encrypt 9 /JS", "/S /GoTo"]
+    k = F.col("doc_id")
+    head = F.when(k % 7 == 0, "%!PS-").otherwise("%PDF-")  # some files are of another kind
+    mark = F.element_at(F.array(*[F.lit(m) for m in marks]), (k % 12 + 1).cast("int"))
+    text = F.concat(head, F.lit("1."), (k % 8).cast("string"), F.lit("\n/Type /Pages "), F.repeat(F.lit("/Type /Page "), (k % 4).cast("int")), mark, F.lit(" %%EOF"))
+    return packages.pdf_profile(table(spark, sf, "documents").select(k.cast("string").alias("path"), F.encode(text, "UTF-8").alias("content")))
+
+
+@query("""SELECT doc_id::VARCHAR AS path, concat_ws('|', 'run ' || doc_id || 'tail', 'cell ' || doc_id, 'two', 'x', '') AS paragraphs, '/w:document/w:body/w:tbl[1]' AS tables, 'comment:1,footnote:2' AS notes, 'run ' || doc_id AS formatting,
+  '[Content_Types].xml,docProps/core.xml,word/comments.xml,word/document.xml,word/footnotes.xml,word/header1.xml' AS parts FROM documents""")
+def document_views(spark, sf):
+    view = views.content_view(_rich(spark, sf))
+    return view.select("path", F.array_join("paragraphs", "|").alias("paragraphs"), *(F.array_join(n, ",").alias(n) for n in views.FLAGS))
+
+
+@query("""SELECT doc_id::VARCHAR AS path, 4 + 1 AS paragraphs, 2 AS notes, 'notes,paragraphs,path' AS columns FROM documents""")
+def pruned_views(spark, sf):
+    view = views.content_view(_rich(spark, sf), ("notes",))
+    return view.select("path", F.size("paragraphs").alias("paragraphs"), F.size("notes").alias("notes"), F.lit(",".join(sorted(view.columns))).alias("columns"))
+
+
+@query("""SELECT p_partkey, regexp_replace(tag, '^\\{[^}]*\\}', '') AS name FROM (SELECT p_partkey, (['{http://x/y}' || p_type, p_type, '{}' || p_type, '{a}{b}' || p_type])[(p_partkey % 4 + 1)::INT] AS tag FROM part)""")
+def tag_names(spark, sf):
+    forms = F.array(F.concat(F.lit("{http://x/y}"), "p_type"), F.col("p_type"), F.concat(F.lit("{}"), "p_type"), F.concat(F.lit("{a}{b}"), "p_type"))
+    return table(spark, sf, "part").select("p_partkey", T.local_name(F.element_at(forms, (F.col("p_partkey") % 4 + 1).cast("int"))).alias("name"))

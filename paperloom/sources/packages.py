@@ -60,6 +60,24 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, max_byte
     )
 
 
+#: Names in a PDF that tell of a feature, fixed values: keys, and types or actions.
+PDF_MARKERS = {
+    "javascript": r"/JS\b|/S\s*/JavaScript\b", "embedded_files": r"/EmbeddedFiles\b|/EF\b|/Type\s*/EmbeddedFile\b",
+    "external_links": r"/URI\b|/S\s*/(Launch|GoToR|SubmitForm|ImportData)\b", "signatures": r"/(FT|Type)\s*/Sig\b", "acro_form": r"/AcroForm\b", "xfa": r"/XFA\b",
+}
+
+
+def pdf_profile(files: DataFrame) -> DataFrame:
+    """What the bytes of PDF files tell without a parser: path, version, pages (page objects in sight), encrypted, and the
+    features of PDF_MARKERS; files of other kinds give no row. Objects in compressed streams are out of sight, so false
+    means not seen (coverage is partial); of encrypted files nothing is said. Expressions only, no Python."""
+    body = files.where(container(F.col("content")) == "pdf").withColumn("body", F.decode("content", "ISO-8859-1"))
+    secret = F.col("body").rlike(r"/Encrypt\b")
+    seen = [F.when(~secret, F.col("body").rlike(pattern)).alias(name) for name, pattern in PDF_MARKERS.items()]
+    pages = F.regexp_count("body", F.lit(r"/Type\s*/Page\b"))
+    return body.select("path", F.regexp_extract("body", r"^%PDF-(\d\.\d)", 1).alias("version"), pages.alias("pages"), secret.alias("encrypted"), *seen)
+
+
 # --- packages -------------------------------------------------------------------------------------------------------
 
 
@@ -526,7 +544,7 @@ def runs(files: DataFrame) -> DataFrame:
 # --- spreadsheets and decks -----------------------------------------------------------------------------------------
 
 
-def _sheets(p: Package) -> list[tuple[str, str]]:
+def sheet_parts(p: Package) -> list[tuple[str, str]]:
     rels = {attr(e, "Id"): attr(e, "Target", "") for e in p.xml("xl/_rels/workbook.xml.rels")}
     out = []
     for e in p.xml("xl/workbook.xml").iter():
@@ -540,7 +558,7 @@ def _sheet_cells(p: Package) -> Rows:
     if any(n.lower().endswith("vbaproject.bin") for n in p.names):
         raise Refused("MACROS_REFUSED")
     strings = [text_of(e) for e in root if local(e) == "si"] if (root := p.optional("xl/sharedStrings.xml")) is not None else []
-    for sheet, part in _sheets(p):
+    for sheet, part in sheet_parts(p):
         for e in p.xml(part).iter():
             if local(e) != "c":
                 continue
@@ -566,6 +584,19 @@ def sheet_cells(files: DataFrame) -> DataFrame:
     return extract(files, _sheet_cells, "sheet string, row int, col int, kind string, value string, formula string")
 
 
+def _print_layouts(p: Package) -> Rows:
+    for sheet, part in sheet_parts(p):
+        root = p.xml(part)
+        setup, mark = child(root, "pageSetup"), child(root, "sheetPr", "pageSetUpPr")
+        value = lambda n: None if setup is None else attr(setup, n)  # noqa: B023, E731
+        yield (sheet, value("orientation"), whole(value("fitToWidth")), whole(value("fitToHeight")), whole(value("scale")), mark is not None and attr(mark, "fitToPage") in ("1", "true"))
+
+
+def print_layouts(files: DataFrame) -> DataFrame:
+    """Page setup of each sheet."""
+    return extract(files, _print_layouts, "sheet string, orientation string, fit_to_width int, fit_to_height int, scale int, fit_to_page boolean")
+
+
 def _slides(p: Package) -> list[str]:
     """The parts of the slides in the order of the deck, which is not that of their names."""
     rels = p.optional("ppt/_rels/presentation.xml.rels")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packages import DOCUMENT, Package, Refused, local
+from .packages import DOCUMENT, Package, Refused, local, sheet_parts
 
 _WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _W = f'xmlns:w="{_WORD}"'
@@ -410,3 +410,45 @@ def _shape(table, wanted: dict) -> None:
             marks.removeChild(old)
         if wanted["header_row"]:
             marks.appendChild(_made(marks, "tblHeader"))
+
+
+#: Elements of a worksheet that come after its page setup in the schema, fixed values.
+AFTER_PAGE_SETUP = (
+    "headerFooter rowBreaks colBreaks customProperties cellWatches ignoredErrors smartTags drawing drawingHF picture oleObjects controls webPublishItems tableParts extLst"
+).split()
+
+
+def set_print_layout(package: Package, edits: list[dict] | None) -> dict[str, bytes]:
+    """Set orientation, fit_to_width, fit_to_height and scale of sheets by name; null leaves a thing as it is. Fitting to
+    pages turns the sheet's mark for it on. Sheets that are not named, and all other parts, stay byte for byte."""
+    known = dict(sheet_parts(package))
+    if any(e["sheet"] not in known for e in edits or ()):
+        raise Refused("TARGET_NOT_FOUND")
+    if len({e["sheet"] for e in edits or ()}) < len(edits or ()):
+        raise Refused("INVALID_INPUT")
+    changed = {}
+    for e in edits or ():
+        name = known[e["sheet"]]
+        package.xml(name)
+        part = minidom.parseString(package.read(name))
+        sheet = part.documentElement
+        prefix = f"{sheet.prefix}:" if sheet.prefix else ""
+        kids = [c for c in sheet.childNodes if c.nodeType == c.ELEMENT_NODE]
+        made = lambda tag: part.createElementNS(sheet.namespaceURI, prefix + tag)  # noqa: B023, E731
+        setup = next((c for c in kids if c.localName == "pageSetup"), None)
+        if setup is None:
+            setup = made("pageSetup")
+            sheet.insertBefore(setup, next((c for c in kids if c.localName in AFTER_PAGE_SETUP), None))
+        for key, attribute in {"orientation": "orientation", "fit_to_width": "fitToWidth", "fit_to_height": "fitToHeight", "scale": "scale"}.items():
+            if e.get(key) is not None:
+                setup.setAttribute(attribute, str(e[key]))
+        if e.get("fit_to_width") is not None or e.get("fit_to_height") is not None:
+            props = next((c for c in kids if c.localName == "sheetPr"), None)
+            if props is None:
+                props = sheet.insertBefore(made("sheetPr"), sheet.firstChild)
+            mark = next((c for c in props.childNodes if c.nodeType == c.ELEMENT_NODE and c.localName == "pageSetUpPr"), None)
+            if mark is None:
+                mark = props.appendChild(made("pageSetUpPr"))
+            mark.setAttribute("fitToPage", "1")
+        changed[name] = part.toxml("utf-8")
+    return changed
