@@ -22,8 +22,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Token ids in a block, but for a document that has more by itself.
 BLOCK_IDS = 1 << 20
-#: Distinct chunks of which a worker keeps the ids.
-CACHE = 400_000
+#: Distinct chunks, and bytes of chunks, of which a worker keeps the ids.
+CACHE, CACHE_BYTES = 1_000_000, 64 << 20
 
 #: Classes of bytes: blank, letter, digit, mark, beyond ASCII.
 _BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
@@ -43,6 +43,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _stays(word: str) -> bool:
+    """Whether the normalizer and the pattern leave a chunk as it is, one word (see WordEncoder)."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    return word.isalpha() and word.lower() == word and max(word) < "\u0530" and is_normalized("NFC", word)
+
+
 def chunks_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
     """All texts cut into chunks whose ids, one after another, are those of the text; with the end of each text's chunks.
 
@@ -100,21 +107,20 @@ class WordEncoder:
 
     def clear(self):
         """Forget all chunks; the first place is that of the end of a text."""
-        self.known: dict[bytes, int] = {}
+        self.known = pa.array([], pa.binary())
         self.pool = np.full(1 << 16, END_ID, np.uint32)
         self.starts = np.zeros(1 << 12, np.int32)
         self.sizes = np.ones(1 << 12, np.int32)
         self.used = self.longest = 1
 
-    def _add(self, words: list[bytes]):
-        texts = [w.decode() for w in words]
-        plain = [t.isalpha() and t.lower() == t and (t.isascii() or (max(t) < "\u0530" and is_normalized("NFC", t))) for t in texts]
-        letters = [k for k, p in enumerate(plain) if p]
-        others = [k for k, p in enumerate(plain) if not p]
-        flat, sizes = self._encoded([texts[k] for k in letters])
-        more, more_sizes = self._each([texts[k] for k in others])
+    def _add(self, words: pa.BinaryArray):
+        """Give the next places to new chunks."""
+        texts = words.cast(pa.string()).to_pylist()
+        plain = np.fromiter(map(_stays, texts), bool, len(texts))
+        letters, others = np.nonzero(plain)[0], np.nonzero(~plain)[0]
+        flat, sizes = self._encoded([texts[k] for k in letters.tolist()])
+        more, more_sizes = self._each([texts[k] for k in others.tolist()])
         flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
-        words = [words[k] for k in letters + others]
         n = 1 + len(self.known)
         while len(self.pool) < self.used + len(flat):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -122,11 +128,26 @@ class WordEncoder:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
+        places = n + np.concatenate([letters, others])
+        self.starts[places] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[places] = sizes
         self.longest = max(self.longest, int(sizes.max(initial=1)))
         self.used += len(flat)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.known = pa.concat_arrays([self.known, words])
+
+    def _places(self, chunks: pa.BinaryArray) -> np.ndarray:
+        """The place of each chunk; those not known yet are added. Known and given chunks get their codes in one pass
+        of Arrow, and only new ones become Python objects."""
+        n = len(self.known)
+        coded = pa.concat_arrays([self.known, chunks]).dictionary_encode()
+        codes = np.asarray(coded.indices)
+        place = np.zeros(len(coded.dictionary), np.int32)
+        place[codes[:n]] = np.arange(1, n + 1)
+        new = np.nonzero(place == 0)[0]
+        if len(new):
+            self._add(coded.dictionary.take(pa.array(new)))
+            place[new] = np.arange(n + 1, n + 1 + len(new))
+        return place.take(codes[n:])
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -148,16 +169,10 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with END_ID, and how many each has."""
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.known.nbytes > CACHE_BYTES:
             self.clear()
         chunks, counts = chunks_of(texts)
-        coded = chunks.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            self._add(new)
-        index = np.fromiter(map(known.__getitem__, words), np.int32, len(words)).take(np.asarray(coded.indices))
+        index = self._places(chunks)
         index = np.insert(index, counts, 0)  # END_ID after each text
         size = self.sizes.take(index)
         stop = np.cumsum(size, dtype=np.int32 if self.longest * len(index) < 1 << 31 else np.int64)
