@@ -21,12 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder, which is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written and read again: iterations stay short in lineage and survive lost executors. The table is
     deleted when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paperloom-steps/{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    path = scratch_folder(spark, "paperloom-steps")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
