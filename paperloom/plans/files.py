@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import delivery, identity, integrity, rules, views
-from ..sources import packages, writers
+from ..sources import designs, packages, writers
 from .base import norm, query, table
 
 _DOC = "SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS text FROM documents"
@@ -338,3 +338,41 @@ def pruned_views(spark, sf):
 def tag_names(spark, sf):
     forms = F.array(F.concat(F.lit("{http://x/y}"), "p_type"), F.col("p_type"), F.concat(F.lit("{}"), "p_type"), F.concat(F.lit("{a}{b}"), "p_type"))
     return table(spark, sf, "part").select("p_partkey", T.local_name(F.element_at(forms, (F.col("p_partkey") % 4 + 1).cast("int"))).alias("name"))
+
+
+_PRESETS = ["report", "technical", "chinese-long", "chinese-contract"]
+
+
+def _designed(spark, sf):
+    """A document of each supplier in one of the presets, with a heading and, but for every seventh, a list."""
+    k = F.col("s_suppkey")
+    block = lambda pos, kind, style, ordered=None: F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("kind"), F.lit(style).cast("string").alias("style"), F.lit(ordered).cast("boolean").alias("ordered"))
+    plain, listed = [block(0, "paragraph", "Heading1"), block(1, "paragraph", None)], [block(2, "list", None, False), block(3, "list", None, True)]
+    blocks = F.explode(F.when(k % 7 == 0, F.array(*plain)).otherwise(F.array(*plain, *listed))).alias("b")
+    preset = F.element_at(F.array(*[F.lit(p) for p in _PRESETS]), (k % 4 + 1).cast("int")).alias("preset")
+    rows = table(spark, sf, "supplier").select(k.alias("path"), preset, F.col("s_name").alias("text"), blocks).select("path", "preset", "text", "b.*")
+    return writers.build_documents(rows.withColumn("level", F.lit(0)), preset="preset")
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES (0, 'Calibri', 'Microsoft YaHei', 11.0, '24476B', NULL, 15.0, 13.0, 11.0, true, true, true, 'Microsoft YaHei', 'Microsoft YaHei', 250, 220, 190, 120, 20.0),
+  (1, 'Calibri', 'Microsoft YaHei', 10.5, '176B6B', NULL, 15.0, 13.0, 11.0, true, true, true, 'Microsoft YaHei', 'Microsoft YaHei', 250, 220, 190, 120, 20.0),
+  (2, 'Times New Roman', 'SimSun', 12.0, '000000', 'center', 16.0, 14.0, 12.0, NULL, NULL, true, 'SimHei', 'SimSun', 250, 220, 190, 120, 22.0),
+  (3, 'Times New Roman', 'SimSun', 12.0, '000000', 'center', 12.0, 12.0, 12.0, true, true, true, 'SimHei', 'SimSun', 200, 200, 200, 80, 22.0)) t(k, latin, east, body, color, title, h1, h2, h3, b1, b2, b3, face, face3, s1, s2, s3, after, tsize)),
+f AS (SELECT k, unnest([{'style_id': 'Normal', 'size': body, 'bold': NULL, 'color': NULL, 'latin': latin, 'east_asia': east, 'before': NULL, 'after': NULL, 'alignment': NULL},
+  {'style_id': 'Title', 'size': tsize, 'bold': true, 'color': color, 'latin': latin, 'east_asia': face, 'before': 320, 'after': 240, 'alignment': title},
+  {'style_id': 'Subtitle', 'size': 12.0, 'bold': NULL, 'color': '667085', 'latin': latin, 'east_asia': east, 'before': NULL, 'after': NULL, 'alignment': NULL},
+  {'style_id': 'Heading1', 'size': h1, 'bold': b1, 'color': color, 'latin': latin, 'east_asia': face, 'before': s1, 'after': after, 'alignment': NULL},
+  {'style_id': 'Heading2', 'size': h2, 'bold': b2, 'color': color, 'latin': latin, 'east_asia': face, 'before': s2, 'after': after, 'alignment': NULL},
+  {'style_id': 'Heading3', 'size': h3, 'bold': b3, 'color': color, 'latin': latin, 'east_asia': face3, 'before': s3, 'after': after, 'alignment': NULL},
+  {'style_id': 'Caption', 'size': 9.0, 'bold': NULL, 'color': '667085', 'latin': latin, 'east_asia': east, 'before': NULL, 'after': NULL, 'alignment': NULL},
+  {'style_id': 'Code', 'size': 9.5, 'bold': NULL, 'color': NULL, 'latin': 'Consolas', 'east_asia': east, 'before': NULL, 'after': NULL, 'alignment': NULL}], recursive := true) FROM p)
+SELECT s_suppkey::VARCHAR AS path, style_id, size::DOUBLE AS size, bold, color, latin, east_asia, before::INT AS before, after::INT AS after, alignment FROM supplier JOIN f ON s_suppkey % 4 = k""")
+def preset_styles(spark, sf):
+    return designs.style_formats(_designed(spark, sf)).drop("ruled", "issue")
+
+
+@query("""SELECT s_suppkey::VARCHAR AS path, l.* FROM supplier, (VALUES (2, '1', 'bullet', '•', 720, 360), (3, '2', 'decimal', '%1.', 720, 360)) l(ordinal, num_id, format, text, "left", hanging) WHERE s_suppkey % 7 <> 0""")
+def list_numbering(spark, sf):
+    files = _designed(spark, sf)
+    items, lists = packages.paragraphs(files).where("num_id IS NOT NULL").select("path", "ordinal", "num_id"), designs.numberings(files)
+    return _join(items, lists.select("path", "num_id", "format", "text", "left", "hanging"), "left", ["num_id"])

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .designs import BULLETS, NUMBERS, numbering_part, styles_part
 from .packages import DOCUMENT, Package, Refused, local, sheet_parts
 
 _WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -59,8 +60,8 @@ def _safe(text: str | None) -> str:
 RUN_BREAK = "\x1f"
 
 
-def paragraph_xml(text: str | None, style: str | None = None, para_id: str | None = None, ordered: int | None = None) -> str:
-    props = (f'<w:pStyle w:val="{_safe(style)}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="{ordered}"/><w:numId w:val="1"/></w:numPr>' if ordered is not None else "")
+def paragraph_xml(text: str | None, style: str | None = None, para_id: str | None = None, level: int | None = None, ordered: bool = False) -> str:
+    props = (f'<w:pStyle w:val="{_safe(style)}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{NUMBERS if ordered else BULLETS}"/></w:numPr>' if level is not None else "")
     native = f' xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" w14:paraId="{para_id}"' if para_id else ""
     runs = "".join(f'<w:r><w:t xml:space="preserve">{_safe(x)}</w:t></w:r>' for x in (text or "").split(RUN_BREAK))
     return f'<w:p{native}>{f"<w:pPr>{props}</w:pPr>" if props else ""}{runs}</w:p>'
@@ -74,9 +75,10 @@ def styles_xml(levels: int = 9) -> str:
     return f"{_HEAD}<w:styles {_W}>{normal}{heads}</w:styles>"
 
 
-def docx(blocks: list[dict]) -> bytes:
-    """A document of blocks in order: paragraph (text, style, para_id), list (text, level), pageBreak, table (rows of
-    cell texts), header (text, in the page header). Texts are cut into runs at RUN_BREAK."""
+def docx(blocks: list[dict], preset: str | None = None) -> bytes:
+    """A document of blocks in order: paragraph (text, style, para_id), list (text, level, ordered), pageBreak, table
+    (rows of cell texts), header (text, in the page header). Texts are cut into runs at RUN_BREAK. The styles are those of
+    a preset, or nine plain headings; a numbering part is there if a list is."""
     body, header = [], []
     for b in blocks:
         if b["kind"] == "header":
@@ -90,17 +92,25 @@ def docx(blocks: list[dict]) -> bytes:
         elif b["kind"] == "pageBreak":
             body.append('<w:p><w:r><w:br w:type="page"/></w:r></w:p>')
         else:
-            body.append(paragraph_xml(b.get("text"), b.get("style"), b.get("para_id"), b.get("level") if b["kind"] == "list" else None))
+            body.append(paragraph_xml(b.get("text"), b.get("style"), b.get("para_id"), (b.get("level") or 0) if b["kind"] == "list" else None, bool(b.get("ordered"))))
     types = {DOCUMENT: _KIND + "wordprocessingml.document.main+xml", "word/styles.xml": _KIND + "wordprocessingml.styles+xml"}
-    more = {"word/header1.xml": f'{_HEAD}<w:hdr {_W}>{"".join(header)}</w:hdr>'} if header else {}
+    rels, more = [("styles", "styles.xml")], {}
+    if header:
+        rels.append(("header", "header1.xml"))
+        more["word/header1.xml"] = f'{_HEAD}<w:hdr {_W}>{"".join(header)}</w:hdr>'
+        types["word/header1.xml"] = _KIND + "wordprocessingml.header+xml"
+    if any(b["kind"] == "list" for b in blocks):
+        rels.append(("numbering", "numbering.xml"))
+        more["word/numbering.xml"] = _HEAD + numbering_part()
+        types["word/numbering.xml"] = _KIND + "wordprocessingml.numbering+xml"
     shown = f'<w:headerReference xmlns:r="{_R}" w:type="default" r:id="rId2"/>' if header else ""
     return packed(
         {
-            "[Content_Types].xml": _types(_XML, types | {n: _KIND + "wordprocessingml.header+xml" for n in more}),
+            "[Content_Types].xml": _types(_XML, types),
             "_rels/.rels": _rels([("officeDocument", DOCUMENT)]),
             DOCUMENT: f'{_HEAD}<w:document {_W}><w:body>{"".join(body)}<w:sectPr>{shown}<w:pgSz w:w="11906" w:h="16838"/></w:sectPr></w:body></w:document>',
-            "word/_rels/document.xml.rels": _rels([("styles", "styles.xml")] + [("header", "header1.xml")] * bool(header)),
-            "word/styles.xml": styles_xml(),
+            "word/_rels/document.xml.rels": _rels(rels),
+            "word/styles.xml": styles_xml() if preset is None else _HEAD + styles_part(preset),
         }
         | more
     )
@@ -154,13 +164,16 @@ def pptx(slides: list[list[tuple[str, str, float | None]]], numbers: list[int] |
     return packed({"[Content_Types].xml": _types(_XML, overrides), "_rels/.rels": _rels([("officeDocument", "ppt/presentation.xml")]), "ppt/presentation.xml": deck, "ppt/_rels/presentation.xml.rels": rels} | parts)
 
 
-def build_documents(blocks: DataFrame, by: str = "path") -> DataFrame:
-    """A document (path, content) of the blocks (by, pos, kind, text, style) of each path: one group is one file."""
-    grouped = blocks.groupBy(F.col(by).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "style"))).alias("blocks"))
+def build_documents(blocks: DataFrame, by: str = "path", preset: str | None = None) -> DataFrame:
+    """A document (path, content) of the blocks (by, pos, kind, text, style, and level and ordered if lists are among
+    them) of each path: one group is one file. preset names a column with the preset of each path."""
+    fields = ["pos", "kind", "text", "style", *(c for c in ("level", "ordered") if c in blocks.columns)]
+    chosen = F.lit(None).cast("string") if preset is None else F.min(preset)
+    grouped = blocks.groupBy(F.col(by).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("blocks"), chosen.alias("preset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [docx(b) for b in batch.column("blocks").to_pylist()]
+            made = [docx(b, p) for b, p in zip(batch.column("blocks").to_pylist(), batch.column("preset").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], ["path", "content"])
 
     return grouped.mapInArrow(run, "path string, content binary")
