@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import delivery, identity, integrity, rules, views
 from ..sources import designs, packages, writers
+from ..sources import pdf as writers_pdf
 from .base import norm, query, table
 
 _DOC = "SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS text FROM documents"
@@ -376,3 +377,20 @@ def list_numbering(spark, sf):
     files = _designed(spark, sf)
     items, lists = packages.paragraphs(files).where("num_id IS NOT NULL").select("path", "ordinal", "num_id"), designs.numberings(files)
     return _join(items, lists.select("path", "num_id", "format", "text", "left", "hanging"), "left", ["num_id"])
+
+
+@query("""WITH o AS (SELECT c_custkey FROM customer)
+SELECT c_custkey::VARCHAR AS path, CASE WHEN c_custkey % 11 = 0 THEN 'FONT_REQUIRED' END AS issue, CASE WHEN c_custkey % 11 <> 0 THEN '1.4' END AS version, CASE WHEN c_custkey % 11 <> 0 THEN (1 + c_custkey % 3)::INT END AS pages FROM o""")
+def pdf_creation(spark, sf):
+    """A file of each customer: a heading, a short table, and page breaks with a paragraph after each."""
+    k, nulls = F.col("c_custkey"), F.lit(None)
+    heading = F.when(k % 11 == 0, "café").otherwise(F.col("c_name"))
+    block = lambda pos, kind, text, headers=nulls, rows=nulls: F.struct(
+        F.lit(pos).alias("pos"), F.lit(kind).alias("kind"), text.cast("string").alias("text"), F.lit(1).alias("level"), headers.cast("array<string>").alias("headers"), rows.cast("array<array<string>>").alias("rows")
+    )
+    cells = F.array(F.lit("(segment)"), F.col("c_mktsegment"))
+    start = [block(0, "heading", heading), block(1, "table", nulls, F.array(F.lit("key"), F.lit("value")), F.array(cells, cells))]
+    more = [[block(2 + 2 * n, "pageBreak", nulls), block(3 + 2 * n, "paragraph", F.col("c_name"))] for n in range(2)]
+    blocks = F.when(k % 3 == 0, F.array(*start)).when(k % 3 == 1, F.array(*start, *more[0])).otherwise(F.array(*start, *more[0], *more[1]))
+    files = writers_pdf.build_pdfs(table(spark, sf, "customer").select(k.alias("path"), F.explode(blocks).alias("b")).select("path", "b.*"))
+    return _join(files.select("path", "issue"), packages.pdf_profile(files).select("path", "version", "pages"), "left")
