@@ -51,7 +51,7 @@ def windowed_counts(events: DataFrame, by: list[str], width: str = "10 minutes",
 
 
 def sessions(events: DataFrame, by: list[str], gap: str = "15 minutes", late: str = "30 minutes") -> DataFrame:
-    """Sessions that end after a gap without events."""
+    """Sessions that end after more than a gap without events: one exactly at the gap's end still belongs."""
     out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), *by).agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
 
