@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, staged
-from . import embedding_dedup, exact_dedup, minhash, mixing, quality, sentencepiece_sampling, sharding, token_counts, token_output, toxicity
+from . import embedding_dedup, exact_dedup, hamerly, hard_negatives, minhash, mixing, permutation_index, quality, sentencepiece_sampling, sharding, token_counts, token_output, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,6 +141,67 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, trees).select("doc_id", held_out(5, 0), "score", "predicted")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, shifted)
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) for x in embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM t a JOIN t b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def clusters_sql(clusters: int = hamerly.CLUSTERS, rounds: int = hamerly.ROUNDS, dim: int = hamerly.DIM) -> str:
+    """The same clustering with all distances computed in each round."""
+    ctes = [f"""t AS MATERIALIZED (
+  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY key) - 1)::INTEGER AS cluster, v FROM (
+    SELECT sha256('2:' || vec_id) AS key, v FROM t ORDER BY key LIMIT {clusters})
+)"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, t.v, c.cluster,
+    (list_inner_product(t.v, t.v) - 2 * list_inner_product(t.v, c.v) + list_inner_product(c.v, c.v))::BIGINT AS distance
+  FROM t CROSS JOIN c{k} c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c.cluster) = 1
+)""")
+        ctes.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+    SELECT cluster, list(m ORDER BY i) AS v FROM (
+      SELECT cluster, i, floor(sum(x) / count(*)) AS m
+      FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY cluster, i) GROUP BY cluster
+  ) m USING (cluster)
+)""")
+    return f"""WITH {', '.join(ctes)}
+SELECT vec_id, a.cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(list_aggregate([(x::BIGINT)::VARCHAR for x in c.v], 'string_agg', ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
@@ -152,5 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_nearest": op11_nearest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_clusters": op13_clusters,
 }
-ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
+ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op9_mixing": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_clusters": clusters_sql()}
