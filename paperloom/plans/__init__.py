@@ -1,6 +1,6 @@
 """Queries over the driver's tables with the SQL that gives the same rows."""
 
-from . import documents, files, profiles, scalars, stores, streams, tables
+from . import documents, files, profiles, scalars, stores, streams, tables, workbooks
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "documents", "files", "profiles", "scalars", "stores", "streams", "tables"]
+__all__ = ["ORACLE", "QUERIES", "documents", "files", "profiles", "scalars", "stores", "streams", "tables", "workbooks"]

@@ -197,8 +197,9 @@ def build_workbooks(cells: DataFrame, by: str = "path") -> DataFrame:
 
 
 def rewrite(files: DataFrame, edit, extra: str) -> DataFrame:
-    """Files whose parts are changed by edit(package, row) -> {part: new bytes}; other parts stay byte for byte. A file
-    that edit refuses keeps its content and has the issue. `extra` names the column with what to do."""
+    """Files whose parts are changed by edit(package, row) -> {part: new bytes, None to take it out}; other parts stay
+    byte for byte. A file that edit refuses keeps its content and has the issue. `extra` names the column with what to
+    do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +209,9 @@ def rewrite(files: DataFrame, edit, extra: str) -> DataFrame:
                 try:
                     package = Package(content)
                     new = edit(package, what)
-                    out.append(packed({i.filename: new.get(i.filename, None) or package.read(i.filename) for i in package.infos} | {k: v for k, v in new.items() if k not in package.names}))
+                    kept = {i.filename: package.read(i.filename) for i in package.infos if i.filename not in new}
+                    order = [i.filename for i in package.infos] + [k for k in new if k not in package.names]
+                    out.append(packed({k: v for k in order if (v := (kept | new)[k]) is not None}))
                     issues.append(None)
                 except Refused as refused:
                     out.append(content)
