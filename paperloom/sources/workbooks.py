@@ -16,14 +16,13 @@ from xml.dom import minidom
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .markup import TOKEN, elements, named, related, spliced, tag, text_of_part
 from .packages import Package, Refused, Rows, attr, child, children, extract, local, sheet_parts
-from .writers import _HEAD, _KIND, _letters, _R, _safe, rewrite
+from .writers import _HEAD, _KIND, _letters, _safe, rewrite
 
 #: Limits of a workbook, fixed values: last row and column that may be written, changes of one file.
 MAX_ROW, MAX_COLUMN, MAX_CHANGES = 100_000, 512, 20_000
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-_TOKEN = re.compile(r"""<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(/?)((?:[^\s/<>]+:)?([^\s/<>:]+))((?:[^<>"']|"[^"]*"|'[^']*')*?)(/?)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 _ADDRESS = re.compile(r"([A-Za-z]{1,3})([1-9]\d{0,6})")
 
 
@@ -44,10 +43,6 @@ def area(text: str) -> tuple[int, int, int, int]:
     return (*address(first), *address(last or first))
 
 
-def _named(text: str) -> dict[str, str]:
-    return {m[1]: m[2] if m[2] is not None else m[3] for m in _ATTRIBUTE.finditer(text)}
-
-
 @dataclass
 class Spot:
     """Where an element stands in the text: its start, the end of its opening tag and its end."""
@@ -66,11 +61,7 @@ class SheetText:
     """The text of a sheet part with the places of its data, rows and cells."""
 
     def __init__(self, package: Package, part: str):
-        package.xml(part)  # well-formed and without a document type, or refused
-        try:
-            self.text = package.read(part).decode("utf-8-sig")
-        except UnicodeDecodeError:
-            raise Refused("ENCODING_UNSUPPORTED") from None
+        self.text = text_of_part(package, part)
         self.rows: list[Spot] = []
         self.data: Spot | None = None
         self.dimension: Spot | None = None
@@ -83,7 +74,7 @@ class SheetText:
     def _scan(self) -> None:
         stack: list[str] = []
         row = cell = None
-        for m in _TOKEN.finditer(self.text):
+        for m in TOKEN.finditer(self.text):
             if m[2] is None:
                 continue
             name, closing, alone = m[3], bool(m[1]), bool(m[5])
@@ -101,26 +92,26 @@ class SheetText:
             if depth == 1 and name == "sheetData":
                 self.data, self.prefix = spot, m[2][: -len(name)]
             elif depth == 1 and name == "dimension":
-                spot.attributes, self.dimension = _named(m[4]), spot
+                spot.attributes, self.dimension = named(m[4]), spot
             elif name == "mergeCell" and stack[-1:] == ["mergeCells"]:
-                self.merged.append(area(_named(m[4]).get("ref", "")))
+                self.merged.append(area(named(m[4]).get("ref", "")))
             elif name == "row" and stack[1:] == ["sheetData"]:
                 row = spot
-                row.attributes = _named(m[4])
+                row.attributes = named(m[4])
                 row.number = int(row.attributes.get("r") or (self.rows[-1].number + 1 if self.rows else 1))
                 if self.rows and row.number <= self.rows[-1].number:
                     raise Refused("ROW_ORDER")
                 self.rows.append(row)
             elif name == "c" and stack[2:] == ["row"]:
                 cell = spot
-                cell.attributes = _named(m[4])
+                cell.attributes = named(m[4])
                 cell.number = address(cell.attributes["r"])[1] if "r" in cell.attributes else row.cells[-1].number + 1 if row.cells else 1
                 if row.cells and cell.number <= row.cells[-1].number:
                     raise Refused("CELL_ORDER")
                 row.cells.append(cell)
             elif len(stack) == 4 and stack[3] == "c":
                 if name == "f":
-                    cell.formula = _named(m[4])
+                    cell.formula = named(m[4])
                 cell.filled |= name in ("v", "is", "f") and not (alone and name != "f")
             if not alone:
                 stack.append(name)
@@ -132,31 +123,19 @@ class SheetText:
                 return r0, c0
         return row, column
 
-    def replaced(self, pieces: list[tuple[int, int, str]]) -> str:
-        """The text with parts of it replaced; pieces (start, stop, new) do not overlap."""
-        out, at = [], 0
-        for start, stop, new in sorted(pieces):
-            out += [self.text[at:start], new]
-            at = stop
-        return "".join([*out, self.text[at:]])
-
-
-def _tag(name: str, attributes: dict[str, str], alone: bool) -> str:
-    return f"<{name}{''.join(f' {k}="{v.replace('"', "&quot;")}"' for k, v in attributes.items())}{'/' * alone}>"
-
 
 def _cell(prefix: str, row: int, column: int, style: str | None, change: dict) -> str:
     """A cell with a literal: a number, a truth value, or a text that stays a text whatever it begins with."""
-    named = {"r": f"{_letters(column)}{row}"} | ({"s": style} if style else {})
+    own = {"r": f"{_letters(column)}{row}"} | ({"s": style} if style else {})
     name = f"{prefix}c"
     if change.get("number") is not None:
-        return f"{_tag(name, named, False)}<{prefix}v>{change['number']!r}</{prefix}v></{name}>"
+        return f"{tag(name, own, False)}<{prefix}v>{change['number']!r}</{prefix}v></{name}>"
     if change.get("boolean") is not None:
-        return f"{_tag(name, named | {'t': 'b'}, False)}<{prefix}v>{int(change['boolean'])}</{prefix}v></{name}>"
+        return f"{tag(name, own | {'t': 'b'}, False)}<{prefix}v>{int(change['boolean'])}</{prefix}v></{name}>"
     if change.get("text") is not None:
         inner = f'<{prefix}is><{prefix}t xml:space="preserve">{_safe(change["text"])}</{prefix}t></{prefix}is>'
-        return f"{_tag(name, named | {'t': 'inlineStr'}, False)}{inner}</{name}>"
-    return _tag(name, named, True) if style else ""  # emptied: only its format is left
+        return f"{tag(name, own | {'t': 'inlineStr'}, False)}{inner}</{name}>"
+    return tag(name, own, True) if style else ""  # emptied: only its format is left
 
 
 def _writable(package: Package) -> dict[str, str]:
@@ -221,7 +200,7 @@ def _merged(sheet: SheetText, cells: dict[int, dict[int, dict]]) -> tuple[str, b
         if at == len(numbers) or numbers[at] != row:
             made = "".join(_cell(p, row, c, None, changes[c]) for c in sorted(changes))
             if made:
-                fresh.setdefault(at, []).append(f"{_tag(f'{p}row', {'r': str(row)}, False)}{made}</{p}row>")
+                fresh.setdefault(at, []).append(f"{tag(f'{p}row', {'r': str(row)}, False)}{made}</{p}row>")
             continue
         spot = sheet.rows[at]
         columns = [c.number for c in spot.cells]
@@ -229,9 +208,9 @@ def _merged(sheet: SheetText, cells: dict[int, dict[int, dict]]) -> tuple[str, b
         head = {k: v for k, v in spot.attributes.items() if k != "spans"} | {"r": str(row)}
         if spot.opened == spot.stop:
             made = "".join(_cell(p, row, c, None, changes[c]) for c in sorted(changes))
-            pieces.append((spot.start, spot.stop, f"{_tag(f'{p}row', head, False)}{made}</{p}row>"))
+            pieces.append((spot.start, spot.stop, f"{tag(f'{p}row', head, False)}{made}</{p}row>"))
             continue
-        pieces.append((spot.start, spot.opened, _tag(f"{p}row", head, False)))
+        pieces.append((spot.start, spot.opened, tag(f"{p}row", head, False)))
         end = sheet.text.rindex("<", spot.opened, spot.stop)
         added: dict[int, str] = {}
         for column in sorted(changes):
@@ -246,7 +225,7 @@ def _merged(sheet: SheetText, cells: dict[int, dict[int, dict]]) -> tuple[str, b
         pieces += [(place, place, new) for place, new in added.items()]
         for old in spot.cells:  # a cell that was counted from the one before gets its address
             if "r" not in old.attributes and old.number not in changes:
-                pieces.append((old.start, old.opened, _tag(f"{p}c", {"r": f"{_letters(old.number)}{row}"} | old.attributes, old.opened == old.stop)))
+                pieces.append((old.start, old.opened, tag(f"{p}c", {"r": f"{_letters(old.number)}{row}"} | old.attributes, old.opened == old.stop)))
     for at, rows in fresh.items():
         place = sheet.rows[at].start if at < len(sheet.rows) else sheet.data.stop if empty else sheet.text.rindex("<", sheet.data.opened, sheet.data.stop)
         if at < len(sheet.rows) and "r" not in sheet.rows[at].attributes:
@@ -257,7 +236,7 @@ def _merged(sheet: SheetText, cells: dict[int, dict[int, dict]]) -> tuple[str, b
         pieces.append((sheet.data.start, sheet.data.stop, f"<{p}sheetData>{''.join(sum(fresh.values(), []))}</{p}sheetData>"))
     if sheet.dimension is not None:
         pieces += _grown(sheet, cells)
-    return sheet.replaced(pieces), lost
+    return spliced(sheet.text, pieces), lost
 
 
 def _grown(sheet: SheetText, cells: dict[int, dict[int, dict]]) -> list[tuple[int, int, str]]:
@@ -270,7 +249,7 @@ def _grown(sheet: SheetText, cells: dict[int, dict[int, dict]]) -> list[tuple[in
     if new == old:
         return []
     ref = f"{_letters(new[1])}{new[0]}:{_letters(new[3])}{new[2]}"
-    return [(sheet.dimension.start, sheet.dimension.stop, _tag(f"{sheet.prefix}dimension", sheet.dimension.attributes | {"ref": ref}, True))] if sheet.dimension.opened == sheet.dimension.stop else []
+    return [(sheet.dimension.start, sheet.dimension.stop, tag(f"{sheet.prefix}dimension", sheet.dimension.attributes | {"ref": ref}, True))] if sheet.dimension.opened == sheet.dimension.stop else []
 
 
 def _without_chain(package: Package) -> dict[str, bytes | None]:
@@ -297,10 +276,6 @@ _PLAIN_STYLES = (
 )
 
 
-def _elements(node) -> list:
-    return [c for c in node.childNodes if c.nodeType == c.ELEMENT_NODE]
-
-
 class Styles:
     """The style part of a workbook, with its formats interned by their XML."""
 
@@ -309,10 +284,10 @@ class Styles:
         if not self.made:
             package.xml(_STYLES)
         self.part = minidom.parseString(_PLAIN_STYLES if self.made else package.read(_STYLES))
-        self.lists = {c.localName: c for c in _elements(self.part.documentElement)}
+        self.lists = {c.localName: c for c in elements(self.part.documentElement)}
         if not {"fonts", "fills", "borders", "cellXfs"} <= self.lists.keys():
             raise Refused("STYLES_INCOMPLETE")
-        self.places = {n: {x.toxml(): k for k, x in reversed(list(enumerate(_elements(self.lists[n]))))} for n in ("fonts", "fills", "borders", "cellXfs")}
+        self.places = {n: {x.toxml(): k for k, x in reversed(list(enumerate(elements(self.lists[n]))))} for n in ("fonts", "fills", "borders", "cellXfs")}
         self.known: dict[tuple, int] = {}
 
     def _new(self, name: str, **attributes):
@@ -323,7 +298,7 @@ class Styles:
         return made
 
     def _at(self, kind: str, place: int):
-        found = _elements(self.lists[kind])
+        found = list(elements(self.lists[kind]))
         if not 0 <= place < len(found):
             raise Refused("STYLE_INDEX")
         return found[place]
@@ -331,7 +306,7 @@ class Styles:
     def _interned(self, kind: str, element) -> int:
         places, text = self.places[kind], element.toxml()
         if text not in places:
-            places[text] = len(_elements(self.lists[kind]))
+            places[text] = len(list(elements(self.lists[kind])))
             self.lists[kind].appendChild(element)
             self.lists[kind].setAttribute("count", str(places[text] + 1))
         return places[text]
@@ -349,11 +324,11 @@ class Styles:
         if wanted.get("name") is not None:
             new |= {"name": self._new("name", val=wanted["name"]), "scheme": None}  # a theme's font would win over the name
         for name, element in new.items():
-            for old in [c for c in _elements(font) if c.localName == name]:
+            for old in [c for c in elements(font) if c.localName == name]:
                 font.removeChild(old)
             if element is not None:
                 later = FONT_ORDER[FONT_ORDER.index(name) + 1 :]
-                font.insertBefore(element, next((c for c in _elements(font) if c.localName in later), None))
+                font.insertBefore(element, next((c for c in elements(font) if c.localName in later), None))
         return self._interned("fonts", font)
 
     def _fill(self, color: str) -> int:
@@ -364,7 +339,7 @@ class Styles:
 
     def _border(self, base: int, kind: str) -> int:
         border = self._at("borders", base).cloneNode(True)
-        for old in [c for c in _elements(border) if c.localName in (*EDGES, "start", "end")]:
+        for old in [c for c in elements(border) if c.localName in (*EDGES, "start", "end")]:
             border.removeChild(old)
         first = border.firstChild
         for edge in EDGES:
@@ -392,22 +367,10 @@ class Styles:
     def parts(self, package: Package) -> dict[str, bytes | None]:
         out: dict[str, bytes | None] = {_STYLES: self.part.toxml("utf-8")}
         if self.made:
-            types, rels = package.read("[Content_Types].xml").decode(), package.read("xl/_rels/workbook.xml.rels").decode()
-            taken = set(re.findall(r'\bId="([^"]*)"', rels))
-            own = next(f"rId{k}" for k in range(1, len(taken) + 2) if f"rId{k}" not in taken)
-            out["[Content_Types].xml"] = _appended(types, f'Override PartName="/{_STYLES}" ContentType="{_KIND}spreadsheetml.styles+xml"').encode()
-            out["xl/_rels/workbook.xml.rels"] = _appended(rels, f'Relationship Id="{own}" Type="{_R}/styles" Target="styles.xml"').encode()
+            out |= related(package, "xl/_rels/workbook.xml.rels", "styles", "styles.xml", _STYLES, f"{_KIND}spreadsheetml.styles+xml")
         return out
 
 
-def _appended(xml: str, element: str) -> str:
-    """The XML with an element put last into its root."""
-    end = re.search(r"</((?:\w+:)?)\w+\s*>\s*$", xml)
-    if end is None:
-        raise Refused("PART_UNEXPECTED")
-    return f"{xml[: end.start()]}<{end[1]}{element}/>{xml[end.start() :]}"
-
-
 def _argb(color: str) -> str:
     return f"FF{color.lstrip('#').upper()}"
 
@@ -443,9 +406,9 @@ def format_workbook_cells(package: Package, formats: list[dict] | None) -> dict[
                     continue
                 style = styles.with_format(int(cell.attributes.get("s") or 0), wanted)
                 done += 1
-                pieces.append((cell.start, cell.opened, _tag(f"{sheet.prefix}c", cell.attributes | {"s": str(style)}, cell.opened == cell.stop)))
+                pieces.append((cell.start, cell.opened, tag(f"{sheet.prefix}c", cell.attributes | {"s": str(style)}, cell.opened == cell.stop)))
         if pieces:
-            out[part] = sheet.replaced(pieces).encode()
+            out[part] = spliced(sheet.text, pieces).encode()
     if not done:
         raise Refused("INVALID_INPUT")
     return out | styles.parts(package)
@@ -474,7 +437,7 @@ def _cell_styles(p: Package) -> Rows:
     lists = {local(e): list(e) for e in root} if root is not None else {}
     at = lambda kind, k: lists[kind][int(k or 0)] if kind in lists else None
     for sheet, part in sheet_parts(p):
-        for row in child(p.xml(part), "sheetData") or ():
+        for row in children(child(p.xml(part), "sheetData"), "row"):
             for e in children(row, "c"):
                 if len(e) == 0:
                     continue

@@ -53,7 +53,7 @@ _KIND = "application/vnd.openxmlformats-officedocument."
 
 
 def _safe(text: str | None) -> str:
-    return escape(_BAD.sub("", text or ""))
+    return escape(_BAD.sub("", text or ""), {"\r": "&#13;"})
 
 
 #: Where a paragraph's text goes on in another run; a character that XML does not allow in a text.
