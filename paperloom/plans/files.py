@@ -157,13 +157,24 @@ def _nodes(spark, sf):
     return identity.anchored(identity.paragraphs(table(spark, sf, "documents"))).withColumns({"level": F.lit(1), "kind": F.lit("p"), "n_rows": F.lit(1)})
 
 
-@query("SELECT 'identity' AS problem, 0 AS n UNION ALL SELECT 'map', 0 UNION ALL SELECT 'semantic', count(*) FROM (SELECT ordinal FROM (SELECT generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ordinal, doc_id FROM documents) GROUP BY ordinal HAVING count(*) > 1)")
+@query(f"""WITH {_LINES}, m AS (SELECT doc_id, ordinal, coalesce(doc_id, 0) * 31 + ordinal AS m FROM l), p AS (
+  SELECT 'identity' AS problem FROM m WHERE m % 17 = 0 UNION ALL SELECT 'claimed-twice' FROM m WHERE m % 7 = 0 UNION ALL SELECT 'missing-node' FROM m WHERE m % 13 = 0 UNION ALL SELECT 'not-in-index' FROM m WHERE m % 11 = 0 OR m % 7 = 0
+  UNION ALL SELECT 'duplicate-id' FROM m GROUP BY ordinal, m % 17 = 0 HAVING count(*) > 1 UNION ALL SELECT 'level-range' FROM m WHERE m % 19 < 2 UNION ALL SELECT 'empty-table' FROM m WHERE m % 23 = 0)
+SELECT problem, count(*) AS n FROM p GROUP BY problem""")
 def identity_checks(spark, sf):
-    nodes = _nodes(spark, sf)
-    entries = nodes.select("semantic_id", F.concat_ws("#", "doc_id", "pointer").alias("pointer"))
-    count = lambda df, name: df.agg(F.lit(name).alias("problem"), F.count(F.lit(1)).alias("n"))
-    found = identity.map_violations(entries, entries, entries)
-    return count(identity.identity_violations(nodes), "identity").union(count(found, "map")).union(count(identity.semantic_problems(nodes), "semantic"))
+    """Nodes of all documents, some of them made bad by a number of their own: ids that are not what they should be,
+    pointers that a second id claims, entries whose node or place in the index is gone, levels and tables out of order."""
+    m = F.coalesce(F.col("doc_id"), F.lit(0)) * 31 + F.col("ordinal")
+    nodes = _nodes(spark, sf).withColumn("pointer", F.concat_ws("#", "doc_id", "pointer"))
+    entries = nodes.select("semantic_id", "pointer", m.alias("m"))
+    claimed = entries.where("m % 7 = 0").select(F.concat("semantic_id", F.lit("-b")).alias("semantic_id"), "pointer")
+    found = identity.map_violations(entries.drop("m").unionByName(claimed), entries.where("m % 11 <> 0").drop("m"), nodes.where(m % 13 != 0))
+    bad = nodes.withColumns({
+        "semantic_id": F.when(m % 17 == 0, F.concat("semantic_id", F.lit("-x"))).otherwise(F.col("semantic_id")),
+        "level": F.when(m % 19 == 0, 0).when(m % 19 == 1, 10).otherwise(F.col("level")), "kind": F.when(m % 23 < 2, "tbl").otherwise(F.col("kind")), "n_rows": F.when(m % 23 == 0, 0).otherwise(F.col("n_rows")),
+    })
+    wrong = identity.identity_violations(bad).select(F.lit("identity").alias("problem"))
+    return wrong.union(found.select("problem")).union(identity.semantic_problems(bad).select("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _damaged(content: bytes, kind: int) -> bytes:

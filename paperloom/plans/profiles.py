@@ -147,11 +147,15 @@ def schema_order(spark, sf):
     return profiles.out_of_schema_order(e, ["doc"], "rank", "pos")
 
 
-@query("""SELECT * FROM (VALUES ('blocks', 100, false), ('cells', 50, false), ('pages', 20, true), ('floats', 5, true)) t(name, value, refused)""")
+@query("""WITH c AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS name, p_size AS base, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN -1 ELSE p_size + p_partkey % 5 - 2 END AS asked FROM part),
+r AS (SELECT *, asked IS NOT NULL AND (asked > base OR asked < 0) AS refused FROM c) SELECT name, CASE WHEN refused OR asked IS NULL THEN base ELSE asked END AS value, refused FROM r""")
 def tightened_limits(spark, sf):
-    config = spark.createDataFrame([("blocks", 100), ("cells", 200), ("pages", 20), ("floats", 5)], "name string, value int")
-    asked = spark.createDataFrame([("cells", 50), ("pages", 30), ("floats", -1)], "name string, value int")
-    return rules.tightened(config, asked)
+    """Each part has a limit of its size; three of four ask for another one, some for more than it or for less than none."""
+    k = F.col("p_partkey")
+    part = table(spark, sf, "part").select(k.cast("string").alias("name"), k.alias("k"), F.col("p_size").alias("value"))
+    n = F.col("k")
+    asked = part.where(n % 4 != 0).select("name", F.when(n % 7 == 0, -1).otherwise(F.col("value") + n % 5 - 2).cast("int").alias("value"))
+    return rules.tightened(part, asked)
 
 
 @query("""SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'UNSUPPORTED' WHEN 'AUTOMOBILE' THEN 'LIMIT' ELSE 'PARTIALLY_PARSED' END AS code, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'error' ELSE 'warning' END AS severity FROM customer""")
