@@ -47,14 +47,21 @@ def set_cells(cells: DataFrame, changes: DataFrame, by: list[str]) -> DataFrame:
     return cells.select(*keys, "value", "formula").join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+#: Rows of a sheet that share a band: ranges meet cells of their bands only.
+BAND = 256
+
+
 def format_cells(cells: DataFrame, formats: DataFrame, by: list[str]) -> DataFrame:
-    """Populated cells with the formats whose ranges hold them (formats: format, sheet (* for all), r0, c0, r1, c1), and
-    whether a cell is in more ranges than one. Formats are joined by sheet, then
-    by range; Spark broadcasts them if they are few."""
-    sheet = by[-1]
+    """Populated cells with the formats whose ranges hold them (formats: by.. with * as the sheet for all of a workbook's,
+    format, r0, c0, r1, c1), and whether a cell is in more ranges than one. The last of `by` is the sheet, those before
+    it, if any, name the workbook and are equal on both sides. Cells and ranges meet by workbook, sheet and band of rows,
+    so a format of one workbook reaches no other, and a range no cells far from it."""
+    book, sheet = by[:-1], by[-1]
     keyed = cells.where("value IS NOT NULL").select(*by, "row", "col", F.explode(F.array(F.col(sheet).cast("string"), F.lit("*"))).alias("on_sheet"))
-    ranges = formats.select("format", F.col("sheet").cast("string").alias("on_sheet"), "r0", "c0", "r1", "c1")
-    met = keyed.join(ranges, "on_sheet").where("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
+    keyed = keyed.withColumn("band", F.floor(F.col("row") / BAND))
+    bands = F.explode(F.sequence(F.floor(F.col("r0") / BAND), F.floor(F.col("r1") / BAND))).alias("band")
+    ranges = formats.where("r0 <= r1").select(*book, "format", F.col(sheet).cast("string").alias("on_sheet"), "r0", "c0", "r1", "c1", bands)
+    met = keyed.join(ranges, [*book, "on_sheet", "band"]).where("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
     return met.groupBy(*by, "row", "col").agg(F.min("format").alias("format"), (F.count(F.lit(1)) > 1).alias("overlaps"))
 
 
