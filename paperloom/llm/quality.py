@@ -170,7 +170,8 @@ def training_labels(labels: DataFrame, label_col: str, id_col: str, folds: int,
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> Trees:
     """Fit trees on at most `rows` labelled documents outside the held-out fold. The sample, bounded by `rows`, is
-    broadcast to the scan of the documents; only its statistics come to the driver."""
+    broadcast to the scan of the documents; only its statistics come to the driver, once for an id: of rows that repeat
+    it, the one with the smallest statistics counts."""
     wanted = training_labels(labels, label_col, id_col, folds, held, rows)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id")
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, y int, stats array<double>"
@@ -182,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 [batch.column("id"), batch.column("y"), pa.array(list(stats), pa.list_(pa.float64()))], ["id", "y", "stats"]
             )
 
-    got = sample.select("id", "y", "text").mapInArrow(run, schema).orderBy("id", "stats").toArrow()
+    once = sample.select("id", "y", "text").mapInArrow(run, schema).groupBy("id").agg(F.min("y").alias("y"), F.min("stats").alias("stats"))
+    got = once.orderBy("id", "stats").toArrow()
     x = np.array(got.column("stats").to_pylist(), float).reshape(-1, len(NAMES))
     return fit(x, np.array(got.column("y").to_pylist(), float))
 
@@ -191,7 +193,7 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
     """<id>, score, predicted of each row: null texts count as empty and have a score too; repeated rows are scored
     alike; an empty table gives no rows; other columns are not read."""
     packed = pickle.dumps(model)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int"
 
     def run(batches):
         trees = pickle.loads(packed)
