@@ -280,13 +280,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), list_array(ids, ends, pa.int32())], [id_col, "text", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"{id_col} {id_type}, text string, ids array<int>")
+    return rows.mapInArrow(run, f"`{id_col}` {id_type}, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
-    """All columns and out_col: the text of the ids (null ids: empty text). Ids that spell no valid UTF-8 are decoded
-    with replacement characters."""
+    """All columns and out_col, which takes the place of a column of its name: the text of the ids (null ids: empty
+    text). Ids that spell no valid UTF-8 are decoded with replacement characters."""
     packed = pickle.dumps(load(path))
+    encoded = encoded.drop(out_col) if out_col != ids_col else encoded
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), f"`{out_col}` string"])
 
     def run(batches):

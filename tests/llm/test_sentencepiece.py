@@ -58,3 +58,10 @@ def test_tables(spark):
     assert first == second
     assert [r.ids for r in out if r.doc_id == 2] == [[]]
     assert sp.decode(sp.encode(frame.where("doc_id > 5"))).count() == 0
+
+
+def test_odd_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "`doc id` long, text string")
+    encoded = sp.encode(docs, id_col="doc id").selectExpr("*", "7 AS decoded")
+    back = sp.decode(encoded)
+    assert back.columns == ["doc id", "text", "ids", "decoded"] and sorted(r.decoded for r in back.select("decoded").collect()) == ["", "some text"]
