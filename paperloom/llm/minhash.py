@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import as_bytes, list_array, text_batches, whole_groups
-from .common import components, free, hot_of, spread_join, staged
+from .common import components, free, hot_keys, hot_of, small, spread_join, staged
 
 SHINGLE = 5
 K = 64
@@ -32,6 +32,9 @@ LEAST = 0.75
 DEVIATIONS = 5.0
 #: Lists of up to so many documents are compared pair by pair, many lists at a time.
 SMALL = 32
+#: Documents of a long list that all its blocks are compared with first, so that a group of near copies is one component
+#: before any two blocks meet.
+LEADERS = 8
 #: Links of a node in the tree that stands for the links of a component of one list.
 FAN = 64
 
@@ -275,26 +278,65 @@ def _links(batches):
 # --- the operator -----------------------------------------------------------------------------------------------------
 
 
-def _pieces(classes: DataFrame) -> DataFrame:
-    """Each class in each piece of a list that it is to be compared in: (v, p, q, part, home, cid, id, h, n, sketch).
-    Short lists are one piece. Longer ones are cut in blocks: any two blocks meet in the piece (v, p, q) of both, and
-    documents of one block meet in the one piece where they are at home."""
+def _postings(classes: DataFrame) -> DataFrame:
+    """Each class in each of its inverted lists: (cid, v, parts, part), with the blocks that the list is cut into, one for
+    short lists, and the block of the class."""
     postings = classes.select("cid", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     lengths = postings.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
     lengths = staged(lengths, "lengths")
-    fits = (F.col("rows") <= LIST_BLOCK) & (F.col("shingles") <= SET_BLOCK)
-    blocks = F.greatest(F.ceil(F.col("rows") * 2.5 / LIST_BLOCK), F.ceil(F.col("shingles") * 2.5 / SET_BLOCK))
-    parts = lengths.select("v", F.when(fits, 1).otherwise(blocks).cast("int").alias("parts"))
-    total = classes.count() * LISTED
-    rows = spread_join(postings.select("cid", "v"), parts, "v", hot_of(lengths, "v", total))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("cid", "v"), F.col("parts")).cast("int"))
+    parts = lengths.select("v", _parts("rows", "shingles").alias("parts"))
+    rows = spread_join(postings.select("cid", "v", "n"), parts, "v", hot_of(lengths, "v", classes.count() * LISTED))
+    return rows.withColumn("part", F.pmod(F.xxhash64("cid", "v"), F.col("parts")).cast("int"))
+
+
+def _parts(rows: str, shingles: str):
+    """Blocks of so many documents and shingles: one where these fit into a piece, else two blocks fit into one."""
+    fits = (F.col(rows) <= LIST_BLOCK) & (F.col(shingles) <= SET_BLOCK)
+    return F.when(fits, 1).otherwise(F.greatest(F.ceil(F.col(rows) * 2.5 / LIST_BLOCK), F.ceil(F.col(shingles) * 2.5 / SET_BLOCK))).cast("int")
+
+
+def _first_pieces(rows: DataFrame) -> DataFrame:
+    """Pieces (cid, v, p, q, part, home) of the first round: a list, or a block of a long list with the list's LEADERS."""
+    own = rows.select("cid", "v", F.col("part").alias("p"), F.col("part").alias("q"), F.lit(0).alias("part"), F.lit(True).alias("home"))
+    long = rows.where("parts > 1")
+    picked = [F.min_by("cid", F.xxhash64(F.lit(k), F.col("cid"))).alias(f"c{k}") for k in range(LEADERS)]
+    leaders = long.groupBy("v").agg(F.first("parts").alias("parts"), *picked)
+    leaders = leaders.select("v", "parts", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(LEADERS)]))).alias("cid"))
+    leaders = leaders.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(F.col("p") != F.pmod(F.xxhash64("cid", "v"), F.col("parts")))
+    return own.unionByName(leaders.select("cid", "v", "p", F.col("p").alias("q"), F.lit(0).alias("part"), F.lit(True).alias("home")))
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Pieces (cid, v, p, q, part, home) in which any two of a list's blocks meet: (cid, v, parts, part). Documents of one
+    block meet in the one piece where they are at home."""
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("other", other).where("parts = 1 OR other <> part")
-    rows = rows.select(
-        "cid", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part",
-        (F.col("other") == (F.col("part") + 1) % F.col("parts")).alias("home"),
-    )
-    return rows.join(classes.select("cid", "id", "h", "n", "sketch"), "cid")
+    home = F.col("other") == (F.col("part") + 1) % F.col("parts")
+    return rows.select("cid", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", home.alias("home"))
+
+
+def _second_pieces(long: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Pieces of the second round: of each long list the documents outside its largest component so far meet one another,
+    and those of that component. None if every long list is one component."""
+    known = staged(long.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "known")
+    by_root = known.groupBy("v", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    largest = F.max(F.struct("rows", "root", "shingles")).alias("top")
+    sizes = by_root.groupBy("v").agg(largest, F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")).where("rows > top.rows")
+    sizes = sizes.select("v", "top.root", (F.col("rows") - F.col("top.rows")).alias("left_rows"), (F.col("shingles") - F.col("top.shingles")).alias("left_shingles"), F.col("top.rows").alias("top_rows"), F.col("top.shingles").alias("top_shingles"))
+    sizes = sizes.select("v", F.col("root").alias("top"), *(_parts(f"{k}_rows", f"{k}_shingles").alias(f"{k}_parts") for k in ("left", "top")))
+    sizes = staged(sizes, "outside")
+    if not sizes.limit(1).count():
+        free(known, sizes)
+        return None
+    met = spread_join(known.select("cid", "v", "root"), sizes, "v", hot_keys(known, "v"))
+    part = lambda k, parts: F.pmod(F.xxhash64(F.lit(k), F.col("cid"), F.col("v")), F.col(parts)).cast("int")
+    outside = met.where("root <> top").withColumn("part", part(1, "left_parts"))
+    among = _paired(outside.select("cid", "v", F.col("left_parts").alias("parts"), "part"))
+    # the pieces with the largest component have numbers of their own
+    number = lambda n: (-1 - n).alias("q")
+    beside = outside.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("top_parts") - 1))).select("cid", "v", F.col("part").alias("p"), number(F.col("t")), F.lit(0).alias("part"))
+    inside = met.where("root = top").select("cid", "v", F.explode(F.sequence(F.lit(0), F.col("left_parts") - 1)).alias("p"), number(part(2, "top_parts")), F.lit(1).alias("part"))
+    return among.unionByName(beside.unionByName(inside).withColumn("home", F.lit(False)))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,8 +348,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     in one component only if their sets are linked. Null ids never become a component's id unless it has no other.
     Other columns are ignored; an empty table gives no rows.
 
-    Equal sets are one class and never expanded into pairs. Classes meet in inverted lists of retained values, long
-    lists in pieces of two blocks; no list is capped and none is left out. In a piece, pairs are estimated by their
+    Equal sets are one class and never expanded into pairs. Classes meet in inverted lists of retained values; no list is
+    capped and none is left out. A long list is cut in blocks, each compared within itself and with some leaders of the
+    list; then only the documents outside the largest component of the list meet all its blocks, as the others are
+    joined already. In a piece, pairs are estimated by their
     sketches, and the full sets of the classes with a possible partner are brought to it. There links are confirmed
     between sets that are not yet joined, and a tree of links stands for each component, so pairs of a group are
     nowhere listed. Shingles are compared by 64-bit hashes: two different ones of two documents of 20 000 shingles are
@@ -332,26 +376,44 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = profiles.where("n > 0").groupBy("cid").agg(one, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = staged(classes.select("cid", "one.id", "one.h", "rows", "n", "sketch"), "classes")
 
-    pieces = _pieces(classes).repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
-    marked = pieces.mapInArrow(_marked, f"cid binary, id {id_type}, h bigint, v bigint, p int, q int")
-    wanted = marked.groupBy("cid", "id", "h").agg(F.collect_list(F.struct("v", "p", "q")).alias("lists"))
-    wanted = staged(wanted.withColumnsRenamed({"id": "one_id", "h": "one_h"}), "wanted")
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("one_id")) & (F.col("h") == F.col("one_h")))
-    lists = "lists array<struct<v: bigint, p: int, q: int>>"
-    sets = texts.select("id", "cid", "lists", "text").mapInArrow(_full_sets, f"id {id_type}, cid binary, {lists}, hashes binary")
-    sets = sets.select(F.explode("lists").alias("at"), "id", "cid", "hashes").select("at.*", "id", "cid", "hashes")
-    sets = sets.repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
-    links = sets.mapInArrow(_links, f"x {id_type}, x_cid binary, y {id_type}, y_cid binary")
     # nodes sort by id, nulls last, so the smallest node of a component bears its id
     end = lambda k: F.struct(F.col(k).isNull().alias("z"), F.col(k).alias("id"), F.col(f"{k}_cid").alias("cid"))
-    links = staged(links.select(end("x").alias("a"), end("y").alias("b")).distinct(), "links")
-    roots = components(links).select(F.col("node.cid").alias("cid"), "root")
+
+    def found(pieces: DataFrame) -> DataFrame:
+        """Links that stand for all links of the pieces: sketches mark what may be linked, full sets decide."""
+        rows = pieces.join(classes.select("cid", "id", "h", "n", "sketch"), "cid").repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
+        marked = rows.mapInArrow(_marked, f"cid binary, id {id_type}, h bigint, v bigint, p int, q int")
+        wanted = marked.groupBy("cid", "id", "h").agg(F.collect_list(F.struct("v", "p", "q")).alias("lists"))
+        wanted = staged(wanted.withColumnsRenamed({"id": "one_id", "h": "one_h"}), "wanted")
+        texts = docs.join(small(wanted), F.col("id").eqNullSafe(F.col("one_id")) & (F.col("h") == F.col("one_h")))
+        lists = "lists array<struct<v: bigint, p: int, q: int>>"
+        sets = texts.select("id", "cid", "lists", "text").mapInArrow(_full_sets, f"id {id_type}, cid binary, {lists}, hashes binary")
+        sets = sets.select(F.explode("lists").alias("at"), "id", "cid", "hashes").select("at.*", "id", "cid", "hashes")
+        sets = sets.repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
+        links = sets.mapInArrow(_links, f"x {id_type}, x_cid binary, y {id_type}, y_cid binary")
+        links = staged(links.select(end("x").alias("a"), end("y").alias("b")).distinct(), "links")
+        free(wanted)
+        return links
+
+    rows = staged(_postings(classes), "postings")
+    links = found(_first_pieces(rows))
+    roots = components(links)
+    long = rows.where("parts > 1")
+    if long.limit(1).count():
+        pieces = _second_pieces(long, roots.select(F.col("node.cid").alias("cid"), F.col("root.cid").alias("root")))
+        if pieces is not None:
+            more = found(pieces)
+            side = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
+            ends = more.join(side("a"), "a", "left").join(side("b"), "b", "left")
+            if ends.where(~F.coalesce("a_root", "a").eqNullSafe(F.coalesce("b_root", "b"))).limit(1).count():
+                roots = components(links.unionByName(more))
+    roots = roots.select(F.col("node.cid").alias("cid"), "root")
 
     named = classes.select("cid", "id").join(roots, "cid", "left")
     head = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root.id")).alias("component")
     named = staged(named.select("cid", F.coalesce("root.cid", "cid").alias("root"), head), "named")
     hot = staged(hot_of(classes.select("cid", "rows"), "cid", profiles.count()), "hot")
-    free(classes, wanted, links)
+    free(classes, rows, links)
     slim = profiles.select("id", "n", "cid")
     out = spread_join(slim.where("n > 0"), named, "cid", hot).select("id", "n", "cid", "root", "component")
     wordless = slim.where("n = 0").select("id", "n", "cid", F.lit(None).cast("binary").alias("root"), F.col("id").alias("component"))

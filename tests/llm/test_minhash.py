@@ -36,6 +36,41 @@ def test_all_links_are_found(spark, monkeypatch, block):
     assert got == near_components(rows)
 
 
+def test_work_on_one_group_follows_its_size(spark, monkeypatch):
+    """A group of near copies that grows tenfold goes through about ten times as many rows of pieces, with the same
+    links as brute force."""
+    monkeypatch.setattr(minhash, "LIST_BLOCK", 100)
+    counts = {}
+
+    def counting(name):
+        real = getattr(minhash, name)
+
+        def run(*args):
+            out = real(*args)
+            counts[name] = out.count() if out is not None else 0
+            return out
+
+        monkeypatch.setattr(minhash, name, run)
+
+    counting("_first_pieces")
+    counting("_second_pieces")
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    made = {}
+    for size in (150, 1500):
+        rows = []
+        for k in range(size):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            rows.append((k, " ".join(copy)))
+        counts.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == near_components(rows)
+        made[size] = sum(counts.values())
+    assert made[1500] <= 15 * made[150] and made[1500] <= 40 * 1500
+
+
 def test_empty_and_repeated(spark):
     schema = "doc_id long, text string"
     assert minhash.near_groups(spark.createDataFrame([], schema)).count() == 0
