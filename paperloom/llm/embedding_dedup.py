@@ -111,7 +111,7 @@ def _member(lists: pa.Array, rows: np.ndarray, values: np.ndarray) -> np.ndarray
 
 def _linked(piece: pa.RecordBatch, least: float):
     """Links between the visitors (side 0) and the members (side 1) of one piece: by node the weight of its partners
-    and the root of its tree of links."""
+    and the node above it in the tree that stands for its links."""
     side, cls, home, weight = (np.asarray(piece.column(k)).astype(np.int64) for k in ("side", "cls", "home", "weight"))
     a, b = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
     if not len(a) or not len(b):
@@ -143,7 +143,12 @@ def _linked(piece: pa.RecordBatch, least: float):
             break
         root = new
     some = np.nonzero(total)[0]
-    return names[some], total[some].astype(np.int64), names[root[some]]
+    # members of a component are joined as a tree of two links below a node, so that none has very many
+    some = some[np.argsort(root[some], kind="stable")]
+    first = np.concatenate([[0], np.nonzero(np.diff(root[some]))[0] + 1])
+    start = np.repeat(first, np.diff([*first, len(some)]))
+    above = start + np.maximum(0, np.arange(len(some)) - start - 1) // 2
+    return names[some], total[some].astype(np.int64), names[some[above]]
 
 
 def _pieces(least: float):

@@ -69,3 +69,24 @@ def test_recall_of_planted_neighbours(spark, tmp_path, dim):
     got = ed.near_vectors(spark.read.parquet(f"file://{tmp_path}/v.parquet")).orderBy("vec_id").toPandas()
     found = got["n_links"].to_numpy()
     assert (found <= want).all() and found.sum() >= 0.97 * want.sum()
+
+
+def test_links_of_a_large_group_are_a_tree(spark, monkeypatch):
+    """No vector of one group of near copies gets links in number of the group."""
+    seen = []
+    real = ed.components
+
+    def counting(edges):
+        both = edges.where("a <> b").selectExpr("a AS x").unionAll(edges.where("a <> b").selectExpr("b AS x"))
+        seen.append(both.groupBy("x").count().agg({"count": "max"}).first()[0])
+        return real(edges)
+
+    monkeypatch.setattr(ed, "components", counting)
+    monkeypatch.setattr(ed, "BLOCK", 512)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    rows = [(k, [float(v) for v in centre + 0.02 * rng.normal(size=16)], 1) for k in range(1500)]
+    got = ed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 1500
+    assert sum(r.n_links for r in got) >= 0.97 * 1500 * 1499  # the index finds most links
+    assert seen[0] <= 100
