@@ -20,7 +20,7 @@ import numpy as np
 #: Format mark, version, vocabulary size, token ids, documents, lanes, CRC-32 of the ids (little-endian uint32).
 HEADER = struct.Struct("<4sHIQIII")
 MAGIC, VERSION = b"PLCM", 1
-LANES, LANE_IDS = 4096, 256
+LANES, LANE_IDS = 8192, 256
 CONTEXTS = 1 << 17
 _SPLIT_BITS, _ID_BITS = 16, 22
 _LIMIT = np.uint64(1 << 32)

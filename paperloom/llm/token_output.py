@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Appended to each document.
 END_ID = 2
 #: Token ids in a block, but for a document that has more by itself.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 #: Distinct chunks, and bytes of chunks, of which a worker keeps the ids.
 CACHE, CACHE_BYTES = 1_000_000, 64 << 20
 
@@ -43,11 +45,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _small_letters(words: pa.BinaryArray) -> np.ndarray:
+    """Which chunks hold nothing but a to z."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    other = np.concatenate([[0], np.cumsum((raw < ord("a")) | (raw > ord("z")), dtype=np.int32)])
+    return (np.diff(other[ends - ends[0]]) == 0) & (np.diff(ends) > 0)
+
+
 def _stays(word: str) -> bool:
-    """Whether the normalizer and the pattern leave a chunk as it is, one word (see WordEncoder)."""
-    if word.isascii():
-        return word.isalpha() and word.islower()
-    return word.isalpha() and word.lower() == word and max(word) < "\u0530" and is_normalized("NFC", word)
+    """Whether the normalizer and the pattern leave a chunk beyond a to z as it is, one word (see WordEncoder)."""
+    return not word.isascii() and word.isalpha() and word.lower() == word and max(word) < "\u0530" and is_normalized("NFC", word)
 
 
 def chunks_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
@@ -78,7 +86,8 @@ def chunks_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
     offsets = np.append(place[starts], word.sum())
     data, other = raw[word], kind[word] == _OTHER
     if other.any():
-        ascii_only = np.add.reduceat(other, offsets[:-1], dtype=np.int64) == 0
+        seen = np.concatenate([[0], np.cumsum(other, dtype=np.int32)])
+        ascii_only = np.diff(seen[offsets]) == 0
         data = np.where(np.repeat(ascii_only, np.diff(offsets)), _LOWER[data], data)
     else:
         data = _LOWER[data]
@@ -115,11 +124,14 @@ class WordEncoder:
 
     def _add(self, words: pa.BinaryArray):
         """Give the next places to new chunks."""
-        texts = words.cast(pa.string()).to_pylist()
-        plain = np.fromiter(map(_stays, texts), bool, len(texts))
-        letters, others = np.nonzero(plain)[0], np.nonzero(~plain)[0]
-        flat, sizes = self._encoded([texts[k] for k in letters.tolist()])
-        more, more_sizes = self._each([texts[k] for k in others.tolist()])
+        plain = _small_letters(words)
+        rest = np.nonzero(~plain)[0]
+        texts = words.take(pa.array(rest)).cast(pa.string()).to_pylist()
+        stays = np.fromiter(map(_stays, texts), bool, len(texts))
+        plain[rest[stays]] = True
+        letters, others = np.nonzero(plain)[0], rest[~stays]
+        flat, sizes = self._encoded(words.take(pa.array(letters)).cast(pa.string()))
+        more, more_sizes = self._each([t for t, s in zip(texts, stays.tolist(), strict=True) if not s])
         flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
         n = 1 + len(self.known)
         while len(self.pool) < self.used + len(flat):
@@ -152,20 +164,21 @@ class WordEncoder:
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((x for ids in got for x in ids), self.pool.dtype, int(sizes.sum())), sizes
+        return np.fromiter(itertools.chain.from_iterable(got), self.pool.dtype, int(sizes.sum())), sizes
 
-    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters, many to a call: each ends with the only id of its that ends a word. If the counts
         of words and of ends should differ, they are encoded one by one."""
-        if not texts:
-            return self._each(texts)
-        lines = [" ".join(texts[s : s + 64]) for s in range(0, len(texts), 64)]
+        if not len(texts):
+            return self._each([])
+        starts = np.append(np.arange(0, len(texts), 64), len(texts)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), texts), " ").to_pylist()
         got = [e.ids for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)]
         flat = np.concatenate([np.array(ids, self.pool.dtype) for ids in got])
         sizes = np.diff(np.nonzero(self.ends_word[flat])[0] + 1, prepend=0)
         in_line = np.add.reduceat(self.ends_word[flat].astype(np.int64), np.cumsum([0, *map(len, got[:-1])]))
         whole = len(sizes) == len(texts) and int(sizes.sum()) == len(flat) and (in_line[:-1] == 64).all()
-        return (flat, sizes) if whole else self._each(texts)
+        return (flat, sizes) if whole else self._each(texts.to_pylist())
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with END_ID, and how many each has."""
