@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import decks as by_rows
-from ..sources import decks, writers
+from ..scratch import written
+from ..sources import decks, packages, writers
 from .base import query, table
 
 _BROKEN = {5: "theme", 6: "slideMaster", 7: "slideLayout"}
@@ -29,19 +29,18 @@ def _deck(k: int, name: str) -> bytes:
 
 def _decks(spark, sf):
     def run(batches):
-        for b in batches:
-            made = [_deck(k, n) for k, n in zip(b.column("k").to_pylist(), b.column("name").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+        return packages.made_files((path, _deck(k, n)) for path, k, n in packages.rows_of(batches, "path", "k", "name"))
 
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").select(k.cast("string").alias("path"), k.alias("k"), F.col("s_name").alias("name")).mapInArrow(run, "path string, content binary")
+    rows = table(spark, sf, "supplier").select(k.cast("string").alias("path"), k.alias("k"), F.col("s_name").alias("name"))
+    return packages.spread(rows, "path").mapInArrow(run, "path string, content binary")
 
 
 @query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey::VARCHAR AS path, s_suppkey % 8 IN (5, 6, 7) AS cut FROM supplier)
 SELECT path, 1 AS slide, CASE WHEN NOT cut THEN CASE WHEN k % 5 = 0 THEN '00FF7F' WHEN k % 2 = 1 THEN upper(lpad(printf('%x', k % 4096), 6, '0')) ELSE 'FFFFFF' END END AS rgb FROM s
 UNION ALL SELECT path, 2, CASE WHEN NOT cut AND k % 3 <> 0 THEN upper(lpad(printf('%x', (k * 7919) % 16777215), 6, '0')) END FROM s UNION ALL SELECT path, 3, 'A0B0C0' FROM s""")
 def deck_backgrounds(spark, sf):
-    files = _decks(spark, sf)
+    files = written(_decks(spark, sf))
     return by_rows.background_colors(decks.slide_backgrounds(files), decks.deck_links(files), decks.color_maps(files), decks.theme_colors(files))
 
 
@@ -52,7 +51,7 @@ SELECT path, slide, 0 AS shape, 'ctrTitle' AS holder, name || ' ' || slide AS te
 UNION ALL SELECT path, slide, 1, 'subTitle', CASE WHEN slide = 3 THEN '' ELSE 'sub ' || slide END, CASE WHEN f IS NOT NULL THEN 900000 END, CASE WHEN f IS NOT NULL THEN 4000000 END, f FROM b
 UNION ALL SELECT path, slide, 2, NULL, 'free', 100, 6300000, 'own' FROM s""")
 def placeholder_boxes(spark, sf):
-    files = _decks(spark, sf)
+    files = written(_decks(spark, sf))
     return by_rows.inherited_boxes(decks.deck_shapes(files), decks.deck_links(files)).select("path", "slide", "shape", "holder", "text", "x", "y", "box_from")
 
 
@@ -64,6 +63,7 @@ def deck_covers(spark, sf):
     """Covers go where the title of the first slide leaves room; met counts the texts that field and word lie on."""
     word = F.when(F.col("path").cast("bigint") % 6 == 5, " ").otherwise(F.concat(F.lit("W"), "path"))
     done = writers.rewrite(_decks(spark, sf).withColumn("wanted", F.array(F.struct(word.alias("word")))), decks.add_cover, "wanted")
+    done = written(done)
     boxes = by_rows.inherited_boxes(decks.deck_shapes(done.where("issue IS NULL")), decks.deck_links(done.where("issue IS NULL"))).where("slide = 1")
     new, old = boxes.where("name LIKE 'Cover %'"), boxes.where("name NOT LIKE 'Cover %' AND trim(text) <> '' AND x IS NOT NULL")
     old = old.select("path", *(F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "height")))

@@ -8,7 +8,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources import illustrated
+from ..scratch import written
+from ..sources import illustrated, packages
 from .base import query
 from .files import _blocks, _DOC, _join, _LINES
 
@@ -38,12 +39,13 @@ def _files(spark, sf):
     alt = F.concat(F.lit('picture "'), k.cast("string"), F.lit('" & more'))
     image = heads.withColumns({"pos": F.lit(1 << 20), "kind": F.lit("image"), "text": alt, "style": null("string"), "width_mm": F.when(k % 4 == 0, 20.5), "height_mm": F.when(k % 4 == 0, 10.0), "caption": F.concat(F.lit("Picture "), k.cast("string"))})
 
+    pictures = pa.schema([("path", pa.int64()), ("data", pa.binary())])
+
     def run(batches):
-        for b in batches:
-            made = [_made(x) for x in b.column("k").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], ["path", "data"])
+        made = ((path, _made(x)) for path, x in packages.rows_of(batches, "path", "k"))
+        return packages.batched(((len(data), (path, data)) for path, data in made), pictures)
 
-    data = heads.select(F.col("path"), k.alias("k")).mapInArrow(run, "path bigint, data binary")
+    data = packages.spread(heads.select(F.col("path"), k.alias("k")), "path").mapInArrow(run, "path bigint, data binary")
     image = _join(image.drop("data"), data)
     return illustrated.build_illustrated(lines.unionByName(contents).unionByName(image))
 
@@ -60,7 +62,7 @@ SELECT path, CASE WHEN k % 9 <> 8 THEN CASE WHEN k % 2 = 1 THEN 'jpeg' ELSE 'png
   CASE WHEN k % 9 <> 8 THEN 'picture "' || k || '" & more' END AS alt, CASE WHEN k % 9 <> 8 THEN true END AS whole, CASE WHEN k % 9 = 8 THEN 'FORMAT_MISMATCH' END AS issue FROM k""")
 def document_pictures(spark, sf):
     """whole: the bytes in the package are those that were given."""
-    files = _files(spark, sf)
+    files = written(_files(spark, sf))
 
     def run(batches):
         import hashlib

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources import macros, writers
+from ..sources import macros, packages, writers
 from .base import query, table
 
 _ODD = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -35,12 +34,10 @@ def _files(spark, sf):
     kind = F.coalesce(k % 11, F.lit(0)).cast("int").alias("kind")
 
     def run(batches):
-        for b in batches:
-            made = [_package(c, n) for c, n in zip(b.column("code").to_pylist(), b.column("kind").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+        return packages.made_files((path, _package(c, n)) for path, c, n in packages.rows_of(batches, "path", "code", "kind"))
 
     rows = table(spark, sf, "documents").select(k.cast("string").alias("path"), code.alias("code"), kind)
-    return rows.mapInArrow(run, "path string, content binary")
+    return packages.spread(rows, "path").mapInArrow(run, "path string, content binary")
 
 
 @query("""WITH d AS (SELECT doc_id AS k, doc_id::VARCHAR AS path, coalesce(doc_id % 11, 0) IN (3, 4, 5) AS bad, coalesce(doc_id % 3 = 0, false) AS a, coalesce(doc_id % 4 = 0, false) AS w, coalesce(doc_id % 5 = 0, false) AS x FROM documents), m AS (SELECT *, unnest(CASE WHEN bad THEN [NULL] ELSE ['Main', 'Empty'] END) AS module FROM d)

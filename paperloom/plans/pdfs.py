@@ -7,6 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from ..operators import forms
+from ..scratch import written
 from ..sources import pdf_edits, pdf_text
 from ..sources import pdf_objects as objects
 from ..sources.pdf_objects import Name, Ref, Stream
@@ -135,7 +136,7 @@ def pdf_page_edits(spark, sf):
     # the file to take pages from has the segment in the place of the name
     other = objects.pdf_column(_three, "k", "name", "segment")(rows.withColumn("name", F.col("segment"))).select("path", F.col("content").alias("other"))
     asked = _page_edits(rows.join(other, "path")).select("path", "edits").join(files, "path")
-    done = objects.pdf_column(pdf_edits.edit_pdf, "content", "edits")(asked)
+    done = written(objects.pdf_column(pdf_edits.edit_pdf, "content", "edits")(asked))
     items = pdf_text.pdf_text_items(done).where("issue IS NULL").groupBy("path", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("item", "text"))).getField("text"), "|").alias("text"))
     pages = objects.pdf_pages(done).drop("issue").join(items, ["path", "page"], "left")
     seen = done.select("path", "issue").join(pages, "path", "left")
@@ -196,7 +197,7 @@ def _expected(rows, text, checked):
 SELECT path, CASE WHEN k % 12 = 9 THEN 'ok' ELSE 'person.segment' END AS name, unnest(CASE k % 12 WHEN 0 THEN ['MISSING'] WHEN 1 THEN ['REPEATED', 'NO_WIDGET'] WHEN 2 THEN ['VALUE', 'WIDGET_VALUE'] WHEN 3 THEN ['NO_WIDGET'] WHEN 4 THEN ['UNPLACED'] WHEN 5 THEN ['OTHER_NAME', 'UNLINKED', 'WIDGET_VALUE']
   WHEN 6 THEN ['UNLINKED'] WHEN 7 THEN ['WIDGET_VALUE'] WHEN 8 THEN ['NO_APPEARANCE'] WHEN 9 THEN ['STATE'] WHEN 10 THEN ['FOREIGN'] ELSE [] END) AS problem FROM o""")
 def pdf_form_problems(spark, sf):
-    files = _forms(spark, sf)
+    files = written(_forms(spark, sf))
     expected = _expected(_customers(spark, sf), F.col("segment"), True)
     return forms.field_problems(pdf_edits.pdf_fields(files), pdf_edits.pdf_widgets(files), expected)
 
@@ -208,8 +209,8 @@ def pdf_form_fill(spark, sf):
     op = lambda kind, name, value, checked: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(checked).cast("boolean").alias("checked"))
     edits = F.array(op("setTextField", "person.segment", F.col("name"), None), op("setCheckbox", "ok", F.lit(None), False))
     rows = _customers(spark, sf)
-    done = objects.pdf_column(pdf_edits.edit_pdf, "content", "edits")(_forms(spark, sf).join(rows.select("path", edits.alias("edits")), "path"))
-    fields = pdf_edits.pdf_fields(done)
+    done = written(objects.pdf_column(pdf_edits.edit_pdf, "content", "edits")(_forms(spark, sf).join(rows.select("path", edits.alias("edits")), "path")))
+    fields = written(pdf_edits.pdf_fields(done))
     said = fields.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "value"))), ",").alias("fields"))
     good = rows.join(done.where("issue IS NULL").select("path"), "path", "left_semi")
     bad = forms.field_problems(fields, pdf_edits.pdf_widgets(done), _expected(good, F.col("name"), False)).groupBy("path").agg(F.count(F.lit(1)).alias("problems"))

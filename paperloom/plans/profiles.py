@@ -221,18 +221,15 @@ def reference_plan(spark, sf):
 
 @query("""SELECT conv_id::VARCHAR AS path, turn + 1 AS slide, 'body' AS placeholder, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') AS text FROM conversations""")
 def deck_runs(spark, sf):
-    import pyarrow as pa
-
     c = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("path"), "turn", F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "").alias("text"))
-    decks = c.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+    decks = packages.spread(c, "path").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+
+    def made(path, texts):
+        numbers = list(range(1, len(texts) + 1))  # of the parts; half of the decks do not number slides as they show them
+        return writers.pptx([[("body", t, None)] for t in texts], numbers[::-1] if path and int(path) % 2 else numbers)
 
     def run(batches):
-        for b in batches:
-            made = []
-            for path, texts in zip(b.column("path").to_pylist(), b.column("texts").to_pylist(), strict=True):
-                numbers = list(range(1, len(texts) + 1))  # of the parts; half of the decks do not number slides as they show them
-                made.append(writers.pptx([[("body", t, None)] for t in texts], numbers[::-1] if path and int(path) % 2 else numbers))
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+        return packages.made_files((path, made(path, texts)) for path, texts in packages.rows_of(batches, "path", "texts"))
 
     runs = packages.slide_runs(decks.mapInArrow(run, "path string, content binary"))
     return runs.select("path", F.col("slide").cast("bigint").alias("slide"), "placeholder", "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import layout, regions
+from ..scratch import written
 from ..sources import pdf_text
 from ..sources import pdf_objects as objects
 from .base import query
@@ -42,8 +43,8 @@ SELECT path, row, col, CASE WHEN k % 3 = 0 AND col = 2 THEN 3 ELSE 1 END AS row_
 def region_tables(spark, sf):
     """Where the model's page is not as high as the page of the file, its boxes are not turned round and give no table."""
     rows = _customers(spark, sf)
-    files = objects.pdf_column(_grid, "k", "name", "segment")(rows).drop("issue")
-    pages = objects.pdf_pages(files).select("path", "page", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
+    files = written(objects.pdf_column(_grid, "k", "name", "segment")(rows).drop("issue"))
+    pages = written(objects.pdf_pages(files).select("path", "page", F.col("width").alias("page_width"), F.col("height").alias("page_height")))
     stated = F.when(F.col("k") % 5 == 4, 700.0).otherwise(600.2)
     found = _cells(rows).join(pages, ["path", "page"])
     turned = found.withColumn("box", layout.top_left(F.col("y0"), F.col("y1"), F.lit("BOTTOMLEFT"), F.col("page_height"), stated))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..sources import packages, workbooks, writers
 from .base import query, table
 
@@ -51,7 +52,7 @@ SELECT path, sheet, row, col, 'number' AS kind, number, NULL AS text, {_ISSUE} A
 UNION ALL SELECT path, sheet, row, col, kind, number, text, NULL FROM n""")
 def workbook_edits(spark, sf):
     lines = _lines(spark, sf)
-    done = workbooks.edit_workbooks(_books(lines), _changes(lines), workbooks.set_workbook_cells)
+    done = written(workbooks.edit_workbooks(_books(lines), _changes(lines), workbooks.set_workbook_cells))
     cells = packages.sheet_cells(done).drop("issue")
     number, text = F.when(F.col("kind") != "text", F.col("value").cast("double")), F.when(F.col("kind") == "text", F.col("value"))
     seen = cells.select("path", "sheet", "row", "col", "kind", number.alias("number"), text.alias("text"))
@@ -88,8 +89,8 @@ SELECT path, sheet, row, col, head AND NOT late AS bold, late AS italic, (CASE W
 def workbook_formats(spark, sf):
     lines = _lines(spark, sf)
     first, second = _formats(lines)
-    once = workbooks.edit_workbooks(_books(lines), first, workbooks.format_workbook_cells)
-    twice = workbooks.edit_workbooks(once, second, workbooks.format_workbook_cells)
+    once = written(workbooks.edit_workbooks(_books(lines), first, workbooks.format_workbook_cells))
+    twice = written(workbooks.edit_workbooks(once, second, workbooks.format_workbook_cells))
     # where no format was ever written there is no style part, and a cell has what such a workbook shows
     seen = workbooks.cell_styles(twice).drop("issue").fillna({"size": 11.0, "name": "Calibri"})
     issues = once.select("path", F.col("issue").alias("first_issue")).join(twice.select("path", F.col("issue").alias("second_issue")), "path")
@@ -103,8 +104,8 @@ UNION ALL SELECT path, unnest(['[Content_Types].xml', 'xl/_rels/workbook.xml.rel
 def workbook_untouched_parts(spark, sf):
     """Values and then formats are written; the parts that differ from the first file are told."""
     lines = _lines(spark, sf)
-    books = _books(lines)
+    books = written(_books(lines))
     done = workbooks.edit_workbooks(books, _changes(lines), workbooks.set_workbook_cells).where("issue IS NULL")
     head = lines.select("path").distinct().select("path", F.lit("*").alias("sheet"), *(F.lit(1).alias(n) for n in ("r0", "c0", "c1")), F.lit(2).alias("r1"), F.lit(True).alias("bold"))
-    done = workbooks.edit_workbooks(done, head, workbooks.format_workbook_cells)
+    done = written(workbooks.edit_workbooks(done, head, workbooks.format_workbook_cells))
     return workbooks.part_changes(books.join(done.select("path"), "path", "left_semi"), done)
