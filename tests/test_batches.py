@@ -65,3 +65,25 @@ def test_rows_before_a_refusal_stay(spark):
     files = spark.createDataFrame([(str(n), bytearray(content)) for n in range(5)], "path string, content binary")
     got = sorted(packages.extract(files, parse, "v string").collect(), key=lambda r: (r[0], r[1] or ""))
     assert [tuple(r) for r in got] == [x for n in range(5) for x in ((str(n), None, "SOME"), (str(n), "a", None))]
+
+
+def test_many_comments_go_into_their_part_at_once(monkeypatch):
+    """The part of comments is not written anew for each of them."""
+    from paperloom.sources import document_edits, markup
+
+    calls = []
+    monkeypatch.setattr(document_edits, "into_root", lambda *a: calls.append(1) or markup.into_root(*a))
+    content = writers.docx([{"kind": "paragraph", "text": f"line {n}"} for n in range(5)])
+    edits = [{"kind": "addComment", "path": f"/w:document/w:body/w:p[{n + 1}]", "text": f"says {n}", "author": "A"} for n in range(5)]
+    new = document_edits.edit_document(packages.Package(content), edits)
+    assert len(calls) == 1
+    done = writers.packed({"[Content_Types].xml": "<Types/>"} | new)
+    assert [r[-1] for r in document_edits._anchors(packages.Package(done))] == [f"says {n}" for n in range(5)]
+
+
+def test_words_of_pdf_objects():
+    """Shortcuts of the lexer give what the long way gives."""
+    read = lambda data, at=0: pdf_objects.Lexer(data, at).object()
+    assert read(b"(plain)") == b"plain" and read(b"(a(b)c)") == b"a(b)c" and read(b"(a\\)\\051\\\nb)") == b"a))b" and read(b"(a\r\nb)") == b"a\nb"
+    assert read(b"  % note\n /N#41me") == "NAme" and read(b"/N") == "N" and read(b"null") is None and read(b"true") is True
+    assert read(b" 12 0 R", -3) == pdf_objects.Ref(12) and pdf_objects.Lexer(b"x", 9).ended()
