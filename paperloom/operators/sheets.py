@@ -54,14 +54,21 @@ BAND = 256
 def format_cells(cells: DataFrame, formats: DataFrame, by: list[str]) -> DataFrame:
     """Populated cells with the formats whose ranges hold them (formats: by.. with * as the sheet for all of a workbook's,
     format, r0, c0, r1, c1), and whether a cell is in more ranges than one. The last of `by` is the sheet, those before
-    it, if any, name the workbook and are equal on both sides. Cells and ranges meet by workbook, sheet and band of rows,
-    so a format of one workbook reaches no other, and a range no cells far from it."""
+    it, if any, name the workbook and are equal on both sides. Formats first meet the sheets that they are for, those of *
+    all sheets of their workbook, and then cells by workbook, sheet and band of rows: a format of one workbook reaches no
+    other, a range no cells far from it, and the cells of many sheets never share a key."""
     book, sheet = by[:-1], by[-1]
-    keyed = cells.where("value IS NOT NULL").select(*by, "row", "col", F.explode(F.array(F.col(sheet).cast("string"), F.lit("*"))).alias("on_sheet"))
-    keyed = keyed.withColumn("band", F.floor(F.col("row") / BAND))
+    keyed = cells.where("value IS NOT NULL").select(*by, "row", "col", F.floor(F.col("row") / BAND).alias("band"))
+    sheets = keyed.select(*by).distinct()
+    ranges = formats.where("r0 <= r1").select(*(F.col(c).alias(f"f_{c}") for c in book), "format", F.col(sheet).cast("string").alias("on_sheet"), "r0", "c0", "r1", "c1")
+    same = [F.col(c) == F.col(f"f_{c}") for c in book]
+    all_of, one_of = ranges.where("on_sheet = '*'"), ranges.where("on_sheet <> '*'")
+    everywhere = sheets.join(all_of, same) if same else sheets.crossJoin(all_of)
+    placed = everywhere.unionByName(sheets.join(one_of, [*same, F.col(sheet).cast("string") == F.col("on_sheet")]))
     bands = F.explode(F.sequence(F.floor(F.col("r0") / BAND), F.floor(F.col("r1") / BAND))).alias("band")
-    ranges = formats.where("r0 <= r1").select(*book, "format", F.col(sheet).cast("string").alias("on_sheet"), "r0", "c0", "r1", "c1", bands)
-    met = keyed.join(ranges, [*book, "on_sheet", "band"]).where("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
+    placed = placed.select(*(F.col(c).alias(f"f_{c}") for c in by), "format", "r0", "c0", "r1", "c1", bands).withColumnRenamed("band", "f_band")
+    on = [*(F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in by), F.col("band") == F.col("f_band")]
+    met = keyed.join(placed, on).where("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
     return met.groupBy(*by, "row", "col").agg(F.min("format").alias("format"), (F.count(F.lit(1)) > 1).alias("overlaps"))
 
 

@@ -87,3 +87,13 @@ def test_words_of_pdf_objects():
     assert read(b"(plain)") == b"plain" and read(b"(a(b)c)") == b"a(b)c" and read(b"(a\\)\\051\\\nb)") == b"a))b" and read(b"(a\r\nb)") == b"a\nb"
     assert read(b"  % note\n /N#41me") == "NAme" and read(b"/N") == "N" and read(b"null") is None and read(b"true") is True
     assert read(b" 12 0 R", -3) == pdf_objects.Ref(12) and pdf_objects.Lexer(b"x", 9).ended()
+
+
+def test_formats_of_all_sheets_meet_each_sheet_once(spark):
+    """Cells of all sheets do not meet under one key, and a sheet that is called * is one of them."""
+    from paperloom.operators import sheets
+
+    cells = spark.createDataFrame([("b", s, 1, 1, 1.0) for s in ("*", "x", None)] + [("c", "x", 1, 1, 1.0)], "book string, sheet string, row int, col int, value double")
+    formats = spark.createDataFrame([("b", "all", "*", 1, 1, 2, 2), ("b", "one", "x", 1, 1, 600, 2), ("b", "far", "x", 300, 1, 600, 2)], "book string, format string, sheet string, r0 int, c0 int, r1 int, c1 int")
+    got = sheets.format_cells(cells, formats, ["book", "sheet"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("b", "*", 1, 1, "all", False), ("b", "x", 1, 1, "all", True), ("b", None, 1, 1, "all", False)], key=str)
