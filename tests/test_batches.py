@@ -97,3 +97,29 @@ def test_formats_of_all_sheets_meet_each_sheet_once(spark):
     formats = spark.createDataFrame([("b", "all", "*", 1, 1, 2, 2), ("b", "one", "x", 1, 1, 600, 2), ("b", "far", "x", 300, 1, 600, 2)], "book string, format string, sheet string, r0 int, c0 int, r1 int, c1 int")
     got = sheets.format_cells(cells, formats, ["book", "sheet"]).collect()
     assert sorted(map(tuple, got), key=str) == sorted([("b", "*", 1, 1, "all", False), ("b", "x", 1, 1, "all", True), ("b", None, 1, 1, "all", False)], key=str)
+
+
+def test_a_style_is_looked_up_once_a_workbook(monkeypatch):
+    """Reading the formats of many cells does not walk through their styles for each of them."""
+    from paperloom.sources import workbooks
+
+    calls = []
+    content = writers.xlsx({"S": [(r, 1, float(r), None) for r in range(1, 301)]})
+    new = workbooks.format_workbook_cells(packages.Package(content), [{"sheet": "S", "r0": 2, "c0": 1, "r1": 9, "c1": 1, "bold": True, "size": 9.0}])
+    monkeypatch.setattr(workbooks, "child", lambda *a: calls.append(1) or packages.child(*a))
+    package = packages.Package(content)
+    got = list(workbooks._cell_styles(packages.Package(writers.packed({n: new[n] if n in new else package.read(n) for n in sorted(package.names | set(new))}))))
+    assert [r[1] for r in got if r[3]] == list(range(2, 10)) and len(got) == 300 and got[1][5] == 9.0 and got[0][5] == 11.0
+    assert len(calls) < 100
+
+
+def test_document_types_are_refused_however_they_are_written():
+    """Parts that begin as plain UTF-8 without a document type are read the short way, all others the long way."""
+    import pytest
+
+    bad = '<!DOCTYPE d [<!ENTITY e "x">]><d>&e;</d>'
+    for data in (bad, '<?xml version="1.0" encoding="UTF-8"?>' + bad, ('<?xml version="1.0" encoding="UTF-16"?>' + bad).encode("utf-16"), ('<?xml version="1.0" encoding="cp037"?>' + bad).encode("cp037"), "\n" + bad, "﻿" + bad):
+        with pytest.raises(packages.Refused, match="XML_FORBIDDEN|XML_MALFORMED"):
+            packages.Package(writers.packed({"a.xml": data})).xml("a.xml")
+    for data in ("<d><!-- <!DOCTYPE --></d>", '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><d/>', '<?xml version="1.0" encoding="UTF-16"?><d/>'.encode("utf-16")):
+        assert packages.Package(writers.packed({"a.xml": data})).xml("a.xml").tag == "d"
