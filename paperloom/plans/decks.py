@@ -64,7 +64,8 @@ def deck_covers(spark, sf):
     word = F.when(F.col("path").cast("bigint") % 6 == 5, " ").otherwise(F.concat(F.lit("W"), "path"))
     done = writers.rewrite(_decks(spark, sf).withColumn("wanted", F.array(F.struct(word.alias("word")))), decks.add_cover, "wanted")
     done = written(done)
-    boxes = by_rows.inherited_boxes(decks.deck_shapes(done.where("issue IS NULL")), decks.deck_links(done.where("issue IS NULL"))).where("slide = 1")
+    # written, as boxes are met with one another: else each side reads all decks again
+    boxes = written(by_rows.inherited_boxes(decks.deck_shapes(done.where("issue IS NULL")), decks.deck_links(done.where("issue IS NULL"))).where("slide = 1"))
     new, old = boxes.where("name LIKE 'Cover %'"), boxes.where("name NOT LIKE 'Cover %' AND trim(text) <> '' AND x IS NOT NULL")
     old = old.select("path", *(F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "height")))
     near = new.where("name IN ('Cover field', 'Cover word')").join(old, "path").where("x < o_x + o_width AND o_x < x + width AND y < o_y + o_height AND o_y < y + height")

@@ -123,3 +123,11 @@ def test_document_types_are_refused_however_they_are_written():
             packages.Package(writers.packed({"a.xml": data})).xml("a.xml")
     for data in ("<d><!-- <!DOCTYPE --></d>", '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><d/>', '<?xml version="1.0" encoding="UTF-16"?><d/>'.encode("utf-16")):
         assert packages.Package(writers.packed({"a.xml": data})).xml("a.xml").tag == "d"
+
+
+def test_decks_are_read_once_for_their_covers(spark):
+    """Boxes of a deck meet one another; no side of that reads the decks again."""
+    from paperloom import plans
+
+    plan = plans.QUERIES["deck_covers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
