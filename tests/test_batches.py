@@ -131,3 +131,12 @@ def test_decks_are_read_once_for_their_covers(spark):
 
     plan = plans.QUERIES["deck_covers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_the_list_of_an_object_stream_is_read_once(monkeypatch):
+    """Reading all objects of an object stream takes time by their number, not by its square."""
+    calls = []
+    data = pdf_objects.assembled({1: {"Type": pdf_objects.Name("Catalog")}} | {n: n for n in range(2, 400)}, {"Root": pdf_objects.Ref(1)}, packed=True)
+    monkeypatch.setattr(pdf_objects.Lexer, "object", lambda self, depth=0, old=pdf_objects.Lexer.object: calls.append(1) or old(self, depth))
+    doc = pdf_objects.Document(data)
+    assert [doc.object(n) for n in range(2, 400)] == list(range(2, 400)) and len(calls) < 400 * 4
