@@ -133,6 +133,28 @@ def test_decks_are_read_once_for_their_covers(spark):
     assert "MapInArrow" not in plan
 
 
+def test_equal_small_parts_are_made_and_parsed_once(monkeypatch):
+    """Packages of one make share parts such as styles; these are neither deflated nor parsed for each of them."""
+    parsed = []
+    monkeypatch.setattr(packages, "_tree", lambda data, tree=packages._tree: parsed.append(data) or tree(data))
+    packages._rows_of_part.cache_clear()
+    writers._deflated_once.cache_clear()
+    files = [writers.docx([{"kind": "paragraph", "text": f"line {n}"}]) for n in range(20)]
+    assert writers._deflated_once.cache_info().misses == 4 + 20
+    for read in (packages._styles, packages._relationships, packages._content_types):
+        assert len({tuple(read(packages.Package(f))) for f in files}) == 1
+    assert len(parsed) == 4
+
+
+def test_packages_are_what_zipfile_writes_and_reads():
+    for parts in ({}, {"a.xml": "x", "b/é.xml": b"\0" * 9999}, {"a.xml": bytes(range(256)) * 40, "b": ""}):
+        made = {k: v.encode() if isinstance(v, str) else v for k, v in parts.items()}
+        content = writers.packed(parts)
+        assert content == writers._zipped(made)
+        package = packages.Package(content)
+        assert {n: package.read(n) for n in package.names} == made and packages.MAX_TOTAL - package.left == sum(map(len, made.values()))
+
+
 def test_the_list_of_an_object_stream_is_read_once(monkeypatch):
     """Reading all objects of an object stream takes time by their number, not by its square."""
     calls = []
