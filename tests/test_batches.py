@@ -162,3 +162,18 @@ def test_the_list_of_an_object_stream_is_read_once(monkeypatch):
     monkeypatch.setattr(pdf_objects.Lexer, "object", lambda self, depth=0, old=pdf_objects.Lexer.object: calls.append(1) or old(self, depth))
     doc = pdf_objects.Document(data)
     assert [doc.object(n) for n in range(2, 400)] == list(range(2, 400)) and len(calls) < 400 * 4
+
+
+def test_only_tables_with_an_edit_become_trees(monkeypatch):
+    """What an edit of tables does not touch stays as it is written, returns in texts too."""
+    sizes = []
+    monkeypatch.setattr(writers.minidom, "parseString", lambda x, old=writers.minidom.parseString: sizes.append(len(x)) or old(x))
+    content = writers.docx([{"kind": "paragraph", "text": "x\ry" * 2000}, {"kind": "table", "rows": [["a\rb"]]}, {"kind": "table", "rows": [["c"]]}])
+    package = packages.Package(content)
+    edit = {"table": 1, "width": 77, "column_widths": [55], "header_row": True}
+    new = writers.set_table_geometry(package, [edit])[packages.DOCUMENT]
+    old = package.read(packages.DOCUMENT)
+    at = old.rindex(b"<w:tbl>")
+    assert new[:at] == old[:at] and b"&#13;" in new and sizes and max(sizes) < 2000
+    done = writers.packed({packages.DOCUMENT: new})
+    assert [r[2] for r in packages._table_geometry(packages.Package(done))] == [None, 77]
