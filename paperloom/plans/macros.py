@@ -24,6 +24,11 @@ def _package(code: str, kind: int) -> bytes:
     return writers.packed({"[Content_Types].xml": "<Types/>", "word/vbaProject.bin": project})
 
 
+def _texts(spark, sf):
+    """Documents dealt over all cores before their texts are worked on, whatever pieces their table comes in."""
+    return packages.spread(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text"), "path")
+
+
 def _files(spark, sf):
     k = F.col("doc_id")
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), _ODD, "")
@@ -36,8 +41,7 @@ def _files(spark, sf):
     def run(batches):
         return packages.made_files((path, _package(c, n)) for path, c, n in packages.rows_of(batches, "path", "code", "kind"))
 
-    rows = table(spark, sf, "documents").select(k.cast("string").alias("path"), code.alias("code"), kind)
-    return packages.spread(rows, "path").mapInArrow(run, "path string, content binary")
+    return _texts(spark, sf).select("path", code.alias("code"), kind).mapInArrow(run, "path string, content binary")
 
 
 @query("""WITH d AS (SELECT doc_id AS k, doc_id::VARCHAR AS path, coalesce(doc_id % 11, 0) IN (3, 4, 5) AS bad, coalesce(doc_id % 3 = 0, false) AS a, coalesce(doc_id % 4 = 0, false) AS w, coalesce(doc_id % 5 = 0, false) AS x FROM documents), m AS (SELECT *, unnest(CASE WHEN bad THEN [NULL] ELSE ['Main', 'Empty'] END) AS module FROM d)
@@ -57,11 +61,11 @@ def macro_comments(spark, sf):
     text = F.substring_index("code", "End Sub\r\n", -1)
     said = F.regexp_replace(F.regexp_replace(text, r"(?m)^' ", ""), r"\r\n", "")
     # a question mark stands for what the code page does not have; those of the text itself are told from it by the source
-    return main.select("path", said.alias("said")).join(_letters(spark, sf), "path").select("path", (F.char_length(F.regexp_replace("said", r"[^\x20-\x7e]", "")) - F.col("lost")).alias("letters"))
+    return main.select("path", said.alias("said")).join(_letters(spark, sf), "path").select("path", (F.char_length(F.regexp_replace("said", r"[^\x20-\x7e]+", "")) - F.col("lost")).alias("letters"))
 
 
 def _letters(spark, sf):
     """How many characters of each document the code page does not have."""
     clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), _ODD, ""), r"[\n\r\x{0085}\x{2028}\x{2029}]", "")
-    kept = F.regexp_replace(clean, "[^\\x00-\\x7f\\x{a0}-\\x{ff}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]", "")
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), (F.char_length(clean) - F.char_length(kept)).alias("lost"))
+    kept = F.regexp_replace(clean, "[^\\x00-\\x7f\\x{a0}-\\x{ff}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+", "")
+    return _texts(spark, sf).select("path", (F.char_length(clean) - F.char_length(kept)).alias("lost"))

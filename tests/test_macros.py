@@ -4,6 +4,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.sources import macros as M
 from paperloom.sources.packages import Refused
@@ -81,3 +82,25 @@ def test_parts_are_read_one_by_one(spark):
     files = spark.createDataFrame([("x", bytearray(good)), ("y", bytearray(good[:99]))], "path string, content binary")
     assert sorted(tuple(r) for r in M.macro_modules(files).collect() if r.path == "x") == [("x", "a/vbaProject.bin", "M", "code", None, None), ("x", "b/vbaProject.bin", None, None, "OLE_UNREADABLE", None)]
     assert [r.issue for r in M.macro_modules(files).where("path = 'y'").collect()] == ["CONTAINER_UNREADABLE"]
+
+
+def test_chunks_are_searched_at_once():
+    """Copies are found by array operations over a chunk, and what is written comes back whole; equal directories of
+    modules are squeezed once."""
+    draw = random.Random(5)
+    for data in (b"", b"ab", b"a" * 9000, bytes(draw.choice(b"ab \r\n") for _ in range(9000)), bytes(draw.randrange(256) for _ in range(5000)).ljust(8192, b"x")):
+        assert M.expanded(M.compressed(data)) == data
+    assert len(M.compressed(b"a" * 4096)) < 20
+    M._squeezed_once.cache_clear()
+    for n in range(9):
+        M.vba_project({"Main": f"' {n}" * 1000, "Empty": ""})
+    assert M._squeezed_once.cache_info().misses == 1
+
+
+def test_texts_are_dealt_before_they_are_worked_on(spark, tmp_path):
+    """A table of one piece is many tasks before the expressions over its texts."""
+    from paperloom.plans import macros as plan
+
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert plan._letters(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() > 8
