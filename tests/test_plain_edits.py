@@ -43,6 +43,20 @@ def test_revisions_of_plain_paragraphs_need_no_tree(monkeypatch):
     assert [r[-1] for r in E._marked_paragraphs(after)] == [10] * 10 and {r[-1] for r in E._marked_paragraphs(accepted)} == {0}
 
 
+def test_formats_of_plain_paragraphs_need_no_tree(monkeypatch):
+    def tree(*_):
+        raise AssertionError("a tree was made")
+
+    monkeypatch.setattr(E, "Fragment", tree)
+    wanted = dict(kind="formatParagraph", alignment="Justified", space_before=6.5, space_after=3.0, bold=True, size=9.5)
+    after = edited(plain(), wanted | {"path": P(1)}, dict(kind="formatParagraph", path=P(1), outline_level=2, bold=False), wanted | {"path": P(2)}, dict(kind="formatParagraph", path=P(3), name="Arial", style_id="Q"))
+    assert [row[1:] for row in E._direct(after)][:4] == [
+        ("first line", "Heading1", 2, "both", 6.5, 3.0, None), ("", None, None, "both", 6.5, 3.0, None), (LINES[2], "Q", None, None, None, None, None), ("four", None, None, None, None, None, None)
+    ]
+    body = after.read(DOCUMENT).decode()
+    assert '<w:rPr><w:b w:val="0"/><w:bCs w:val="0"/><w:sz w:val="19"/><w:szCs w:val="19"/></w:rPr>' in body and body.count("<w:rFonts") == 1
+
+
 RUNS = ["", "<w:rPr><w:b/></w:rPr>", '<w:rPr><w:sz w:val="4"/><w:rFonts w:asciiTheme="t"/><w:b w:val="0"/><w:b/></w:rPr>', "<w:rPr/>"]
 PROPS = ["", "<w:pPr/>", '<w:pPr><w:pStyle w:val="A&amp;b"/><w:jc w:val="left"/></w:pPr>', '<w:pPr><w:keepNext/><w:spacing w:line="300"/><w:spacing w:line="1"/></w:pPr>', "<w:pPr><w:rPr><w:b/></w:rPr></w:pPr>"]
 TEXTS = ["", "abc", "aXa &amp; &lt;b&gt;", " lead", "x &#38; y", "q&#13;z", "a>b", "é abc abc", "line\nfeed"]
