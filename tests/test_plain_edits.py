@@ -57,6 +57,21 @@ def test_formats_of_plain_paragraphs_need_no_tree(monkeypatch):
     assert '<w:rPr><w:b w:val="0"/><w:bCs w:val="0"/><w:sz w:val="19"/><w:szCs w:val="19"/></w:rPr>' in body and body.count("<w:rFonts") == 1
 
 
+def test_accepting_needs_trees_of_odd_paragraphs_only(monkeypatch):
+    """A deleted end merges plain paragraphs as text; a paragraph of another form is resolved as a tree beside them."""
+    made = []
+    fragment = E.Fragment
+    monkeypatch.setattr(E, "Fragment", lambda *x: made.append(x) or fragment(*x))
+    mark = lambda kind, words: f'<w:p><w:pPr><w:jc w:val="{kind}"/><w:rPr><w:b/><w:{kind} w:id="1" w:author="a"/></w:rPr></w:pPr><w:r><w:t>{words}</w:t></w:r></w:p>'
+    odd = '<w:p w:x="1"><w:ins w:id="3"><w:r><w:t>odd</w:t></w:r></w:ins></w:p>'
+    body = mark("del", "a") + mark("del", "b") + para("c") + mark("ins", "d") + para("e") + odd + mark("del", "f")
+    before = Package(packed({DOCUMENT: HEAD.replace("<!-- kept -->", "").replace(f"'{W}'", f'"{W}"') + body + TAIL}))
+    accepted = edited(before, dict(decision="accept"), edit=E.resolve_all)
+    assert said(accepted) == ["abc", "d", "e", "odd", "f"] and len(made) == 1 and "odd" in made[0][1]
+    assert '<w:jc w:val="ins"/><w:rPr><w:b/></w:rPr>' in accepted.read(DOCUMENT).decode()
+    assert said(edited(before, dict(decision="reject"), edit=E.resolve_all)) == ["a", "b", "c", "de", "", "f"]
+
+
 RUNS = ["", "<w:rPr><w:b/></w:rPr>", '<w:rPr><w:sz w:val="4"/><w:rFonts w:asciiTheme="t"/><w:b w:val="0"/><w:b/></w:rPr>', "<w:rPr/>"]
 PROPS = ["", "<w:pPr/>", '<w:pPr><w:pStyle w:val="A&amp;b"/><w:jc w:val="left"/></w:pPr>', '<w:pPr><w:keepNext/><w:spacing w:line="300"/><w:spacing w:line="1"/></w:pPr>', "<w:pPr><w:rPr><w:b/></w:rPr></w:pPr>"]
 TEXTS = ["", "abc", "aXa &amp; &lt;b&gt;", " lead", "x &#38; y", "q&#13;z", "a>b", "é abc abc", "line\nfeed"]
